@@ -10,11 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import repetition, simhash
+from . import decontamination, repetition, simhash, suffix_repeats
 from .shared import table
 
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
@@ -24,9 +28,15 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.repeat_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_repetition_rules": op3_repetition_rules,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op9_suffix_repeats": op9_suffix_repeats,
 }
 
-ORACLES: dict[str, str] = {"op3_repetition_rules": repetition.oracle()}
+ORACLES: dict[str, str] = {"op2_benchmark_decontamination": decontamination.oracle(), "op3_repetition_rules": repetition.oracle()}

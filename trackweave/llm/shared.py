@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that go to a Python worker at once; with the mean document of a few kB a batch is a few MB.
@@ -80,6 +80,11 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df.hint("merge")
 
 
+def named(column: str) -> Column:
+    """A top-level column by its exact name, dots and quotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def fresh_name(df: DataFrame, wanted: str) -> str:
     """A column name that no column of `df` has, whatever its case."""
     taken = {c.lower() for c in df.columns}
