@@ -10,8 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, repetition, simhash, suffix_repeats
-from .shared import table
+from . import decontamination, packing, repetition, simhash, suffix_repeats, token_files
+from .shared import Workspace, table
+
+
+def tokenizer_path() -> str:
+    """The byte-level vocabulary that the contracts name."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 
@@ -28,6 +35,16 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark, "tokens").path("files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return token_files.read_token_files(spark, path).withColumnRenamed("id", "doc_id")
+
+
+def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.repeat_digest(table(spark, sf_dir, "documents"))
 
@@ -36,6 +53,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_repetition_rules": op3_repetition_rules,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op7_token_files": op7_token_files,
+    "op8_best_two_fit_packing": op8_best_two_fit_packing,
     "op9_suffix_repeats": op9_suffix_repeats,
 }
 
