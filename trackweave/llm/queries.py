@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, repetition, simhash, suffix_repeats, token_files
+from . import decontamination, packing, passage_cover, repetition, simhash, suffix_repeats, token_files
 from .shared import Workspace, table
 
 
@@ -35,6 +35,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_passage_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_cover.passage_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark, "tokens").path("files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_repetition_rules": op3_repetition_rules,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_passage_cover": op5_passage_cover,
     "op7_token_files": op7_token_files,
     "op8_best_two_fit_packing": op8_best_two_fit_packing,
     "op9_suffix_repeats": op9_suffix_repeats,
