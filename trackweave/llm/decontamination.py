@@ -114,8 +114,7 @@ def _covered(matches: Column) -> Column:
     return F.aggregate(F.array_sort(matches), zero, step, lambda acc: acc["n"])
 
 
-def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ("doc_id",), **index) -> DataFrame:
-    """One row per document: the columns of `carry`, n_words, n_hit, n_items, items_sha256 and contaminated."""
+def _judged(docs: DataFrame, items: DataFrame, key: str, text: str, carry: tuple[str, ...] | list[str], index: dict) -> DataFrame:
     built = PositionalIndex(docs, items, key, text, **index)
     hits = built.phrase_matches().withColumn("ids", F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"].cast("string")))))
     hits = hits.select("key", _covered(F.col("matches")).alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"))
@@ -124,11 +123,21 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     out = rows.join(small(hits, hits.count()), "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
-        "row.*", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        "row", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ("doc_id",), **index) -> DataFrame:
+    """One row per document: the columns of `carry`, n_words, n_hit, n_items, items_sha256 and contaminated."""
+    return _judged(docs, items, key, text, carry, index).select("row.*", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **index) -> DataFrame:
+    """The rows of `docs`, unchanged, that are not contaminated."""
+    return _judged(docs, items, key, text, docs.columns, index).where("NOT contaminated").select("row.*")
+
+
 def oracle() -> str:
     """The same in DuckDB's SQL, by hashing every window of the documents."""
     ws = lambda t: f"regexp_extract_all(translate(coalesce({t}, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '{WORD}')"

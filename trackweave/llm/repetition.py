@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .shared import ship
+from .shared import named, ship
 
 #: n-gram length -> largest percentage of word characters that repeated windows of that length may cover.
 NGRAMS = {5: 30, 7: 26, 10: 20}
@@ -96,9 +96,19 @@ def verdicts(measured: DataFrame) -> DataFrame:
 
 def repetition_rules(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per input row: the columns of `carry`, COUNTS, base_failed and kept. No shuffle."""
+    judged = _judged(docs, text, carry)
+    return judged.select("row.*", *COUNTS, "base_failed", "kept")
+
+
+def _judged(docs: DataFrame, text: str, carry: tuple[str, ...] | list[str]) -> DataFrame:
     ship(docs.sparkSession)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    return verdicts(docs.select(*carry, text).mapInArrow(_measured, f"{fields}, {SCHEMA}"))
+    rows = docs.select(F.struct(*map(named, carry)).alias("row"), named(text).alias("text"))
+    return verdicts(rows.mapInArrow(_measured, f"row {rows.schema['row'].dataType.simpleString()}, {SCHEMA}"))
+
+
+def keep_clean(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of `docs`, unchanged, that the rules keep."""
+    return _judged(docs, text, docs.columns).where("kept").select("row.*")
 
 
 def _ngram_sql(n: int, first_included: bool) -> str:

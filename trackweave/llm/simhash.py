@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .components import connected_components
-from .shared import Workspace, ship
+from .shared import Workspace, fresh_name, named, ship
 
 SEED = 42
 #: The eight bits of a byte spread over the eight byte lanes of a word, to count 255 hashes without carries.
@@ -88,8 +88,9 @@ def _fingerprinted(shingle: int):
 def with_fingerprints(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), shingle: int = 3) -> DataFrame:
     """The columns of `carry` and fp, the fingerprint as a signed 64-bit integer. No shuffle."""
     ship(docs.sparkSession)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    return docs.select(*carry, text).mapInArrow(_fingerprinted(shingle), f"{fields}, fp long")
+    rows = docs.select(*map(named, carry), named(text).alias(fresh_name(docs, "row_text")))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
+    return rows.mapInArrow(_fingerprinted(shingle), f"{fields}, fp long")
 
 
 def _masks(bits: int) -> list[int]:
@@ -173,13 +174,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     """One row per input row: key, fp (signed 64-bit) and component_id, the smallest key reachable over links."""
     spark = docs.sparkSession
     work = Workspace(spark, "simhash")
-    rows = work.write(with_fingerprints(docs, text, (key,), shingle).withColumnRenamed(key, "id"), "fingerprints")
+    rows = work.write(with_fingerprints(docs.select(named(key).alias("id"), named(text).alias("text")), "text", ("id",), shingle), "fingerprints")
     groups = work.write(rows.groupBy("fp").agg(F.min("id").alias("least")), "groups")
     links = fingerprint_links(groups.select("fp"), bits)
     found = connected_components(links, work)
     # name each component by its smallest document; fingerprints without a link name themselves
-    named = groups.join(found.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = work.write(named, "named")
-    least = work.write(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
-    label = work.write(named.join(least, "component").select("fp", "component_id"), "labels")
+    classes = groups.join(found.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    classes = work.write(classes, "classes")
+    least = work.write(classes.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    label = work.write(classes.join(least, "component").select("fp", "component_id"), "labels")
     return rows.join(label, "fp").select(F.col("id").alias(key), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, bits: int = 2) -> DataFrame:
+    """The rows of `docs` with one document of each class: the one of smallest key, once."""
+    work = Workspace(docs.sparkSession, "simhash-kept")
+    found = near_duplicates(docs, text, key, shingle, bits)
+    first = work.write(found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("first")).agg(F.count("*").alias("n")), "first")
+    kept = docs.join(first, named(key).eqNullSafe(F.col("first")), "left_semi")
+    if first.where("n > 1").isEmpty():
+        return kept
+    tie = fresh_name(docs, "row_hash")
+    return kept.withColumn(tie, F.xxhash64(named(text))).dropDuplicates([key, tie]).drop(tie)
