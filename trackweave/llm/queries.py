@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, packing, passage_cover, repetition, simhash, suffix_repeats, token_files
+from . import compaction, decontamination, packing, passage_cover, repetition, simhash, site_quality, suffix_repeats, token_files, toxicity
 from .shared import Workspace, table
 
 
@@ -22,6 +22,15 @@ def tokenizer_path() -> str:
 
 
 
+#: Batches in which op10 receives the table.
+ARRIVALS = 4
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +48,12 @@ def op5_passage_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_cover.passage_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the documents' sources, paths their languages within a source."""
+    docs = table(spark, sf_dir, "documents")
+    return site_quality.site_quality(docs, site_quality.fit(docs, table(spark, sf_dir, "labels")), F.col("source"), F.col("lang"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark, "tokens").path("files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -53,14 +68,28 @@ def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.repeat_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through ARRIVALS appends and the compactions between them, read back over the last manifest."""
+    docs = table(spark, sf_dir, "documents")
+    store = compaction.store_arrivals(docs, Workspace(spark, "shards").path("store"), ARRIVALS, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_repetition_rules": op3_repetition_rules,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_passage_cover": op5_passage_cover,
+    "op6_site_quality": op6_site_quality,
     "op7_token_files": op7_token_files,
     "op8_best_two_fit_packing": op8_best_two_fit_packing,
     "op9_suffix_repeats": op9_suffix_repeats,
+    "op10_tiered_compaction": op10_tiered_compaction,
 }
 
-ORACLES: dict[str, str] = {"op2_benchmark_decontamination": decontamination.oracle(), "op3_repetition_rules": repetition.oracle()}
+ORACLES: dict[str, str] = {
+    "op2_benchmark_decontamination": decontamination.oracle(),
+    "op3_repetition_rules": repetition.oracle(),
+    "op10_tiered_compaction": "SELECT doc_id, lang, source, n_chars, strlen(text)::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents",
+}
