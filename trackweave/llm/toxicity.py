@@ -34,7 +34,8 @@ WINDOW, STRIDE = 64, 48
 MAX_ROWS, MAX_CHARS = 2000, 20_000
 VOCABULARY, TRIGRAMS = 8192, 4096
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 16, 8, 16, 16
-EPOCHS, BATCH, RATE = 4, 256, 3e-3
+#: Training takes ROUNDS x STEPS batches whatever the sample's size; after each round the windows are chosen anew.
+ROUNDS, STEPS, BATCH, RATE = 4, 24, 256, 3e-3
 _LETTER = tc.lut(range(0x30, 0x3A), range(0x41, 0x5B), range(0x61, 0x7B), range(0x80, 0x100))
 
 
@@ -242,7 +243,7 @@ def _part(words: Words, rows: np.ndarray, index: np.ndarray) -> tuple[Words, np.
     return Words(words.first, words.row, words.hashes[some], trigrams, begin), rows[some], again.reshape(index.shape)
 
 
-def train(texts: list[str], toxic: np.ndarray, share: float, epochs: int = EPOCHS, seed: int = 7) -> Network:
+def train(texts: list[str], toxic: np.ndarray, share: float, rounds: int = ROUNDS, steps: int = STEPS, seed: int = 7) -> Network:
     """Fit to labelled texts; `share` of all labelled rows is toxic."""
     toxic = np.asarray(toxic, np.float32)
     rng = np.random.default_rng(seed)
@@ -263,14 +264,14 @@ def train(texts: list[str], toxic: np.ndarray, share: float, epochs: int = EPOCH
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
     use = ~held[doc]
-    for epoch in range(epochs):
+    for turn in range(rounds):
         # of a toxic document its most telling window, of the others that one and some at random
         order = np.lexsort((-telling, doc))
         top = order[np.append(True, np.diff(doc[order]) > 0)]
         rest = rng.permutation(np.flatnonzero(use & (toxic[doc] == 0)))[: len(top)]
         chosen = rng.permutation(np.concatenate([top[use[top]], rest]))
-        for a in range(0, len(chosen), BATCH):
-            b = chosen[a : a + BATCH]
+        for nth in range(steps):
+            b = chosen[np.arange(nth * BATCH, nth * BATCH + min(BATCH, len(chosen))) % len(chosen)]
             index, mask = _steps(words.row, start[b], size[b])
             part, part_rows, part_index = _part(words, rows, index)
             g = net.gradients(part, part_rows, part_index, mask, toxic[doc[b]])
@@ -282,7 +283,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, epochs: int = EPOCH
                 m += 0.1 * (d - m)
                 s += 0.001 * (d * d - s)
                 v -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-        if epoch + 1 < epochs:
+        if turn + 1 < rounds:
             _, telling = net.logits(words)
     _, logit = net.logits(words)
     best = np.full(len(toxic), -np.inf)
