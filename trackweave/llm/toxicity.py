@@ -7,7 +7,7 @@ last one ends with the text); the largest logit, calibrated, is the score.
 
 Training is on the driver with a bounded sample of labelled rows (at most MAX_ROWS of each label, none longer than
 MAX_CHARS characters), chosen by a hash of the text. Labels are of documents, so the windows that stand for a toxic
-document are chosen by word log-odds first and by the network itself from then on. A fifth of the sample is kept from
+document are chosen by telling words first and by the network itself from then on. A fifth of the sample is kept from
 training, to fit the calibration at the labelled rows' share of toxic ones.
 
 Scoring is one pass without a shuffle. Input projections are computed once per different word of a batch.
@@ -36,6 +36,8 @@ VOCABULARY, TRIGRAMS = 8192, 4096
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 16, 8, 16, 16
 #: Training takes ROUNDS x STEPS batches whatever the sample's size; after each round the windows are chosen anew.
 ROUNDS, STEPS, BATCH, RATE = 4, 24, 256, 3e-3
+#: Share of a batch's different words that are hidden in training.
+HIDE = 0.2
 _LETTER = tc.lut(range(0x30, 0x3A), range(0x41, 0x5B), range(0x61, 0x7B), range(0x80, 0x100))
 
 
@@ -89,7 +91,7 @@ class Network:
     share: float = 0.0  # of toxic rows
 
     @classmethod
-    def new(cls, vocabulary: np.ndarray, log_odds: np.ndarray, seed: int = 7) -> Network:
+    def new(cls, vocabulary: np.ndarray, lean: np.ndarray, seed: int = 7) -> Network:
         rng = np.random.default_rng(seed)
         draw = lambda *shape: (rng.normal(size=shape) / np.sqrt(shape[0])).astype(np.float32)
         dim = WORD_DIM + CHAR_DIM
@@ -98,7 +100,7 @@ class Network:
             "in": draw(dim, 6 * HIDDEN), "bias": np.zeros(6 * HIDDEN), "fwd": draw(HIDDEN, 3 * HIDDEN), "bwd": draw(HIDDEN, 3 * HIDDEN),
             "att": draw(2 * HIDDEN, ATTENTION), "att_bias": np.zeros(ATTENTION), "att_out": draw(ATTENTION), "out": draw(2 * HIDDEN), "out_bias": np.zeros(1),
         }
-        p["word"][1:, 0] = np.clip(log_odds, -2, 2)
+        p["word"][1:, 0] = np.clip(lean, -2, 2)
         return cls(vocabulary, {k: v.astype(np.float32) for k, v in p.items()})
 
     def word_rows(self, words: Words) -> np.ndarray:
@@ -218,19 +220,21 @@ def _steps(row: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nda
     return index, (t < size).astype(np.float32)
 
 
-def _log_odds(words: Words, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, log-odds) of the words in two documents or more, the VOCABULARY most telling ones, sorted by hash."""
+def _telling_words(words: Words, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, standard scores) of the words in two documents or more, the VOCABULARY ones whose shares of toxic and
+    other documents differ most, sorted by hash."""
     doc = tc.owner(words.first)
     seen = np.unique(words.row * len(toxic) + doc)
     row, of = seen // len(toxic), seen % len(toxic)
     yes = np.bincount(row[toxic[of] > 0], minlength=len(words.hashes))
     no = np.bincount(row[toxic[of] == 0], minlength=len(words.hashes))
     n_yes, n_no = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    odds = np.log((yes + 0.5) / (n_yes + 1)) - np.log((no + 0.5) / (n_no + 1))
+    common = (yes + no + 1) / (n_yes + n_no + 2)
+    score = (yes / n_yes - no / n_no) / np.sqrt(common * (1 - common) * (1 / n_yes + 1 / n_no))
     use = np.flatnonzero(yes + no >= 2)
-    use = use[np.argsort(-np.abs(odds[use]) * np.sqrt(yes + no)[use], kind="stable")[:VOCABULARY]]
+    use = use[np.argsort(-np.abs(score[use]), kind="stable")[:VOCABULARY]]
     use = use[np.argsort(words.hashes[use])]
-    return words.hashes[use], odds[use]
+    return words.hashes[use], score[use]
 
 
 def _part(words: Words, rows: np.ndarray, index: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -249,8 +253,8 @@ def train(texts: list[str], toxic: np.ndarray, share: float, rounds: int = ROUND
     rng = np.random.default_rng(seed)
     data, offsets = next(((d, o) for _, _, d, o in tc.slices(pa.array(texts, pa.large_string()), 1 << 40)), (np.zeros(0, np.uint8), np.zeros(1, np.int64)))
     words = read_words(data, offsets)
-    vocabulary, odds = _log_odds(words, toxic)
-    net = Network.new(vocabulary, odds, seed)
+    vocabulary, known = _telling_words(words, toxic)
+    net = Network.new(vocabulary, known / 3, seed)
     net.share = share
     doc, start, size = windows(words.first)
     held = np.arange(len(toxic)) % 5 == 4
@@ -258,8 +262,8 @@ def train(texts: list[str], toxic: np.ndarray, share: float, rounds: int = ROUND
         net.scale, net.shift = 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
         return net
     rows = net.word_rows(words)
-    known = np.concatenate([[0], odds])[rows][words.row]
-    total = np.concatenate([[0], np.cumsum(np.maximum(known - 1, 0))])
+    known = np.concatenate([[0], known])[rows][words.row]
+    total = np.concatenate([[0], np.cumsum(np.maximum(known - 2, 0))])
     telling = total[start + size] - total[start] + 1e-3 * rng.random(len(start))
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
@@ -274,7 +278,8 @@ def train(texts: list[str], toxic: np.ndarray, share: float, rounds: int = ROUND
             b = chosen[np.arange(nth * BATCH, nth * BATCH + min(BATCH, len(chosen))) % len(chosen)]
             index, mask = _steps(words.row, start[b], size[b])
             part, part_rows, part_index = _part(words, rows, index)
-            g = net.gradients(part, part_rows, part_index, mask, toxic[doc[b]])
+            seen = np.where(rng.random(len(part_rows)) < HIDE, 0, part_rows)  # so that spelling has to tell as well
+            g = net.gradients(part, seen, part_index, mask, toxic[doc[b]])
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
             step += 1
             for k, v in net.p.items():
