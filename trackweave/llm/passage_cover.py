@@ -34,6 +34,8 @@ from .shared import Workspace, fresh_name, named, ship
 LENGTH = 50
 #: A perfect difference set: each distance modulo 31 once.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
+#: Parts in which the full windows are compared, one after the other.
+SLICES = 4
 _BASE2 = 0xC2B2AE3D27D4EB4F
 _INVERSE2 = pow(_BASE2, -1, 1 << 64)
 
@@ -125,13 +127,17 @@ def repeated_windows(docs: DataFrame, work: Workspace, length: int = LENGTH) ->
     work.drop("anchors")
     work.drop("shared")
     near = docs.join(places.withColumnRenamed("id", "own"), F.col("id").eqNullSafe(F.col("own"))).select("id", "hash", "text", "places")
-    windows = work.write(near.mapInArrow(_windows(length), f"x long, y long, id {kind}, hash int, start int"), "windows")
-    least = work.write(_shared_by_documents(windows, ["x", "y"]), "least")
-    late = windows.join(least, ["x", "y"]).where("id IS NULL OR least < id")
-    found = work.write(late.groupBy("id", "hash").agg(F.collect_list("start").alias("starts")), "found")
+    windows = near.mapInArrow(_windows(length), f"x long, y long, id {kind}, hash int, start int")
+    work.write(windows.withColumn("slice", F.pmod("x", F.lit(SLICES)).cast("int")), "windows", by="slice")
+    found = None
+    for k in range(SLICES):  # one after the other, so that only a part of the windows is in shuffles at a time
+        some = work.read("windows", f"slice={k}", f"x long, y long, id {kind}, hash int, start int")
+        least = work.write(_shared_by_documents(some, ["x", "y"]), "least")
+        late = work.write(some.join(least, ["x", "y"]).where("id IS NULL OR least < id").select("id", "hash", "start"), f"late-{k}")
+        found = late if found is None else found.union(late)
     work.drop("windows")
     work.drop("least")
-    return found
+    return work.write(found.groupBy("id", "hash").agg(F.collect_list("start").alias("starts")), "found")
 
 
 def _applied(edit: Callable, length: int, out: list[str]):

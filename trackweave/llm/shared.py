@@ -54,12 +54,22 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def write(self, df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+        """Write a table, if asked in a folder for each value of the column `by`, and read it."""
         path = self.path(name)
-        df.write.mode("overwrite").option("compression", codec).parquet(path)
+        writer = df.write.mode("overwrite").option("compression", codec)
+        (writer.partitionBy(by) if by else writer).parquet(path)
         self.collect_garbage()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def read(self, name: str, part: str, schema: str) -> DataFrame:
+        """One folder of a table written with `by`; no rows had that value if there is none."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{part}")
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path(name)}/{part}")
+
     def drop(self, name: str = "") -> None:
         """Remove one table, or all of them."""
         jvm = self.spark.sparkContext._jvm
