@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,3 +136,11 @@ def event_ids(df: DataFrame, order: list[str], name: str = "event_id") -> DataFr
     return parts.withColumn("_nth", nth).join(F.broadcast(before), "_part").withColumn(name, F.format_string("E%05d", (F.col("_before") + F.col("_nth")).cast("int"))).drop("_part", "_nth", "_before")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a checkpoint in the folder that the session shares with its executors (spark.checkpoint.dir); a local
+    folder only where the session names none."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="trackweave-"))
+    return df.checkpoint()
