@@ -163,3 +163,17 @@ def score_transitions(spark, sf_dir):
     e = load(spark, sf_dir, "events").selectExpr("event_id", "50 + event_id % 5 - 1 AS a", "50 + event_id % 17 - 2 AS b")
     old = F.lit(50)
     return e.select("event_id", scoreboard.valid_transition(F.col("a"), F.col("b"), old, old).alias("valid"), scoreboard.plausible_resync(F.col("a"), F.col("b"), old, old).alias("resync"))
+
+
+@query()
+def board_timeline(spark, sf_dir):
+    """Confirmed scores, quarters and clocks from noisy readings of both sides."""
+    from ..plans.board import board_timeline as follow_board
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = load(spark, sf_dir, "events").select(F.col("user_id").alias("video"), (F.row_number().over(w) - 1).alias("k"), "event_id")
+    gone, wrong = F.col("event_id") % 13 == 0, F.col("event_id") % 9 == 0
+    a, b = 40 + F.floor(F.col("k") / 4) + F.when(wrong, 10).otherwise(0), 38 + F.floor((F.col("k") + 2) / 4)
+    clock = F.format_string("%02d:%02d", F.floor((720 - F.col("k")) / 60).cast("int"), ((720 - F.col("k")) % 60).cast("int"))
+    reads = e.select("video", F.col("k").cast("double").alias("time_sec"), F.when(~gone, a).cast("int").alias("team1_score"), F.when(~gone, b).cast("int").alias("team2_score"), F.lit("1ST").alias("quarter"), clock.alias("game_clock"))
+    return follow_board(reads)
