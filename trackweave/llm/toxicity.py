@@ -68,6 +68,28 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(first, row.ravel(), hashes, (mixed >> np.uint32(20)).astype(np.int64) % TRIGRAMS, begin)
 
 
+def read_texts(texts: list[str]) -> Words:
+    """The words of all texts, read slice by slice."""
+    parts = [read_words(data, offsets) for _, _, data, offsets in tc.slices(pa.array(texts, pa.large_string()))]
+    if not parts:
+        return read_words(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    before = lambda sizes: np.cumsum([0, *sizes])[:-1]
+    hashes, at, same = np.unique(np.concatenate([p.hashes for p in parts]), return_index=True, return_inverse=True)
+    first = np.concatenate([[0], *(p.first[1:] + n for p, n in zip(parts, before([len(p.row) for p in parts]), strict=True))])
+    row = np.concatenate([same.ravel()[p.row + n] for p, n in zip(parts, before([len(p.hashes) for p in parts]), strict=True)])
+    begin = np.concatenate([p.begin + n for p, n in zip(parts, before([len(p.trigrams) for p in parts]), strict=True)])
+    trigrams = np.concatenate([p.trigrams for p in parts])
+    trigrams, begin = _trigrams(trigrams, begin, at)
+    return Words(first, row, hashes, trigrams, begin)
+
+
+def _trigrams(trigrams: np.ndarray, begin: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the words `some`, in that order, and where each word's begin."""
+    size = np.diff(np.append(begin, len(trigrams)))[some]
+    starts = np.cumsum(size) - size
+    return trigrams[np.repeat(begin[some] - starts, size) + np.arange(int(size.sum()))], starts
+
+
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, first word, words) of all windows; a document with a word has at least one."""
     n = np.diff(first)
@@ -195,7 +217,7 @@ class Network:
         np.add.at(g["char"], words.trigrams, np.repeat(by_word[:, WORD_DIM:] / count[:, None], count, axis=0))
         return g
 
-    def logits(self, words: Words, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    def logits(self, words: Words, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
         """(document, logit) of every window."""
         doc, start, size = windows(words.first)
         x = self.inputs(words, self.word_rows(words)) @ self.p["in"] + self.p["bias"]
@@ -240,10 +262,7 @@ def _telling_words(words: Words, toxic: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _part(words: Words, rows: np.ndarray, index: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
     """The different words that a batch has, and the batch's index into them."""
     some, again = np.unique(index, return_inverse=True)
-    ends = np.append(words.begin, len(words.trigrams))
-    size = ends[some + 1] - ends[some]
-    begin = np.cumsum(size) - size
-    trigrams = words.trigrams[np.repeat(words.begin[some] - begin, size) + np.arange(int(size.sum()))]
+    trigrams, begin = _trigrams(words.trigrams, words.begin, some)
     return Words(words.first, words.row, words.hashes[some], trigrams, begin), rows[some], again.reshape(index.shape)
 
 
@@ -251,8 +270,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, rounds: int = ROUND
     """Fit to labelled texts; `share` of all labelled rows is toxic."""
     toxic = np.asarray(toxic, np.float32)
     rng = np.random.default_rng(seed)
-    data, offsets = next(((d, o) for _, _, d, o in tc.slices(pa.array(texts, pa.large_string()), 1 << 40)), (np.zeros(0, np.uint8), np.zeros(1, np.int64)))
-    words = read_words(data, offsets)
+    words = read_texts(texts)
     vocabulary, known = _telling_words(words, toxic)
     net = Network.new(vocabulary, known / 3, seed)
     net.share = share
