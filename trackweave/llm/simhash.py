@@ -183,6 +183,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     classes = work.write(classes, "classes")
     least = work.write(classes.groupBy("component").agg(F.min("least").alias("component_id")), "least")
     label = work.write(classes.join(least, "component").select("fp", "component_id"), "labels")
+    work.keep("fingerprints", "labels")
     return rows.join(label, "fp").select(F.col("id").alias(key), "fp", "component_id")
 
 
@@ -191,7 +192,7 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
     work = Workspace(docs.sparkSession, "simhash-kept")
     found = near_duplicates(docs, text, key, shingle, bits)
     first = work.write(found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("first")).agg(F.count("*").alias("n")), "first")
-    kept = docs.join(first, named(key).eqNullSafe(F.col("first")), "left_semi")
+    kept = docs.join(first.hint("merge"), named(key).eqNullSafe(F.col("first")), "left_semi")
     if first.where("n > 1").isEmpty():
         return kept
     tie = fresh_name(docs, "row_hash")
