@@ -136,8 +136,9 @@ def repeated_windows(docs: DataFrame, work: Workspace, length: int = LENGTH) ->
         late = work.write(some.join(least, ["x", "y"]).where("id IS NULL OR least < id").select("id", "hash", "start"), f"late-{k}")
         found = late if found is None else found.union(late)
     work.drop("windows")
-    work.drop("least")
-    return work.write(found.groupBy("id", "hash").agg(F.collect_list("start").alias("starts")), "found")
+    out = work.write(found.groupBy("id", "hash").agg(F.collect_list("start").alias("starts")), "found")
+    work.keep("found")
+    return out
 
 
 def _applied(edit: Callable, length: int, out: list[str]):

@@ -76,6 +76,14 @@ class Workspace:
         path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep(self, *names: str) -> None:
+        """Remove all tables but these."""
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for found in fs.listStatus(root):
+            if found.getPath().getName() not in names:
+                fs.delete(found.getPath(), True)
+
     def collect_garbage(self) -> None:
         """Shuffle files of finished steps go only when the JVM notices that nothing refers to them."""
         self.spark.sparkContext._jvm.System.gc()

@@ -235,7 +235,7 @@ def repeat_spans(docs: DataFrame, work: Workspace, length: int = 400, k: int = K
     ship(docs.sparkSession)
     k = min(k, length)
     scan = work.write(docs.select("key", "text").mapInArrow(_scan(length, k), f"h long, id {docs.schema['key'].dataType.simpleString()}, place int"), "anchors")
-    often = scan.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    often = work.write(scan.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")  # apart from the join, so that it can split hot keys
     places = work.write(scan.join(often, "h").groupBy("id").agg(F.collect_list("place").alias("places")), "places")
     kind = docs.schema["key"].dataType.simpleString()
     contexts = docs.join(places, F.col("key") == F.col("id")).select("key", "text", "places").mapInArrow(_contexts(length, k), f"h long, ck long, key {kind}, base int, anchor int, context binary")
@@ -254,7 +254,9 @@ def repeat_spans(docs: DataFrame, work: Workspace, length: int = 400, k: int = K
     work.drop("distinct")
     back = contexts.select("h", "ck", "key", "base").join(spans, ["h", "ck"])
     moved = F.col("span") + F.col("base") * F.lit((1 << 32) + 1)
-    return work.write(back.select("key", moved.alias("span")).groupBy("key").agg(F.collect_list("span").alias("spans")), "found")
+    found = work.write(back.select("key", moved.alias("span")).groupBy("key").agg(F.collect_list("span").alias("spans")), "found")
+    work.keep("found")
+    return found
 
 
 def removed(n: int, spans: np.ndarray) -> np.ndarray:
