@@ -10,13 +10,16 @@ from ..operators import asof, ranges, sequences
 from ..sources.tables import load
 from .registry import query
 
-USER = Window.partitionBy("user_id").orderBy("ts", "event_id")
 CUST = ["o_orderdate", "o_orderkey"]
 #: Seconds since the first day of the events table.
 SECONDS = "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts) / 1e6"
 SECONDS_SQL = "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 1e6"
 
 
+def by_user():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
 def timed(spark, sf_dir) -> DataFrame:
     return load(spark, sf_dir, "events").withColumn("t", F.expr(SECONDS))
 
@@ -116,13 +119,13 @@ def cumulative_snapshots(spark, sf_dir):
 
 @query("SELECT event_id, user_id, from_type, event_type AS to_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_type FROM events) WHERE from_type <> event_type")
 def owner_change(spark, sf_dir):
-    e = load(spark, sf_dir, "events").select("event_id", "user_id", F.lag("event_type").over(USER).alias("from_type"), F.col("event_type").alias("to_type"))
+    e = load(spark, sf_dir, "events").select("event_id", "user_id", F.lag("event_type").over(by_user()).alias("from_type"), F.col("event_type").alias("to_type"))
     return e.where("from_type <> to_type")
 
 
 @query("SELECT event_id, round(value - lag(value) OVER w, 4) AS delta, least(coalesce(abs(value - lag(value) OVER w), 0) * 30, 12.0) AS speed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def step_delta_speed(spark, sf_dir):
-    d = F.col("value") - F.lag("value").over(USER)
+    d = F.col("value") - F.lag("value").over(by_user())
     return load(spark, sf_dir, "events").select("event_id", F.round(d, 4).alias("delta"), scalars.capped_speed(F.coalesce(F.abs(d), F.lit(0.0))).alias("speed"))
 
 
@@ -148,7 +151,7 @@ def remaining_to_final(spark, sf_dir):
 
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS smooth FROM events")
 def rolling_mean_centered(spark, sf_dir):
-    return load(spark, sf_dir, "events").select("event_id", F.round(F.avg("value").over(USER.rowsBetween(-1, 1)), 4).alias("smooth"))
+    return load(spark, sf_dir, "events").select("event_id", F.round(F.avg("value").over(by_user().rowsBetween(-1, 1)), 4).alias("smooth"))
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) - 1 AS nth FROM events")
@@ -179,7 +182,7 @@ def islands_gap(spark, sf_dir):
 
 @query("SELECT user_id, min(event_id) AS first_id, arg_min(event_type, (ts, event_id)) AS event_type, count(*) AS n FROM (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END AS starts FROM events)) GROUP BY user_id, run HAVING count(*) >= 2")
 def islands_value_change(spark, sf_dir):
-    runs = sequences.islands(load(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.lag("event_type").over(USER) != F.col("event_type"), "run")
+    runs = sequences.islands(load(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.lag("event_type").over(by_user()) != F.col("event_type"), "run")
     return runs.groupBy("user_id", "run").agg(F.min("event_id").alias("first_id"), F.min_by("event_type", F.struct("ts", "event_id")).alias("event_type"), F.count("*").alias("n")).where("n >= 2").drop("run")
 
 
@@ -190,8 +193,8 @@ def greedy_suppress(spark, sf_dir):
 
 @query("SELECT event_id, user_id, round(value - lag(value) OVER w - (lag(value) OVER w - lag(value, 2) OVER w), 4) AS second_difference FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def second_difference(spark, sf_dir):
-    one = F.col("value") - F.lag("value").over(USER)
-    two = F.lag("value").over(USER) - F.lag("value", 2).over(USER)
+    one = F.col("value") - F.lag("value").over(by_user())
+    two = F.lag("value").over(by_user()) - F.lag("value", 2).over(by_user())
     return load(spark, sf_dir, "events").select("event_id", "user_id", F.round(one - two, 4).alias("second_difference"))
 
 
@@ -296,7 +299,7 @@ def theta_self_pairs(spark, sf_dir):
 
 @query("SELECT event_id, lead(event_id) OVER w AS next_id, lead(event_type) OVER w AS next_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def adjacent_rows(spark, sf_dir):
-    nxt = F.lead(F.struct("event_id", "event_type")).over(USER)
+    nxt = F.lead(F.struct("event_id", "event_type")).over(by_user())
     return load(spark, sf_dir, "events").select("event_id", nxt["event_id"].alias("next_id"), nxt["event_type"].alias("next_type"))
 
 
