@@ -150,6 +150,18 @@ def test_contamination(spark, odd, none):
     assert {r.key.id for r in index.proximity_matches(30).collect()} >= {2, 3}
 
 
+def test_contamination_by_items_that_share_an_id(spark):
+    passage = {n: " ".join(f"{n}{i}" for i in range(20)) for n in ("same", "one", "two", "none")}
+    items = spark.createDataFrame([("a", passage["same"]), ("a", passage["same"]), ("b", passage["one"]), ("b", passage["two"]), (None, passage["none"])], "item_id string, text string")
+    docs = spark.createDataFrame([(n, f"lead {p} tail") for n, p in passage.items()] + [("clean", "lead and tail")], "doc_id string, text string")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = {r.doc_id: tuple(r)[1:] for r in decontamination.contamination(docs, items).collect()}
+    assert got == {"same": (22, 20, 1, sha("a"), True), "one": (22, 20, 1, sha("b"), True), "two": (22, 20, 1, sha("b"), True), "none": (22, 20, 1, sha(""), True), "clean": (3, 0, 0, sha(""), False)}
+    assert [r.doc_id for r in decontamination.drop_contaminated(docs, items).collect()] == ["clean"]
+    near = decontamination.PositionalIndex(docs, items).proximity_matches(3)
+    assert {(r.key.id, r.item_id) for r in near.collect()} == {("same", "a"), ("one", "b"), ("two", "b"), ("none", None)}
+
+
 def test_token_files(spark, odd, none):
     from tokenizers import Tokenizer
 

@@ -11,8 +11,8 @@ group in one task.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z have been lower-cased. Defined results: null and empty texts
 have no words and no hits; items that are null or without words have no window; an item shorter than a window is one
-window; a row of documents that is there twice gives its result twice; equal texts of several items all count; other
-columns are not read, so their names cannot clash.
+window; items of one item_id, null or not, all count, as one item; a row of documents that is there twice gives its
+result twice; equal texts of several items all count; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -55,11 +55,17 @@ def count_words(text: Column) -> Column:
     return with_value(pieces_of(text), lambda p: (F.size(p) - first_and_last(p)).cast("long"))
 
 
-def item_windows(items: DataFrame, item: str, text: str, window: int) -> DataFrame:
-    """(item_id, at, words): each window of each item; an item of fewer words is one window."""
+def item_sources(items: DataFrame, item: str, text: str) -> DataFrame:
+    """(source, item_id, ws): the different word lists of each item_id, numbered. An item_id may be null or stand in
+    several rows, so it is carried along and never a key. Write the result before use, so that the numbers stay."""
     w = items.select(named(item).alias("item_id"), words_of(named(text)).alias("ws")).where(F.size("ws") > 0)
+    return w.distinct().select(F.monotonically_increasing_id().alias("source"), "item_id", "ws")
+
+
+def item_windows(sources: DataFrame, window: int) -> DataFrame:
+    """(source, item_id, at, words): each window of each source; a source of fewer words is one window."""
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.size("ws") - window, F.lit(0)))).alias("at")
-    return w.select("item_id", "ws", at).select("item_id", "at", F.slice("ws", F.col("at") + 1, window).alias("words"))
+    return sources.select("source", "item_id", "ws", at).select("source", "item_id", "at", F.slice("ws", F.col("at") + 1, window).alias("words"))
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -75,38 +81,39 @@ class PositionalIndex:
         self.work = Workspace(docs.sparkSession, "positions")
         # equal rows of one key and text share a key here, so lists of places cannot mix
         self.docs = docs.select(F.struct(named(key).alias("id"), F.xxhash64(named(text)).alias("hash")).alias("key"), named(text).alias("text"))
-        self.windows = self.work.write(item_windows(items, item, item_text, window), "windows")
+        sources = self.work.write(item_sources(items, item, item_text), "sources")
+        self.windows = self.work.write(item_windows(sources, window), "windows")
         terms = self.work.write(self.windows.select(F.explode("words").alias("term")).distinct(), "terms")
         self.n_terms = terms.count()
         counted = postings(self.docs, small(terms, self.n_terms)).groupBy("term").agg(F.count("*").alias("df"))
         self.frequency = self.work.write(counted, "frequency")
-        spread = self.windows.select("item_id", "at", F.size("words").alias("size"), F.posexplode("words").alias("offset", "term"))
+        spread = self.windows.select("source", "item_id", "at", F.size("words").alias("size"), F.posexplode("words").alias("offset", "term"))
         known = spread.join(self.frequency, "term")
-        lists = known.groupBy("item_id", "at", "size").agg(F.array_sort(F.collect_list(F.struct("df", "offset", "term"))).alias("terms"))
+        lists = known.groupBy("source", "item_id", "at", "size").agg(F.array_sort(F.collect_list(F.struct("df", "offset", "term"))).alias("terms"))
         # a window with a term that the corpus lacks cannot occur
-        rare = lists.where(F.size("terms") == F.col("size")).select("item_id", "at", "size", F.slice("terms", 1, rare_terms).alias("terms"))
+        rare = lists.where(F.size("terms") == F.col("size")).select("source", "item_id", "at", "size", F.slice("terms", 1, rare_terms).alias("terms"))
         self.rare = self.work.write(rare, "rare")
-        self.places = self.work.write(self.rare.select("item_id", F.explode("terms").alias("t"), "at").select("item_id", F.col("t.term").alias("term"), (F.col("at") + F.col("t.offset")).alias("place")).distinct(), "places")
+        self.places = self.work.write(self.rare.select("source", F.explode("terms").alias("t"), "at").select("source", F.col("t.term").alias("term"), (F.col("at") + F.col("t.offset")).alias("place")).distinct(), "places")
         self.n_places = self.places.count()
         first = self.places.select("term").distinct()
         self.postings = self.work.write(postings(self.docs, small(first, self.n_places)), "postings")
 
     def aligned(self) -> DataFrame:
-        """(key, item_id, shift, places): the item's rare places that stand in the document with the item at `shift`."""
-        put = self.postings.join(small(self.places, self.n_places), "term").select("key", "item_id", (F.col("position") - F.col("place")).alias("shift"), "place")
-        return put.groupBy("key", "item_id", "shift").agg(F.collect_set("place").alias("places"))
+        """(key, source, shift, places): the source's rare places that stand in the document with the source at `shift`."""
+        put = self.postings.join(small(self.places, self.n_places), "term").select("key", "source", (F.col("position") - F.col("place")).alias("shift"), "place")
+        return put.groupBy("key", "source", "shift").agg(F.collect_set("place").alias("places"))
 
     def phrase_candidates(self) -> DataFrame:
-        """(key, item_id, at, start): windows whose rare terms' offset-adjusted lists intersect at `start`."""
-        need = self.rare.select("item_id", "at", "size", F.transform("terms", lambda t: F.col("at") + t["offset"]).alias("need"))
+        """(key, source, at, start): windows whose rare terms' offset-adjusted lists intersect at `start`."""
+        need = self.rare.select("source", "at", "size", F.transform("terms", lambda t: F.col("at") + t["offset"]).alias("need"))
         n = self.rare.count()
-        both = self.aligned().join(small(need, n), "item_id")
+        both = self.aligned().join(small(need, n), "source")
         both = both.where((F.size(F.array_except("need", "places")) == 0) & (F.col("shift") + F.col("at") >= 0))
-        return both.select("key", "item_id", "at", (F.col("shift") + F.col("at")).alias("start"))
+        return both.select("key", "source", "at", (F.col("shift") + F.col("at")).alias("start"))
 
     def phrase_matches(self) -> DataFrame:
         """(key, matches): for each document with exact occurrences of windows, structs of start, size and item_id."""
-        found = self.phrase_candidates().join(small(self.windows, self.windows.count()), ["item_id", "at"])
+        found = self.phrase_candidates().join(small(self.windows, self.windows.count()), ["source", "at"])
         found = found.groupBy("key").agg(F.collect_list(F.struct("start", "words", "item_id")).alias("found"))
         texts = self.docs.join(self.work.write(found, "candidates").hint("merge"), "key")
         same = lambda ws, m: F.transform(F.slice(ws, m["start"] + 1, F.size(m["words"])), folded) == m["words"]
@@ -117,15 +124,16 @@ class PositionalIndex:
     def proximity_matches(self, slop: int) -> DataFrame:
         """(key, item_id, at, position): windows all of whose rare terms stand within `slop` words of a posting of the
         rarest one, in any order; each such posting."""
-        terms = self.rare.select("item_id", "at", F.posexplode("terms").alias("nth", "t")).select("item_id", "at", "nth", F.col("t.term").alias("term"))
+        terms = self.rare.select("source", "at", F.posexplode("terms").alias("nth", "t")).select("source", "at", "nth", F.col("t.term").alias("term"))
         n = self.rare.select(F.sum(F.size("terms"))).first()[0] or 0
         put = self.postings.join(small(terms, n), "term")
-        lead = put.where("nth = 0").select("key", "item_id", "at", "position", F.explode(F.sequence(F.floor(F.col("position") / (slop + 1)) - 1, F.floor(F.col("position") / (slop + 1)) + 1)).alias("block"))
-        near = put.select("key", "item_id", "at", "nth", F.col("position").alias("other"), F.floor(F.col("position") / (slop + 1)).alias("block"))
-        close = lead.join(near, ["key", "item_id", "at", "block"]).where(F.abs(F.col("position") - F.col("other")) <= slop)
-        seen = close.groupBy("key", "item_id", "at", "position").agg(F.count_distinct("nth").alias("n"))
-        size = self.rare.select("item_id", "at", F.size("terms").alias("size"))
-        return seen.join(small(size, n), ["item_id", "at"]).where(F.col("n") == F.col("size")).select("key", "item_id", "at", "position")
+        lead = put.where("nth = 0").select("key", "source", "at", "position", F.explode(F.sequence(F.floor(F.col("position") / (slop + 1)) - 1, F.floor(F.col("position") / (slop + 1)) + 1)).alias("block"))
+        near = put.select("key", "source", "at", "nth", F.col("position").alias("other"), F.floor(F.col("position") / (slop + 1)).alias("block"))
+        close = lead.join(near, ["key", "source", "at", "block"]).where(F.abs(F.col("position") - F.col("other")) <= slop)
+        seen = close.groupBy("key", "source", "at", "position").agg(F.count_distinct("nth").alias("n"))
+        size = self.rare.select("source", "item_id", "at", F.size("terms").alias("size"))
+        found = seen.join(small(size, n), ["source", "at"]).where(F.col("n") == F.col("size"))
+        return found.select("key", "item_id", "at", "position").distinct()  # texts of one item_id may share a place
 
 
 def _covered(matches: Column) -> Column:
