@@ -87,6 +87,15 @@ def test_near_duplicates(odd, none):
     assert sorted(k for k in kept if k is not None) == [1, 2, 3, 4, 8, 11, 12]
 
 
+def test_one_of_each_class_stays_where_ids_repeat(spark):
+    a, b = prose(21, 80), prose(22, 80)
+    near = lambda t: t.replace(" ", "\n", 3)  # noqa: E731  the same words, another text
+    docs = [(1, a), (2, near(a)), (2, b), (5, near(b)), (7, prose(23, 80)), (7, near(prose(23, 80))), (None, prose(24, 80)), (None, near(prose(24, 80))), (9, prose(25, 80)), (9, prose(25, 80))]
+    kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id or 0, " ".join(r.text.split())) for r in kept)
+    assert got == [(0, prose(24, 80)), (1, a), (2, b), (7, prose(23, 80)), (9, prose(25, 80))]
+
+
 def brute_passages(docs, length):
     texts = [(d, re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())) for d, t, *_ in docs]
     order = lambda d: (d is None, d or 0)

@@ -170,11 +170,8 @@ def fingerprint_links(distinct: DataFrame, bits: int = 2) -> DataFrame:
     return lists.select("fps").mapInArrow(_links(bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, bits: int = 2) -> DataFrame:
-    """One row per input row: key, fp (signed 64-bit) and component_id, the smallest key reachable over links."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "simhash")
-    rows = work.write(with_fingerprints(docs.select(named(key).alias("id"), named(text).alias("text")), "text", ("id",), shingle), "fingerprints")
+def _labelled(rows: DataFrame, work: Workspace, bits: int) -> DataFrame:
+    """rows(id, fp, ...), written, with component (the smallest fingerprint of the class) and component_id."""
     groups = work.write(rows.groupBy("fp").agg(F.min("id").alias("least")), "groups")
     links = fingerprint_links(groups.select("fp"), bits)
     found = connected_components(links, work)
@@ -182,18 +179,32 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     classes = groups.join(found.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     classes = work.write(classes, "classes")
     least = work.write(classes.groupBy("component").agg(F.min("least").alias("component_id")), "least")
-    label = work.write(classes.join(least, "component").select("fp", "component_id"), "labels")
+    label = work.write(classes.join(least, "component").select("fp", "component", "component_id"), "labels")
     work.keep("fingerprints", "labels")
-    return rows.join(label, "fp").select(F.col("id").alias(key), "fp", "component_id")
+    return rows.join(label, "fp")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, bits: int = 2) -> DataFrame:
+    """One row per input row: key, fp (signed 64-bit) and component_id, the smallest key reachable over links."""
+    work = Workspace(docs.sparkSession, "simhash")
+    rows = work.write(with_fingerprints(docs.select(named(key).alias("id"), named(text).alias("text")), "text", ("id",), shingle), "fingerprints")
+    return _labelled(rows, work, bits).select(F.col("id").alias(key), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, bits: int = 2) -> DataFrame:
-    """The rows of `docs` with one document of each class: the one of smallest key, once."""
-    work = Workspace(docs.sparkSession, "simhash-kept")
-    found = near_duplicates(docs, text, key, shingle, bits)
-    first = work.write(found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("first")).agg(F.count("*").alias("n")), "first")
-    kept = docs.join(first.hint("merge"), named(key).eqNullSafe(F.col("first")), "left_semi")
-    if first.where("n > 1").isEmpty():
-        return kept
+    """The rows of `docs` with one document of each class: the one of smallest key, once. Rows may share a key or have
+    none: among those of the smallest key the text of smallest hash stays."""
+    work, kept_work = Workspace(docs.sparkSession, "simhash"), Workspace(docs.sparkSession, "simhash-kept")
+    source = docs.select(named(key).alias("id"), F.xxhash64(named(text)).alias("hash"), named(text).alias("text"))
+    rows = work.write(with_fingerprints(source, "text", ("id", "hash"), shingle), "fingerprints")
+    leads = _labelled(rows, work, bits).where(F.col("id").eqNullSafe(F.col("component_id")))
+    leads = leads.groupBy("component", "id", "hash").agg(F.count("*").alias("n"))
+    first = leads.groupBy("component", "id").agg(F.min("hash").alias("first_hash"), F.min_by("n", "hash").alias("n"))
+    first = kept_work.write(first.select(F.col("id").alias("first_id"), "first_hash", "n"), "first")
     tie = fresh_name(docs, "row_hash")
-    return kept.withColumn(tie, F.xxhash64(named(text))).dropDuplicates([key, tie]).drop(tie)
+    mine = first.select(F.col("first_id").alias(fresh_name(docs, "first_id")), F.col("first_hash").alias(fresh_name(docs, "first_hash")))
+    same = named(key).eqNullSafe(F.col(mine.columns[0])) & (F.col(tie) == F.col(mine.columns[1]))
+    kept = docs.withColumn(tie, F.xxhash64(named(text))).join(mine.hint("merge"), same, "left_semi")
+    if not first.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates([key, tie])
+    return kept.drop(tie)
