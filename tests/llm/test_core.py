@@ -136,6 +136,21 @@ def test_pieces_encode_as_whole_texts():
         assert ids[first[i] : first[i + 1]].tolist() == [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
+def test_strings_of_added_tokens_get_their_ids():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    rng = random.Random(5)
+    letters = ["a", " b", " ", "  ", "\n", "<|endo", "ftext|>", "<|endoftext|>", " <|endoftext|>"]
+    texts = ["x  <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>  b c"] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+    for as_text in (False, True):
+        library.encode_special_tokens = as_text
+        ids, first = tokens.PieceEncoder(tokenizer_path(), as_text).encode(*parts(texts))
+        for i, text in enumerate(texts):
+            assert ids[first[i] : first[i + 1]].tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
+    assert tokens.encoder(tokenizer_path()).encode(*parts(["a<|endoftext|>"]))[0].tolist() == [64, 50256, 0]
+
+
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=50))
 @settings(max_examples=150, deadline=None)
 def test_ranks_round_trip(ranks):

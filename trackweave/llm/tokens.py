@@ -2,7 +2,9 @@
 
 The byte-level pre-tokenizer splits texts with a pattern in which a single space followed by a visible ASCII character
 always begins a new pre-token, whatever stands before it. So a text can be cut there, each distinct piece encoded by
-the tokenizers library once, and the ids put together again: the result is that of encoding the whole text. Pieces
+the tokenizers library once, and the ids put together again: the result is that of encoding the whole text. The strings
+of added tokens in a text get the ids of the file, as in the library; there is no cut in, just before or next after one,
+as they end the text that the pattern sees. With special_as_text those of special tokens are ordinary text. Pieces
 are known by a 64-bit hash of their bytes and length, in two arrays that the worker keeps from batch to batch.
 """
 
@@ -19,16 +21,18 @@ END_ID = 0
 KNOWN_PIECES = 2_000_000
 
 _VISIBLE = tc.lut(range(0x21, 0x7F))
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 class PieceEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content.encode() for t in added if t.content and not (special_as_text and t.special)]
         self.forget()
 
     def forget(self) -> None:
@@ -49,11 +53,23 @@ class PieceEncoder:
         spot = np.searchsorted(self.hashes, hashes)
         self.hashes, self.rows = np.insert(self.hashes, spot, hashes), np.insert(self.rows, spot, rows)
 
+    def _keep_added(self, raw: bytes, cut: np.ndarray) -> None:
+        """Take away the cuts in each occurrence of an added token, at the space before and the next one after it."""
+        spots = np.append(np.flatnonzero(cut), len(cut) - 1)
+        for token in self.added:
+            p = raw.find(token)
+            while p >= 0:
+                cut[max(p - 1, 0) : p + len(token)] = False
+                cut[spots[np.searchsorted(spots, p + len(token))]] = False
+                p = raw.find(token, p + 1)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): the ids of the documents of a slice, each followed by end_id, and where each begins."""
         n = len(data)
         cut = np.zeros(n + 1, bool)
         cut[: max(n - 1, 0)] = (data[:-1] == 32) & _VISIBLE[data[1:]]
+        raw = data.tobytes()
+        self._keep_added(raw, cut)
         cut[offsets] = True
         at = np.flatnonzero(cut)
         starts, ends = at[:-1], at[1:]
@@ -66,7 +82,6 @@ class PieceEncoder:
                 if len(self.hashes) + new.sum() > KNOWN_PIECES:
                     self.forget()
                     new[:] = True
-                raw = data.tobytes()
                 pieces = [raw[a:b].decode() for a, b in zip(starts[first_at[new]].tolist(), ends[first_at[new]].tolist(), strict=True)]
                 self._learn(unique[new], pieces)
             row = self.rows[np.searchsorted(self.hashes, unique)][which]
@@ -86,8 +101,8 @@ class PieceEncoder:
         return out, first + np.arange(len(offsets))
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, special_as_text: bool = False) -> PieceEncoder:
     """The worker's encoder of a tokenizer file, which must be at this path on every executor."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    if (path, special_as_text) not in _encoders:
+        _encoders[path, special_as_text] = PieceEncoder(path, special_as_text)
+    return _encoders[path, special_as_text]
