@@ -89,41 +89,107 @@ def test_difference_covers_cover():
         assert {(a - b) % v for a in cover for b in cover} == set(range(v))
 
 
-def _repeats(texts, length, k):
+def _occurrences(texts, lengths, k):
+    """(text, start, end, group) of all occurrences, and each group's strings."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    groups = defaultdict(lambda: defaultdict(list))
-    for h, place, lo, hi in zip(*map(np.ndarray.tolist, suffix_repeats.anchors(data, offsets, length, k)), strict=True):
-        groups[h][data[lo : hi + length].tobytes(), place - lo].append(lo)
-    gone = np.zeros(len(data), bool)
-    for group in groups.values():
-        keys = list(group)
-        spans = suffix_repeats.context_spans([c for c, _ in keys], [a for _, a in keys], [len(group[x]) for x in keys], length)
-        for x, found in zip(keys, spans, strict=True):
-            for base in group[x]:
-                for s, e in found:
-                    gone[base + s : base + e] = True
-        for left, right, members in suffix_repeats.maximal_repeats([c for c, _ in keys], [a for _, a in keys], length):
-            strings = {keys[m][0][keys[m][1] - left : keys[m][1] + right] for m in members}
-            assert len(strings) == 1 and len(members) > 1 and left + right >= length
-    return [gone[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    anchored = defaultdict(lambda: defaultdict(list))
+    for h, place, lo, hi in zip(*map(np.ndarray.tolist, suffix_repeats.anchors(data, offsets, lengths, k)), strict=True):
+        anchored[h][data[lo:hi].tobytes(), place - lo].append(lo)
+    found, strings = [], defaultdict(set)
+    for h, contexts in anchored.items():
+        keys = list(contexts)
+        for g, x, s, e in suffix_repeats.context_groups([c for c, _ in keys], [a for _, a in keys], [len(contexts[x]) for x in keys], min(lengths)):
+            for base in contexts[keys[x]]:
+                doc = int(np.searchsorted(offsets, base, "right")) - 1
+                found.append((doc, base + s - int(offsets[doc]), base + e - int(offsets[doc]), (h, g)))
+                strings[h, g].add(data[base + s : base + e].tobytes())
+    return found, strings
 
 
 def test_repeats_match_counting_every_string():
     rng = random.Random(1)
-    for _ in range(150):
-        length = rng.choice([8, 12, 20])
+    for _ in range(200):
+        lengths = rng.choice([(8,), (12,), (20,), (20, 12), (12, 8)])
         alphabet = rng.choice([b"ab", b"abcd", bytes(range(97, 123))])
         draw = lambda n, alphabet=alphabet: bytes(rng.choice(alphabet) for _ in range(n))
         passages = [draw(rng.randint(5, 60)) for _ in range(4)]
         texts = [b"".join(rng.choice(passages) if rng.random() < 0.5 else draw(rng.randint(0, 20)) for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(1, 8))]
-        count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
-        for text, got in zip(texts, _repeats(texts, length, rng.choice([3, 4, length])), strict=True):
-            want = np.zeros(len(text), bool)
-            for i in range(len(text) - length + 1):
-                if count[text[i : i + length]] > 1:
-                    want[i : i + length] = True
-            assert (want == got).all()
+        found, strings = _occurrences(texts, lengths, rng.choice([3, 4, min(lengths)]))
+        of = Counter(g for *_, g in found)
+        for g, ss in strings.items():  # a group is one string, and has all its occurrences around this anchor
+            assert len(ss) == 1 and len(min(ss)) >= min(lengths) and of[g] > 1
+        for length in lengths:
+            count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+            for n, text in enumerate(texts):
+                want, got = np.zeros(len(text), bool), np.zeros(len(text), bool)
+                for i in range(len(text) - length + 1):
+                    if count[text[i : i + length]] > 1:
+                        want[i : i + length] = True
+                for doc, s, e, _ in found:
+                    if doc == n and e - s >= length:
+                        got[s:e] = True
+                assert (want == got).all()
+
+
+def test_maximal_repeats_have_all_occurrences_and_cannot_be_extended():
+    rng = random.Random(2)
+    for _ in range(300):
+        m, length = rng.randint(2, 9), rng.randint(2, 6)
+        contexts, anchor = [], []
+        while len(contexts) < m:
+            left, right = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 5))) for _ in range(2))
+            if (left, right) not in [(c[:a].decode(), c[a + 1 :].decode()) for c, a in zip(contexts, anchor, strict=True)]:
+                contexts.append(f"{left}X{right}".encode())
+                anchor.append(len(left))
+        want = set()
+        for left in range(6):
+            for right in range(1, 7):
+                by = defaultdict(list)
+                for x, (c, a) in enumerate(zip(contexts, anchor, strict=True)):
+                    if a >= left and len(c) - a >= right:
+                        by[c[a - left : a + right]].append(x)
+                for group in by.values():
+                    wider = [{contexts[x][anchor[x] - left - 1 : anchor[x] - left] if anchor[x] > left else x for x in group}, {contexts[x][anchor[x] + right : anchor[x] + right + 1] or x for x in group}]
+                    if len(group) > 1 and left + right >= length and all(len(w) > 1 for w in wider):
+                        want.add((left, right, tuple(group)))
+        assert {(a, b, tuple(sorted(g))) for a, b, g in suffix_repeats.maximal_repeats(contexts, anchor, length)} == want
+
+
+def thue_morse(n):
+    word = b"a"
+    while len(word) < n:
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    return word
+
+
+def test_hashes_tell_self_similar_texts_apart():
+    word = thue_morse(4096)
+    data = np.frombuffer(word + word.translate(bytes.maketrans(b"ab", b"ba")), np.uint8)
+    raw = data.tobytes()
+    for size in (1, 2, 3, 5, 8, 9, 13, 64, 65, 400, 1024, 2048):
+        strings = [raw[i : i + size] for i in range(len(raw) - size + 1)]
+        starts = np.arange(len(strings))
+        for h in (tc.byte_windows(data, size), tc.span_hashes(data, starts, starts + size)):
+            assert len(set(strings)) == len(set(h.tolist())) == len(set(zip(h.tolist(), strings, strict=True)))
+    letters = tc.span_hashes(data, np.arange(len(data)), np.arange(len(data)) + 1)
+    for size in (2, 3, 32, 50, 512):
+        strings = [raw[i : i + size] for i in range(len(raw) - size + 1)]
+        assert len(set(strings)) == len(set(zip(tc.window_hashes(letters, size).tolist(), strings, strict=True))) == len(set(tc.window_hashes(letters, size).tolist()))
+
+
+def test_repetition_of_self_similar_lines():
+    a = thue_morse(2048).decode()
+    b = a.translate(str.maketrans("ab", "ba"))
+    got = repetition.measure(*parts([f"{a}\n{b}", f"{a}\n{a}", " ".join(thue_morse(4096).decode())]))
+    assert got["n_dup_lines"].tolist() == [0, 1, 0]
+    ws = list(thue_morse(4096).decode())
+    seen, covered = set(), set()
+    for k in range(len(ws) - 9):
+        if tuple(ws[k : k + 10]) in seen:
+            covered |= set(range(k, k + 10))
+        seen.add(tuple(ws[k : k + 10]))
+    assert got["dup_chars_10"][2] == len(covered)
 
 
 def test_pieces_encode_as_whole_texts():
@@ -136,6 +202,19 @@ def test_pieces_encode_as_whole_texts():
         assert ids[first[i] : first[i + 1]].tolist() == [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
+def test_pieces_of_self_similar_text_and_of_equal_hashes(monkeypatch):
+    a = thue_morse(2048).decode()
+    texts = [a, a.translate(str.maketrans("ab", "ba")), "one two one", "", "three"]
+    library = tokens.PieceEncoder(tokenizer_path())
+    want = [[*library.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    for hashes in (tc.span_hashes, lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3)):
+        monkeypatch.setattr(tc, "span_hashes", hashes)
+        encoder = tokens.PieceEncoder(tokenizer_path())
+        for _ in range(2):  # of new pieces and of known ones
+            ids, first = encoder.encode(*parts(texts))
+            assert [ids[x:y].tolist() for x, y in zip(first[:-1], first[1:], strict=True)] == want
+
+
 def test_strings_of_added_tokens_get_their_ids():
     from tokenizers import Tokenizer
 

@@ -137,10 +137,47 @@ def brute_strings(docs, length):
 
 @pytest.mark.parametrize("group_contexts", [20_000, 1])
 def test_strings(odd, none, group_contexts):
-    assert rows(suffix_repeats.repeat_digest(odd, group_contexts=group_contexts)) == brute_strings(ODD, 400)
+    got = suffix_repeats.repeat_digest(odd, shorter={"n_short": 200}, group_contexts=group_contexts)
+    assert rows(got.drop("n_short")) == brute_strings(ODD, 400)
+    assert sorted((str(r.doc_id), r.n_short) for r in got.collect()) == sorted((str(r[0]), r[2]) for r in brute_strings(ODD, 200))
     assert suffix_repeats.repeat_digest(none).count() == 0
 
 
+def brute_later(docs, length):
+    """The texts without the bytes under strings that start earlier too, in order of doc_id and place."""
+    seen, out = set(), {}
+    for d, t in sorted(docs):
+        raw = t.encode()
+        gone = np.zeros(len(raw), bool)
+        for i in range(len(raw) - length + 1):
+            if raw[i : i + length] in seen:
+                gone[i : i + length] = True
+            seen.add(raw[i : i + length])
+        out[d] = np.frombuffer(raw, np.uint8)[~gone].tobytes().decode()
+    return out
+
+
+@pytest.mark.parametrize("group_contexts", [20_000, 1])
+def test_the_first_occurrence_can_stay(spark, group_contexts):
+    a, b, c = (prose(n, 60) for n in (31, 32, 33))
+    texts = [(4, f"{a} x {b}"), (1, f"{b} y"), (2, f"z {b} {c}"), (3, f"{c} {a} {a}"), (5, f"u {b} {c}"), (6, prose(34, 60))]
+    got = {r.doc_id: r.text for r in suffix_repeats.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), length=200, keep_first=True, group_contexts=group_contexts).collect()}
+    assert got == brute_later(texts, 200) and got[1] == f"{b} y" and got[6] == prose(34, 60)
+
+
+def test_self_similar_texts_are_told_apart(spark):
+    a = b"a"
+    while len(a) < 2048:
+        a += a.translate(bytes.maketrans(b"ab", b"ba"))
+    b = a.translate(bytes.maketrans(b"ab", b"ba"))
+    words = [f"{w.decode()}{i}" for w in (a, b) for i in range(1)]
+    tail = " ".join(f"w{i}" for i in range(49))
+    texts = [(1, f"{words[0]} {tail}"), (2, f"{words[1]} {tail}"), (3, a.decode()), (4, b.decode())]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert [r.n_removed for r in passage_cover.passage_digest(docs).collect()] == [0, 0, 0, 0]
+    assert rows(suffix_repeats.repeat_digest(docs)) == brute_strings(texts, 400)
+
+
 def test_strings_are_cut_at_characters(spark):
     a, b = "é" * 300, "è" * 300  # the characters share their first byte
     docs = spark.createDataFrame([(1, "x" + a), (2, "y" + a), (3, "z" + b)], "doc_id long, text string")
@@ -306,8 +343,10 @@ def test_pipeline_stages_hold_what_they_say(spark, odd):
     cut = corpus_pipeline.suffix_array_dedup(spark, one, "")
     assert cut.columns == docs.columns
     before = {r.doc_id: r.text for r in one.collect()}
-    want = {d: (n, gone) for d, n, gone, _, _ in brute_strings([(d, t) for d, t in before.items()], 400)}
-    for r in cut.collect():
-        assert (len(r.text.encode()) == want[r.doc_id][0] - want[r.doc_id][1]) and (want[r.doc_id][1] == 0 or r.n_chars == len(r.text))
+    order = {d: (d is not None, d or 0) for d in before}  # a null doc_id before all others
+    want = brute_later([(order[d], t) for d, t in before.items()], corpus_pipeline.PASSAGE_BYTES)
+    got = {r.doc_id: r for r in cut.collect()}
+    assert {d: r.text for d, r in got.items()} == {d: want[order[d]] for d in before if want[order[d]].split()}
+    assert all(r.text == before[d] or r.n_chars == len(r.text) for d, r in got.items()) and got[2].text == before[2] != got[3].text
     packed = corpus_pipeline.best_fit_packing(spark, cut, "")
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in cut.collect()}

@@ -36,8 +36,8 @@ LENGTH = 50
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
 #: Parts in which the full windows are compared, one after the other.
 SLICES = 4
-_BASE2 = 0xC2B2AE3D27D4EB4F
-_INVERSE2 = pow(_BASE2, -1, 1 << 64)
+#: Of the second hash of words and windows, independent of the first.
+SECOND = 1
 
 
 def difference_cover(v: int) -> tuple[int, ...]:
@@ -85,7 +85,7 @@ def _scan(length: int):
 
 
 def _windows(length: int):
-    """Windows of full length around the listed places, hashed twice."""
+    """Windows of full length around the listed places, hashed twice, from two hashes of each word."""
     size = length - period_for(length) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +104,7 @@ def _windows(length: int):
                 np.add.at(near, places + 1, -1)
                 s = np.flatnonzero(np.cumsum(near)[:-1] > 0)
                 s = s[s + length <= first[doc[s] + 1]]
-                x, y = tc.window_hashes(h, length), tc.window_hashes(h, length, _BASE2, _INVERSE2)
+                x, y = tc.window_hashes(h, length), tc.window_hashes(tc.span_hashes(data, starts, ends, SECOND), length)
                 row = pa.array(a + doc[s])
                 yield pa.RecordBatch.from_arrays([pa.array(x[s].view(np.int64)), pa.array(y[s].view(np.int64)), ids.take(row), hashes.take(row), pa.array((s - first[doc[s]]).astype(np.int32))], ["x", "y", "id", "hash", "start"])
 

@@ -111,3 +111,25 @@ def fresh_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, max_rows: int, max_bytes: int) -> tuple[list[tuple[int, str]], dict[int, int]]:
+    """A bounded sample of labelled texts for a fit on the driver, and the number of labelled rows by label.
+
+    labels(key, label). Of each label the different texts of smallest hash: at most `max_rows`, and only while their
+    bytes, added up in that order, stay within `max_bytes`. Texts of more than max_bytes / 8 are not taken. So the
+    sample does not depend on the layout of the tables or on how many copies a text has.
+    """
+    counts = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
+    rows = docs.select(named(key).alias("key"), F.coalesce(named(text), F.lit("")).alias("text")).join(labels, "key")
+    every = rows.groupBy("label", F.xxhash64("text").alias("hash")).agg(F.max(F.octet_length("text")).alias("size"))
+    every = every.where(F.col("size") <= max_bytes // 8)
+    picked: list[tuple[int, int]] = []
+    for value in sorted(counts):
+        total = 0
+        for r in every.where(F.col("label") == value).orderBy("hash").limit(max_rows).collect():
+            total += r["size"]
+            if total > max_bytes:
+                break
+            picked.append((value, r["hash"]))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(picked, "label int, hash long"))  # at most max_rows of each label
+    texts = rows.withColumn("hash", F.xxhash64("text")).join(chosen, ["label", "hash"]).groupBy("label", "hash").agg(F.min("text").alias("text"))
+    return [(r["label"], r["text"]) for r in sorted(texts.collect(), key=lambda r: (r["label"], r["hash"]))], counts

@@ -7,8 +7,9 @@
    of the groups (method of moments), so they come from the data: many alike sites shrink strongly.
 3. A document's prior is its path's rate without itself; evidence and prior together give its posterior.
 
-The classifier is fitted on the driver to a bounded sample of labelled rows (at most MAX_ROWS, none longer than
-MAX_CHARS). Everything else covers all documents by grouped aggregation with partial sums, so a host with a third of
+The classifier is fitted on the driver to a bounded sample of the labelled rows' different texts (of each label those
+of smallest hash, at most MAX_ROWS and MAX_BYTES together; a single text of more than MAX_BYTES / 8 cannot be held
+beside others and is left out). Everything else covers all documents by grouped aggregation with partial sums, so a host with a third of
 the rows is no burden; the tables of hosts and paths are broadcast only when counted to be small.
 
 Defined results: a null host or path is a group of its own; null and empty texts have zero features; repeated rows
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 
 from . import repetition
 from . import textcore as tc
-from .shared import Workspace, named, ship, small
+from .shared import Workspace, labelled_sample, named, ship, small
 
-MAX_ROWS, MAX_CHARS = 4000, 20_000
+MAX_ROWS, MAX_BYTES = 2000, 12 << 20
 _UPPER, _DIGIT = tc.lut(range(65, 91)), tc.lut(range(48, 58))
 _STOP, _BAR = tc.lut(*b".!?"), tc.lut(*b"|")
 _PUNCT = tc.lut(range(33, 48), range(58, 65), range(91, 97), range(123, 127))
@@ -73,8 +74,9 @@ def _features_of(texts: list[str]) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros((0, 14))
 
 
-def train(texts: list[str], good: np.ndarray, ridge: float = 1.0) -> Classifier:
-    """Ridge logistic regression by Newton's method."""
+def train(texts: list[str], good: np.ndarray, whole_share: float | None = None, ridge: float = 1.0) -> Classifier:
+    """Ridge logistic regression by Newton's method; the intercept is moved to the share of good rows among all
+    labelled ones, where that differs from the sample's."""
     x, y = _features_of(texts), np.asarray(good, float)
     share = float(y.mean()) if len(y) else 0.5
     if not len(y) or share in (0.0, 1.0):
@@ -89,25 +91,28 @@ def train(texts: list[str], good: np.ndarray, ridge: float = 1.0) -> Classifier:
         b -= np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-8:
             break
-    return Classifier(mean, deviation, b[:-1], float(b[-1]), share)
+    whole = share if whole_share is None else min(max(whole_share, 1e-3), 1 - 1e-3)
+    return Classifier(mean, deviation, b[:-1], float(b[-1] + _odds(whole) - _odds(share)), whole)
+
+
+def _odds(p: float) -> float:
+    return float(np.log(p / (1 - p)))
 
 
 def held_out(key: str) -> Column:
     return F.crc32(named(key).cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Classifier:
     """Train on a bounded sample of the labelled rows that are not held out."""
     usable = labels.where(named(label).isin(0, 1) & ~held_out(key)).select(named(key).alias("key"), named(label).cast("int").alias("label"))
-    n, parts = usable.count(), 1 << 30
-    chance = min(parts, int(parts * 1.1 * max_rows / max(n, 1)))
-    rows = docs.select(named(key).alias("key"), named(text).alias("text")).where(F.length("text") <= max_chars).join(usable, "key")
-    sample = sorted((r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) < chance).select("text", "label").limit(max_rows).collect())
-    return train([t for t, _ in sample], np.array([y for _, y in sample], float))
+    sample, counts = labelled_sample(docs, usable, key, text, max_rows, max_bytes)
+    n = sum(counts.values())
+    return train([t for _, t in sample], np.array([y for y, _ in sample], float), counts.get(1, 0) / n if n else None)
 
 
 def _evidence(model: Classifier):
-    base = float(np.log(model.share / (1 - model.share)))
+    base = _odds(model.share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +145,7 @@ def site_quality(docs: DataFrame, model: Classifier, host: Column, path: Column,
     group = lambda c: F.coalesce(c.cast("string"), F.lit("\0"))
     rows = docs.select(named(key).alias("id"), group(host).alias("host"), group(path).alias("path"), named(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    base = float(np.log(model.share / (1 - model.share)))
+    base = _odds(model.share)
     scored = rows.mapInArrow(_evidence(model), f"id {kind}, host string, path string, evidence double")
     scored = work.write(scored.withColumn("p", 1 / (1 + F.exp(-(F.col("evidence") + base)))), "evidence")
 

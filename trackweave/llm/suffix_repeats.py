@@ -6,19 +6,26 @@ need only hold the suffixes at anchors, and falls apart by the anchor's hash int
 
 1. scan: the anchors of every document (hash, document, place);
 2. hashes that occur once are left out by a grouped count and a join (both split hot keys);
-3. the others get their context, all bytes that strings around this anchor can reach; equal contexts are merged
-   before any group is formed, so copies do not make a group large;
+3. the others get their context, all bytes that strings around this anchor can reach; equal contexts (equal 128-bit
+   hashes) are merged before any group is formed, so copies do not make a group large;
 4. per anchor hash: the suffixes from the anchor on are sorted and get their common-prefix lengths (the enhanced
-   array). A stack scan lists the prefix intervals; within one, the reversed left contexts are sorted too, and their
-   common lengths tell how far members agree to the left. Where left and right lengths reach `length`, and the members
-   continue differently on either side, there is a maximal repeat, with all its occurrences;
-5. the repeats' spans go back to every occurrence and are merged per document.
+   array). A stack scan makes the tree of prefix intervals; within one, the reversed left contexts are sorted too, and
+   the same scan over them gives the sets that agree to the left. A set whose members continue differently on either
+   side (left and right diversity) and agree in `length` bytes or more is a maximal repeat: it is put out with all its
+   occurrences. Bytes are compared here, so hashes that collide do no harm;
+5. the spans of a document are those of its occurrences in all groups.
 
-A hash with more than GROUP_CONTEXTS different contexts takes another exact way that needs no group: its strings of
-`length` bytes are hashed twice (128 bits) and counted by a grouped sum.
+Several lengths can be asked for at once: an anchor of a longer string is one of a shorter string too, so one scan
+with the contexts of both serves all. A repeat wider than a context shows up as a chain of overlapping groups.
+
+A hash with more than GROUP_CONTEXTS different contexts takes another exact way that needs no group in a task: its
+strings are hashed with 128 bits and counted by a grouped sum; each string that occurs twice is a group.
 
 Defined results: null and empty texts have no bytes and no spans; matches never cross rows; two rows that hold the
-same text are occurrences of each other, equal doc_ids or not; documents shorter than `length` keep everything.
+same text are occurrences of each other, equal doc_ids or not; documents shorter than `length` keep everything; very
+long texts are read in slices of whole documents, so memory follows the longest one; an empty table gives no rows;
+other columns are carried by name only, and helper columns avoid their names; ties have no say, as all occurrences of
+a repeat count alike (with keep_first the one of smallest key and place stays, a null key before all others).
 """
 
 from __future__ import annotations
@@ -29,63 +36,67 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
 from .shared import Workspace, fresh_name, named, ship
 
-K = 128
-#: The most different contexts of an anchor that are sorted in one task (about 15 MB).
-GROUP_CONTEXTS = 20_000
+LENGTH, K = 400, 64
+#: The most different contexts of an anchor that are sorted in one task (about 1.5 MB).
+GROUP_CONTEXTS = 2048
 _PLACE = np.uint64((1 << 31) - 1)
-_BASE2 = 0xC2B2AE3D27D4EB4F
-_INVERSE2 = pow(_BASE2, -1, 1 << 64)
-
-
-def rolling(data: np.ndarray, size: int, base: int = tc.BASE) -> np.ndarray:
-    """Hash of the `size` bytes from each position on."""
-    return tc.window_hashes(data.astype(np.uint64) + np.uint64(1), size, base, pow(base, -1, 1 << 64))
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
-    """(hash, place, first start, last start): the anchors and the strings of `length` bytes that choose each one."""
-    n, w = len(data), length - k + 1
+def _choosers(keys: np.ndarray, offsets: np.ndarray, length: int, k: int):
+    """(place, first start, end of the last string) of the k-grams that strings of `length` bytes choose."""
+    n, w = int(offsets[-1]), length - k + 1
     none = np.zeros(0, np.int64)
-    if n < length:
-        return none.astype(np.uint64), none, none, none
-    h = rolling(data, k)
-    keys = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
-    padded = np.full(-(-len(h) // w) * w, np.uint64(2**64 - 1))
-    padded[: len(h)] = keys
+    count = n - length + 1
+    if count <= 0:
+        return none, none, none
+    padded = np.full(-(-len(keys) // w) * w, np.uint64(2**64 - 1))
+    padded[: len(keys)] = keys
     blocks = padded.reshape(-1, w)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    count = n - length + 1
     chosen = (np.minimum(back[:count], ahead[w - 1 : w - 1 + count]) & _PLACE).astype(np.int64)
     inside = np.arange(count) + length <= np.repeat(offsets[1:], np.diff(offsets))[:count]
     start = np.flatnonzero(inside)
     at = chosen[start]
     if not len(at):
-        return none.astype(np.uint64), none, none, none
+        return none, none, none
     turn = np.flatnonzero(np.diff(at)) + 1
     first, last = np.concatenate([[0], turn]), np.append(turn, len(at)) - 1
-    return h[at[first]], at[first], start[first], start[last]
+    return at[first], start[first], start[last] + length
 
 
-def _scan(length: int, k: int):
+def anchors(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...], k: int):
+    """(hash, place, begin, end): the anchors, and the bytes of all strings of one of `lengths` that choose each one."""
+    h = tc.byte_windows(data, k)
+    keys = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+    place, begin, end = map(np.concatenate, zip(*(_choosers(keys, offsets, n, k) for n in lengths), strict=True))
+    place, of = np.unique(place, return_inverse=True)
+    lo, hi = np.full(len(place), len(data)), np.zeros(len(place), np.int64)
+    np.minimum.at(lo, of, begin)
+    np.maximum.at(hi, of, end)
+    return h[place], place, lo, hi
+
+
+def _scan(lengths: tuple[int, ...], k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.columns
             for a, _, data, offsets in tc.slices(texts):
-                h, place, _, _ = anchors(data, offsets, length, k)
+                h, place, _, _ = anchors(data, offsets, lengths, k)
                 doc = np.searchsorted(offsets, place, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(a + doc)), pa.array((place - offsets[doc]).astype(np.int32))], ["h", "id", "place"])
 
     return run
 
 
-def _contexts(length: int, k: int):
+def _contexts(lengths: tuple[int, ...], k: int):
     """The contexts of the anchors whose places are listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,15 +104,16 @@ def _contexts(length: int, k: int):
             keys, texts, lists = batch.column("key"), batch.column("text"), batch.column("places")
             wanted, ends = np.asarray(lists.flatten(), np.int64), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths(), np.int64))])
             for a, b, data, offsets in tc.slices(texts):
-                h, place, lo, hi = anchors(data, offsets, length, k)
+                h, place, lo, hi = anchors(data, offsets, lengths, k)
                 doc = np.searchsorted(offsets, place, "right") - 1
                 listed = np.repeat(offsets[:-1], np.diff(ends[a : b + 1])) + wanted[ends[a] : ends[b]]
                 use = np.flatnonzero(np.isin(place, listed))
-                h, place, lo, hi, doc = h[use], place[use], lo[use], hi[use] + length, doc[use]
-                ck = tc.mix(tc.span_hashes(data, lo, hi) + (place - lo).astype(np.uint64))
-                raw = data.tobytes()
+                h, place, lo, hi, doc = h[use], place[use], lo[use], hi[use], doc[use]
+                raw, anchor = data.tobytes(), (place - lo).astype(np.int32)
+                context = [raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                ck = [xxhash.xxh3_128_digest(c, x) for c, x in zip(context, anchor.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(ck.view(np.int64)), keys.take(pa.array(a + doc)), pa.array((lo - offsets[doc]).astype(np.int32)), pa.array((place - lo).astype(np.int32)), pa.array([raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())],
+                    [pa.array(h.view(np.int64)), pa.array(ck, pa.binary()), keys.take(pa.array(a + doc)), pa.array((lo - offsets[doc]).astype(np.int32)), pa.array(anchor), pa.array(context, pa.binary())],
                     ["h", "ck", "key", "base", "anchor", "context"],
                 )
 
@@ -130,131 +142,148 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((now, first))
 
 
-def maximal_repeats(contexts: list[bytes], anchor: list[int], length: int, every: bool = True) -> Iterator[tuple[int, int, list[int]]]:
-    """(left, right, members): the members agree on exactly `left` bytes before and `right` bytes from the anchor on,
-    left + right >= length, and neither side can be extended for all of them. With every=False, only the repeats
-    that are widest for some member within a prefix interval, which cover the same bytes."""
+def maximal_repeats(contexts: list[bytes], anchor: list[int], length: int) -> Iterator[tuple[int, int, list[int]]]:
+    """(left, right, members): the members, all that do so, agree on exactly `left` bytes before and `right` bytes from
+    the anchor on, left + right >= length, and neither side can be extended for all of them."""
     m = len(contexts)
     rights = [c[a:] for c, a in zip(contexts, anchor, strict=True)]
     lefts = [c[:a][::-1] for c, a in zip(contexts, anchor, strict=True)]
+    if m == 2:  # most anchors
+        left, right = common(*lefts), common(*rights)
+        if left + right >= length:
+            yield left, right, [0, 1]
+        return
     order = sorted(range(m), key=rights.__getitem__)
     lcp = [0, *(common(rights[order[i - 1]], rights[order[i]]) for i in range(1, m))]
     rank = [0] * m
     for r, x in enumerate(sorted(range(m), key=lefts.__getitem__)):
         rank[x] = r
+    child = [0] * m
     for right, a, b in intervals(lcp):
         need = max(0, length - right)
-        members = sorted((x for x in order[a:b] if len(lefts[x]) >= need), key=rank.__getitem__)
+        nth, members = 0, []
+        for i in range(a, b):
+            nth += i > a and lcp[i] == right  # where the interval's children part
+            x = order[i]
+            child[x] = nth
+            if len(lefts[x]) >= need:
+                members.append(x)
         if len(members) < 2:
             continue
+        members.sort(key=rank.__getitem__)
         llcp = [0, *(common(lefts[members[i - 1]], lefts[members[i]]) for i in range(1, len(members)))]
-        if not every:
-            for i, x in enumerate(members):
-                left = max(llcp[i] if i else -1, llcp[i + 1] if i + 1 < len(members) else -1)
-                if left >= need:
-                    yield left, right, [x]
-            continue
-        place = {x: i for i, x in enumerate(order)}
-        cuts = {i for i in range(a + 1, b) if lcp[i] == right}  # where the interval's children part
-        child = {}
-        for x in members:
-            child[x] = sum(c <= place[x] for c in cuts)
         for left, c, d in intervals(llcp):
-            group = members[c:d]
-            if left >= need and len({child[x] for x in group}) > 1:  # diverse to the right, and to the left by the scan
-                yield left, right, sorted(group)
-
-
-def context_spans(contexts: list[bytes], anchor: list[int], copies: list[int], length: int) -> list[list[tuple[int, int]]]:
-    """For each context of an anchor hash, the merged spans (relative to the context) that occur elsewhere too."""
-    spans: list[list[tuple[int, int]]] = [[(0, len(c))] if n > 1 else [] for c, n in zip(contexts, copies, strict=True)]
+            if left >= need:
+                group = members[c:d]
+                one = child[group[0]]
+                if any(child[x] != one for x in group):  # diverse to the right, and to the left by the scan
+                    yield left, right, group
+
+
+def context_groups(contexts: list[bytes], anchor: list[int], copies: list[int], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(group, context, start, end): the occurrences, relative to their contexts, of an anchor's maximal repeats. A
+    context that occurs more than once is a group of its own."""
+    group = 0
+    for x, n in enumerate(copies):
+        if n > 1:
+            yield group, x, 0, len(contexts[x])
+            group += 1
     if len(contexts) > 1:
-        for left, right, members in maximal_repeats(contexts, anchor, length, every=False):
+        for left, right, members in maximal_repeats(contexts, anchor, length):
             for x in members:
-                if copies[x] < 2:
-                    spans[x].append((anchor[x] - left, anchor[x] + right))
-    out = []
-    for found in spans:
-        merged: list[tuple[int, int]] = []
-        for s, e in sorted(found):
-            if merged and s <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
-            else:
-                merged.append((s, e))
-        out.append(merged)
-    return out
-
-
-def _repeats(length: int):
-    """Batches sorted by h; a group goes on from one batch to the next."""
+                yield group, x, anchor[x] - left, anchor[x] + right
+            group += 1
+
+
+_GROUP_SCHEMA = "h long, g long, ck binary, s int, e int"
+
+
+def _grouped(length: int):
+    """Batches sorted by h; an anchor's contexts go on from one batch to the next."""
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["h", "g", "ck", "s", "e"])
 
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             yield from zip(*(batch.column(c).to_pylist() for c in ("h", "ck", "anchor", "copies", "context")), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int, int]] = []
-        names = ["h", "ck", "s", "e"]
-        for h, group in groupby(rows(batches), key=lambda r: r[0]):
-            _, cks, anchor, copies, contexts = map(list, zip(*group, strict=True))
-            for ck, spans in zip(cks, context_spans(contexts, anchor, copies, length), strict=True):
-                out += [(h, ck, s, e) for s, e in spans]
-            if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names)
-                out = []
+        out: list[tuple] = []
+        for h, members in groupby(rows(batches), key=lambda r: r[0]):
+            _, cks, anchor, copies, contexts = map(list, zip(*members, strict=True))
+            for g, x, s, e in context_groups(contexts, anchor, copies, length):
+                out.append((h, g, cks[x], s, e))
+                if len(out) >= 20_000:
+                    yield table(out)
+                    out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names)
+            yield table(out)
 
     return run
 
 
-def _strings(length: int):
-    """Every string of `length` bytes of a context, as two hashes."""
+def _strings(lengths: tuple[int, ...]):
+    """Every string of one of `lengths` of a context, as two hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, context in enumerate(batch.column("context").to_pylist()):
                 data = np.frombuffer(context, np.uint8)
-                x, y = rolling(data, length), rolling(data, length, _BASE2)
-                n = len(x)
-                same = [pa.array(np.repeat(batch.column(c)[i].as_py(), n), batch.column(c).type) for c in ("h", "ck", "copies")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(np.arange(n, dtype=np.int32))], ["h", "ck", "copies", "x", "y", "s"])
+                for length in lengths:
+                    x, y = tc.byte_windows(data, length), tc.byte_windows(data, length, 1)
+                    n = len(x)
+                    same = [pa.array([batch.column(c)[i].as_py()] * n, batch.column(c).type) for c in ("h", "ck", "copies")]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, length, np.int32))], ["h", "ck", "copies", "x", "y", "s", "size"])
 
     return run
 
 
-def _spans_by_count(hot: DataFrame, length: int) -> DataFrame:
-    strings = hot.mapInArrow(_strings(length), "h long, ck long, copies long, x long, y long, s int")
-    often = strings.groupBy("x", "y").agg(F.sum("copies").alias("n")).where("n > 1").select("x", "y")
-    return strings.join(often, ["x", "y"]).select("h", "ck", "s", (F.col("s") + length).cast("int").alias("e"))
+def _groups_by_count(hot: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    strings = hot.mapInArrow(_strings(lengths), "h long, ck binary, copies long, x long, y long, s int, size int")
+    often = strings.groupBy("h", "x", "y", "size").agg(F.sum("copies").alias("n")).where("n > 1").select("h", "x", "y", "size")
+    return strings.join(often, ["h", "x", "y", "size"]).select("h", F.xxhash64("x", "y").alias("g"), "ck", "s", (F.col("s") + F.col("size")).cast("int").alias("e"))
 
 
-def repeat_spans(docs: DataFrame, work: Workspace, length: int = 400, k: int = K, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
-    """docs(key, text) -> (key, spans): the parts of each text that belong to a string of `length` bytes occurring
-    elsewhere, as start * 2**32 + end in bytes, unordered and possibly overlapping; only keys that have some."""
+def repeat_groups(docs: DataFrame, work: Workspace, lengths: tuple[int, ...] = (LENGTH,), k: int = K, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
+    """docs(key, text) -> (h, g, key, s, e): all occurrences, as byte spans, of each maximal repeat (h, g) of at least
+    the smallest of `lengths`. Strings of the other lengths lie in groups of at least their length as well."""
     ship(docs.sparkSession)
-    k = min(k, length)
-    scan = work.write(docs.select("key", "text").mapInArrow(_scan(length, k), f"h long, id {docs.schema['key'].dataType.simpleString()}, place int"), "anchors")
+    k, kind = min(k, *lengths), docs.schema["key"].dataType.simpleString()
+    scan = work.write(docs.select("key", "text").mapInArrow(_scan(lengths, k), f"h long, id {kind}, place int"), "anchors")
     often = work.write(scan.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")  # apart from the join, so that it can split hot keys
     places = work.write(scan.join(often, "h").groupBy("id").agg(F.collect_list("place").alias("places")), "places")
-    kind = docs.schema["key"].dataType.simpleString()
-    contexts = docs.join(places, F.col("key") == F.col("id")).select("key", "text", "places").mapInArrow(_contexts(length, k), f"h long, ck long, key {kind}, base int, anchor int, context binary")
+    contexts = docs.join(places, F.col("key") == F.col("id")).select("key", "text", "places").mapInArrow(_contexts(lengths, k), f"h long, ck binary, key {kind}, base int, anchor int, context binary")
     contexts = work.write(contexts, "contexts")
     work.drop("anchors")
     distinct = work.write(contexts.groupBy("h", "ck").agg(F.count("*").alias("copies"), F.first("anchor").alias("anchor"), F.first("context").alias("context")), "distinct")
-    # anchors with one context need no sorting: it is repeated whole, or not at all
     sizes = distinct.groupBy("h").agg(F.count("*").alias("m"), F.sum("copies").alias("n")).where("n > 1").select("h", "m")
     hot = work.write(sizes.where(F.col("m") > group_contexts).select("h"), "hot")
     n_hot = hot.count()
     grouped = distinct if n_hot == 0 else distinct.join(hot, "h", "left_anti")
-    spans = grouped.repartition("h").sortWithinPartitions("h").mapInArrow(_repeats(length), "h long, ck long, s int, e int")
+    members = grouped.repartition("h").sortWithinPartitions("h").mapInArrow(_grouped(min(lengths)), _GROUP_SCHEMA)
     if n_hot:
-        spans = spans.union(_spans_by_count(distinct.join(hot, "h"), length))
-    spans = work.write(spans.select("h", "ck", F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(F.col("e").cast("long")).alias("span")), "spans")
+        members = members.union(_groups_by_count(distinct.join(hot, "h"), lengths))
+    members = work.write(members, "members")
     work.drop("distinct")
-    back = contexts.select("h", "ck", "key", "base").join(spans, ["h", "ck"])
-    moved = F.col("span") + F.col("base") * F.lit((1 << 32) + 1)
-    found = work.write(back.select("key", moved.alias("span")).groupBy("key").agg(F.collect_list("span").alias("spans")), "found")
+    return contexts.select("h", "ck", "key", "base").join(members, ["h", "ck"]).select("h", "g", "key", (F.col("base") + F.col("s")).alias("s"), (F.col("base") + F.col("e")).alias("e"))
+
+
+def later_occurrences(groups: DataFrame) -> DataFrame:
+    """The occurrences without the first one of each group, by key and place."""
+    first = groups.groupBy("h", "g").agg(F.min(F.struct("key", "s")).alias("first"))
+    return groups.join(first, ["h", "g"]).where(~F.struct("key", "s").eqNullSafe(F.col("first"))).drop("first")
+
+
+def repeat_spans(docs: DataFrame, work: Workspace, lengths: tuple[int, ...] = (LENGTH,), k: int = K, group_contexts: int = GROUP_CONTEXTS, keep_first: bool = False) -> DataFrame:
+    """docs(key, text) -> (key, spans): the parts of each text that are occurrences of a maximal repeat, as
+    start * 2**32 + end in bytes, unordered and possibly overlapping; only keys that have some."""
+    found = repeat_groups(docs, work, lengths, k, group_contexts)
+    if keep_first:
+        found = later_occurrences(work.write(found, "occurrences"))
+    span = F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(F.col("e").cast("long"))
+    found = work.write(found.groupBy("key").agg(F.collect_set(span).alias("spans")), "found")
     work.keep("found")
     return found
 
@@ -278,10 +307,13 @@ def _applied(edit: Callable, out: list[str]):
     return run
 
 
-def _digest(data: np.ndarray, spans: np.ndarray) -> tuple[int, int, int, str]:
-    gone = removed(len(data), spans) if len(spans) else np.zeros(len(data), bool)
-    n_spans = int(gone[:1].sum() + (np.diff(gone.astype(np.int8)) == 1).sum())
-    return len(data), int(gone.sum()), n_spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()
+def _digest(lengths: tuple[int, ...]):
+    def edit(data: np.ndarray, spans: np.ndarray) -> tuple:
+        gone = [removed(len(data), spans[(spans & 0xFFFFFFFF) - (spans >> 32) >= n]) if len(spans) else np.zeros(len(data), bool) for n in lengths]
+        n_spans = int(gone[0][:1].sum() + (np.diff(gone[0].astype(np.int8)) == 1).sum())
+        return len(data), int(gone[0].sum()), n_spans, hashlib.sha256(data[~gone[0]].tobytes()).hexdigest(), *(int(g.sum()) for g in gone[1:])
+
+    return edit
 
 
 def _cleaned(data: np.ndarray, spans: np.ndarray) -> tuple[str, int]:
@@ -294,31 +326,35 @@ def _cleaned(data: np.ndarray, spans: np.ndarray) -> tuple[str, int]:
     return kept.tobytes().decode(), int(gone.sum())
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _row_key(docs: DataFrame, key: str, text: str):
     """Rows of one doc_id and one text may share their key: they get the same result."""
-    return docs.select(F.struct(named(key).alias("id"), F.xxhash64(named(text)).alias("hash")).alias("key"), named(text).alias("text"))
+    return F.struct(named(key).alias("id"), F.xxhash64(named(text)).alias("hash"))
 
 
-def _with_spans(docs: DataFrame, key: str, text: str, carry: list[str], length: int, k: int, group_contexts: int) -> DataFrame:
+def _with_spans(docs: DataFrame, key: str, text: str, carry: list[str], lengths: tuple[int, ...], k: int, group_contexts: int, keep_first: bool) -> DataFrame:
     work = Workspace(docs.sparkSession, "repeats")
-    found = repeat_spans(_keyed(docs, key, text), work, length, k, group_contexts)
+    found = repeat_spans(docs.select(_row_key(docs, key, text).alias("key"), named(text).alias("text")), work, lengths, k, group_contexts, keep_first)
     own, spans = fresh_name(docs, "row_key"), fresh_name(docs, "row_spans")
-    rows = docs.select(F.struct(named(key).alias("id"), F.xxhash64(named(text)).alias("hash")).alias(own), *map(named, carry), named(text).alias(fresh_name(docs, "row_text")))
+    rows = docs.select(_row_key(docs, key, text).alias(own), *map(named, carry), named(text).alias(fresh_name(docs, "row_text")))
     return rows.join(found.select(F.col("key").alias(own), F.col("spans").alias(spans)), own, "left").drop(own)
 
 
-def repeat_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, k: int = K, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
-    """One row per input row: key, n_bytes, n_removed, n_spans and kept_sha256 of the remaining bytes."""
-    rows = _with_spans(docs, key, text, [key], length, k, group_contexts)
+def repeat_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, shorter: dict[str, int] | None = None, k: int = K, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
+    """One row per input row: key, n_bytes, n_removed, n_spans and kept_sha256 of the remaining bytes; and for each
+    name and smaller length of `shorter` the number of bytes under strings of that length that occur elsewhere too."""
+    shorter = shorter or {}
+    lengths = (length, *shorter.values())
+    rows = _with_spans(docs, key, text, [key], lengths, k, group_contexts, False)
     kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInArrow(_applied(_digest, ["n_bytes", "n_removed", "n_spans", "kept_sha256"]), f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    counts = "".join(f", `{name}` long" for name in shorter)
+    return rows.mapInArrow(_applied(_digest(lengths), ["n_bytes", "n_removed", "n_spans", "kept_sha256", *shorter]), f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{counts}")
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, k: int = K, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep_first: bool = False, k: int = K, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
     """The rows of `docs` with every repeated string cut out of `text` (whole characters only), all columns kept, and
-    n_removed, the number of bytes found repeated."""
+    n_removed, the number of bytes found repeated. With keep_first the first occurrence, by key and place, stays."""
     others = [c for c in docs.columns if c != text]
     count = fresh_name(docs, "n_removed")
-    rows = _with_spans(docs, key, text, others, length, k, group_contexts)
+    rows = _with_spans(docs, key, text, others, (length,), k, group_contexts, keep_first)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
     return rows.mapInArrow(_applied(_cleaned, [text, count]), f"{fields}, `{text}` string, `{count}` long").select(*map(named, docs.columns), named(count))

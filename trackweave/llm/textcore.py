@@ -2,6 +2,9 @@
 
 A batch is cut into slices of about SLICE_BYTES, always between documents, so memory follows the longest
 document and not the batch.
+
+Hashes are chains of a bijective mixer over 8-byte chunks, XXH3 for long spans, and windows are hashed by pairing the
+hashes of their halves. None of them is linear in the text, so periodic and self-similar texts are as safe as others.
 """
 
 from __future__ import annotations
@@ -11,24 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 21
 U = np.uint64
-BASE = 0x9E3779B97F4A7C15 | 1  # odd, hence invertible modulo 2**64
-_INVERSE = pow(BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; grown by doubling and kept by the worker."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.ones(1, U) if have is None else have
-        while len(have) < n:
-            step = U(pow(base, len(have), 1 << 64))
-            have = np.concatenate([have, have * step])
-        _powers[base] = have
-    return have[:n]
+_FACTOR, _SPREAD = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
+#: Of the low 0..8 bytes of a chunk.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+#: Spans of more bytes are hashed one by one, in C.
+LONG_SPAN = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -95,23 +89,58 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE):
     return runs(~space[data], offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE, inverse: int = _INVERSE) -> np.ndarray:
-    """A 64-bit hash of each byte span, from one prefix sum of byte * base**position."""
-    n = len(data)
-    sums = np.zeros(n + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * powers(base, n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers(inverse, n + 1)[starts]
-    return mix(h ^ ((ends - starts).astype(U) << U(48)))
+def chunks(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on (zeros after the end) as one integer."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span; spans of one size up to 8 never collide. Other seeds give independent ones."""
+    size = ends - starts
+    at = chunks(data)
+    h = mix(size.astype(U) * _SPREAD + U(seed))
+    h = mix(h ^ (at[starts] & _MASKS[np.minimum(size, 8)])) if len(size) else h
+    rest, done = np.flatnonzero((size > 8) & (size <= LONG_SPAN)), 8
+    while len(rest):
+        h[rest] = mix(h[rest] ^ (at[starts[rest] + done] & _MASKS[np.minimum(size[rest] - done, 8)]))
+        done += 8
+        rest = rest[size[rest] > done]
+    long = np.flatnonzero(size > LONG_SPAN)
+    if len(long):
+        body, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
+        h[long] = np.fromiter((digest(body[a:b], seed) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), U, len(long))
+    return h
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = a * _FACTOR + b
+    h ^= h >> U(32)
+    h *= _SPREAD
+    h ^= h >> U(29)
+    return h
+
+
+def _doubled(level: np.ndarray, width: int, size: int) -> np.ndarray:
+    """level[i] stands for `width` items from i on; the same for `size` items, by halves that may overlap."""
+    while 2 * width <= size:
+        level = _pair(level[:-width], level[width:])
+        width *= 2
+    return _pair(level[: len(level) - (size - width)], level[size - width :]) if size > width else level
+
+
+def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each `size` consecutive item hashes (len(h) - size + 1 values, across documents too)."""
+    return _doubled(h, 1, size) if len(h) >= size else np.zeros(0, U)
 
 
-def window_hashes(h: np.ndarray, size: int, base: int = BASE, inverse: int = _INVERSE) -> np.ndarray:
-    """Rolling hash of each `size` consecutive word hashes (len(h) - size + 1 values, across documents too)."""
-    n = len(h)
-    if n < size:
+def byte_windows(data: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """Hash of each `size` consecutive bytes."""
+    if len(data) < size:
         return np.zeros(0, U)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(h * powers(base, n), out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * powers(inverse, n)[: n - size + 1])
+    if size < 8:
+        return _doubled(mix(data.astype(U) + U(seed)), 1, size)
+    return _doubled(mix(chunks(data)[: len(data) - 7] + U(seed)), 8, size)
 
 
 def owner(first: np.ndarray) -> np.ndarray:

@@ -5,19 +5,21 @@ always begins a new pre-token, whatever stands before it. So a text can be cut t
 the tokenizers library once, and the ids put together again: the result is that of encoding the whole text. The strings
 of added tokens in a text get the ids of the file, as in the library; there is no cut in, just before or next after one,
 as they end the text that the pattern sees. With special_as_text those of special tokens are ordinary text. Pieces
-are known by a 64-bit hash of their bytes and length, in two arrays that the worker keeps from batch to batch.
+are found by a 64-bit hash of their bytes and then compared byte for byte with the piece that was encoded; should two
+pieces ever share a hash, the documents of the slice are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
 from . import textcore as tc
 
 END_ID = 0
-#: The most pieces that a worker remembers (about 40 bytes each); then it starts anew.
+#: The most pieces that a worker remembers (about 60 bytes each); then it starts anew.
 KNOWN_PIECES = 2_000_000
 
 _VISIBLE = tc.lut(range(0x21, 0x7F))
@@ -40,19 +42,36 @@ class PieceEncoder:
         self.rows = np.zeros(0, np.int64)  # place of each hash in the arrays below
         self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.body, self.body_begin, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, raw: list[bytes]) -> None:
         """hashes are sorted and new."""
+        pieces = [p.decode() for p in raw]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.body_begin = np.concatenate([self.body_begin, len(self.body) + np.cumsum(size) - size])
+        self.size, self.body = np.concatenate([self.size, size]), np.concatenate([self.body, np.frombuffer(b"".join(raw), np.uint8)])
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         found = [e.ids for e in encode(pieces, add_special_tokens=False)]
         count = np.fromiter(map(len, found), np.int64, len(found))
         begin = len(self.ids) + np.cumsum(count) - count
         rows = len(self.count) + np.arange(len(found))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32, int(count.sum()))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum()))])
         self.begin, self.count = np.concatenate([self.begin, begin]), np.concatenate([self.count, count])
         spot = np.searchsorted(self.hashes, hashes)
         self.hashes, self.rows = np.insert(self.hashes, spot, hashes), np.insert(self.rows, spot, rows)
 
+    def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> bool:
+        """Are the pieces those of the rows, byte for byte; pieces follow each other without a gap."""
+        size = ends - starts
+        if not np.array_equal(self.size[row], size):
+            return False
+        return np.array_equal(self.body[np.arange(len(data)) + np.repeat(self.body_begin[row] - starts, size)], data)
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        found = [self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
+
     def _keep_added(self, raw: bytes, cut: np.ndarray) -> None:
         """Take away the cuts in each occurrence of an added token, at the space before and the next one after it."""
         spots = np.append(np.flatnonzero(cut), len(cut) - 1)
@@ -82,15 +101,17 @@ class PieceEncoder:
                 if len(self.hashes) + new.sum() > KNOWN_PIECES:
                     self.forget()
                     new[:] = True
-                pieces = [raw[a:b].decode() for a, b in zip(starts[first_at[new]].tolist(), ends[first_at[new]].tolist(), strict=True)]
-                self._learn(unique[new], pieces)
+                self._learn(unique[new], [raw[a:b] for a, b in zip(starts[first_at[new]].tolist(), ends[first_at[new]].tolist(), strict=True)])
             row = self.rows[np.searchsorted(self.hashes, unique)][which]
         else:
             row = np.zeros(0, np.int64)
-        count = self.count[row]
-        total = np.concatenate([[0], np.cumsum(count)])
-        ids = self.ids[np.arange(total[-1]) + np.repeat(self.begin[row] - total[:-1], count)]
-        first = total[np.searchsorted(starts, offsets)]
+        if self._same(data, starts, ends, row):
+            count = self.count[row]
+            total = np.concatenate([[0], np.cumsum(count)])
+            ids = self.ids[np.arange(total[-1]) + np.repeat(self.begin[row] - total[:-1], count)]
+            first = total[np.searchsorted(starts, offsets)]
+        else:
+            ids, first = self._whole(data, offsets)
         if end_id is None:
             return ids, first
         docs = np.arange(len(offsets) - 1)

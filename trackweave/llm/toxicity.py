@@ -5,10 +5,13 @@ evidence too). One recurrent layer reads a window in each direction, attention w
 gives the window's logit. Every text is scored over all its overlapping windows of WINDOW words, STRIDE apart (the
 last one ends with the text); the largest logit, calibrated, is the score.
 
-Training is on the driver with a bounded sample of labelled rows (at most MAX_ROWS of each label, none longer than
-MAX_CHARS characters), chosen by a hash of the text. Labels are of documents, so the windows that stand for a toxic
-document are chosen by telling words first and by the network itself from then on. A fifth of the sample is kept from
-training, to fit the calibration at the labelled rows' share of toxic ones.
+Training is on the driver with a bounded sample of the labelled rows' different texts: of each label those of smallest
+hash, at most MAX_ROWS and at most MAX_BYTES together. So the sample is the same however the table is laid out, and a
+text with thousands of copies enters once. Whole texts are read, long ones too (a single one of more than MAX_BYTES / 8
+cannot be held beside others and is the only kind left out). Labels are of documents, so the windows that stand for a
+toxic document are chosen by telling words first and by the network itself from then on. A fifth of the sample is kept
+from training, to fit the calibration at the labelled rows' share of toxic ones. The weights are a running mean over
+the steps, which takes most of the noise out of a short training.
 
 Scoring is one pass without a shuffle. Input projections are computed once per different word of a batch.
 
@@ -28,14 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .shared import named, ship
+from .shared import labelled_sample, named, ship
 
 WINDOW, STRIDE = 64, 48
-MAX_ROWS, MAX_CHARS = 2000, 20_000
+MAX_ROWS, MAX_BYTES = 2000, 12 << 20
 VOCABULARY, TRIGRAMS = 8192, 4096
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 16, 8, 16, 16
 #: Training takes ROUNDS x STEPS batches whatever the sample's size; after each round the windows are chosen anew.
-ROUNDS, STEPS, BATCH, RATE = 4, 24, 256, 3e-3
+ROUNDS, STEPS, BATCH, RATE = 4, 40, 256, 3e-3
+#: Weight of the last step in the running mean of the weights.
+FRESH = 0.05
 #: Share of a batch's different words that are hidden in training.
 HIDE = 0.2
 _LETTER = tc.lut(range(0x30, 0x3A), range(0x41, 0x5B), range(0x61, 0x7B), range(0x80, 0x100))
@@ -284,6 +289,7 @@ def train(texts: list[str], toxic: np.ndarray, share: float, rounds: int = ROUND
     total = np.concatenate([[0], np.cumsum(np.maximum(known - 2, 0))])
     telling = total[start + size] - total[start] + 1e-3 * rng.random(len(start))
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
+    mean = {k: v.copy() for k, v in net.p.items()}
     step = 0
     use = ~held[doc]
     for turn in range(rounds):
@@ -306,8 +312,10 @@ def train(texts: list[str], toxic: np.ndarray, share: float, rounds: int = ROUND
                 m += 0.1 * (d - m)
                 s += 0.001 * (d * d - s)
                 v -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
+                mean[k] += max(FRESH, 1 / step) * (v - mean[k])
         if turn + 1 < rounds:
             _, telling = net.logits(words)
+    net.p = mean
     _, logit = net.logits(words)
     best = np.full(len(toxic), -np.inf)
     np.maximum.at(best, doc, logit)
@@ -344,25 +352,13 @@ def held_out(key: str) -> F.Column:
     return F.crc32(named(key).cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Network:
     """Train on a bounded sample of the labelled rows that are not held out."""
     usable = labels.where(named(label).isin(0, 1) & ~held_out(key)).select(named(key).alias("key"), named(label).cast("int").alias("label"))
-    counts = dict(usable.groupBy("label").count().collect())
+    sample, counts = labelled_sample(docs, usable, key, text, max_rows, max_bytes)
     n = sum(counts.values())
-    share = counts.get(1, 0) / n if n else 0.0
-    rows = docs.select(named(key).alias("key"), named(text).alias("text")).where(F.length("text") <= max_chars).join(usable, "key")
-    texts: list[str] = []
-    toxic: list[int] = []
-    for value in (0, 1):
-        if counts.get(value):
-            parts = 1 << 30
-            chance = min(parts, int(parts * 1.1 * max_rows / counts[value]))
-            some = rows.where((F.col("label") == value) & (F.pmod(F.xxhash64("text"), F.lit(parts)) < chance)).select("text").limit(max_rows).collect()
-            some = sorted(r[0] for r in some)
-            texts += some
-            toxic += [value] * len(some)
-    order = np.random.default_rng(11).permutation(len(texts))
-    return train([texts[i] for i in order], np.array(toxic, np.float32)[order] if toxic else np.zeros(0, np.float32), share)
+    order = np.random.default_rng(11).permutation(len(sample))
+    return train([sample[i][1] for i in order], np.array([sample[i][0] for i in order], np.float32), counts.get(1, 0) / n if n else 0.0)
 
 
 def toxicity_scores(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text") -> DataFrame:
