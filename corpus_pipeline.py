@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackweave.llm import decontamination, packing, repetition, simhash, suffix_repeats
-from trackweave.llm.queries import tokenizer_path
+from trackweave.llm.queries import PASSAGE_BYTES, tokenizer_path
 from trackweave.llm.shared import Workspace, table
 
 
@@ -25,10 +25,11 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that stand elsewhere too are cut out; documents of which nothing but space is left go."""
-    cut = suffix_repeats.remove_repeats(docs)
+    """Strings of PASSAGE_BYTES that stand earlier too, by doc_id and place, are cut out, so one copy of each stays;
+    documents of which the cutting leaves nothing but white space go."""
+    cut = suffix_repeats.remove_repeats(docs, length=PASSAGE_BYTES, keep_first=True)
     gone = F.col(cut.columns[-1])
-    return cut.where((gone == 0) | (F.trim("text") != "")).withColumn("n_chars", F.when(gone > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+    return cut.where((gone == 0) | F.col("text").rlike(r"[^\s]")).withColumn("n_chars", F.when(gone > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
