@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trackweave.llm import compaction, components, decontamination, packing, passage_cover, repetition, simhash, site_quality, suffix_repeats, token_files, toxicity
 from trackweave.llm.queries import tokenizer_path
-from trackweave.llm.shared import Workspace
+from trackweave.llm.shared import Workspace, labelled_sample
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
 
@@ -254,14 +254,53 @@ def test_compaction(spark, odd, none):
     before = store.shards()
     assert rows(store.read()) == rows(odd.withColumn("n_chars", F.explode(F.array(*(F.lit(k).cast("long") for k in range(4))))))
     version = store.compact()
-    assert not store.full_tiers(store.shards()) and len(store.shards()) < len(before) and sum(s.rows for s in store.shards()) == 4 * len(ODD)
-    assert store.read().count() == 4 * len(ODD) == store.read(4).count()
+    assert not store.full_tiers() and len(store.shards()) < len(before) and sum(s.rows for s in store.shards()) == 4 * len(ODD)
+    assert store.read().count() == 4 * len(ODD) == store.read(4).count() and store.shards(4) == before
     with pytest.raises(compaction.Conflict):
-        store.commit(before, version - 1)
-    assert store.vacuum() > 0 and store.read().count() == 4 * len(ODD)
+        store.commit(before, [], version - 1)
+    assert store.vacuum(keep=1) == 0 and store.vacuum(keep=1, retention_s=0) > 0 and store.read().count() == 4 * len(ODD)
+    assert store.versions() == [version] and store.append(odd) == version + 1 and store.read().count() == 5 * len(ODD)
     empty = compaction.ShardStore(spark, Workspace(spark, "shards").path("empty"))
     empty.append(none)
-    assert empty.read().count() == 0 and empty.read().columns == none.columns
+    assert empty.read().count() == 0 and empty.read().columns == none.columns and empty.compact() == 1
+
+
+def test_writers_that_meet_lose_nothing(spark, odd, monkeypatch):
+    root = Workspace(spark, "shards").path("store")
+    one, other = (compaction.ShardStore(spark, root, target_bytes=30_000, fan_in=3) for _ in range(2))
+    for _ in range(3):
+        one.append(odd)
+    uncommitted = other.written(odd, "arrival")  # an append in flight
+    one.compact()
+    one.vacuum(keep=1, retention_s=3600)
+    other.commit(uncommitted, [], other.latest())
+    assert other.read().count() == 4 * len(ODD)
+    # an append that another one overtakes tries again
+    first, latest = other.written(odd, "arrival"), one.latest()
+    one.append(odd)
+    seen = iter([latest])
+    monkeypatch.setattr(other, "latest", lambda: next(seen, latest + 1))
+    assert other._committed(first, [], lambda: True) == latest + 2
+    monkeypatch.undo()
+    assert one.read().count() == 6 * len(ODD)
+    # of two merges of the same files one counts
+    groups = other.full_tiers()
+    if groups:
+        gone = [s for g in groups for s in g]
+        one.compact()
+        with pytest.raises(compaction.Conflict):
+            other._committed([], gone, lambda: {s.path for s in gone} <= {s.path for s in other.shards()})
+    assert one.read().count() == 6 * len(ODD)
+
+
+def test_versions_are_read_over_bases(spark, odd, monkeypatch):
+    monkeypatch.setattr(compaction, "BASE_EVERY", 2)
+    store = compaction.ShardStore(spark, Workspace(spark, "shards").path("store"), target_bytes=1 << 30, fan_in=100)
+    for _ in range(5):
+        store.append(odd)
+    assert store._numbers("bases") == [2, 4] and [store.read(v).count() for v in (1, 2, 3, 4, 5)] == [k * len(ODD) for k in (1, 2, 3, 4, 5)]
+    store.vacuum(keep=2, retention_s=0)
+    assert store.versions() == [4, 5] and store.read(4).count() == 4 * len(ODD) and store.read().count() == 5 * len(ODD)
 
 
 def test_toxicity(spark, odd, none):
@@ -280,9 +319,48 @@ def test_toxicity(spark, odd, none):
     assert {r.score for r in toxicity.toxicity_scores(docs, blank).collect()} and blank.share == 0
 
 
-def test_gradients_match_differences():
-    from trackweave.llm import textcore as tc
+def test_the_sample_does_not_depend_on_the_layout(spark):
+    texts = [(i, prose(i % 150, 30 + i % 7), i % 2) for i in range(400)] + [(1000 + i, "copy", 1) for i in range(300)] + [(2000, "x" * 200_000, 0), (2001, None, 0)]
+    docs = spark.createDataFrame([r[:2] for r in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in texts], "key long, label int")
+    found = [labelled_sample(docs.repartition(n), labels.repartition(n, "label"), "doc_id", "text", 40, 1 << 20) for n in (1, 5)]
+    assert found[0] == found[1] and found[0][1] == {0: 202, 1: 500}
+    sample = found[0][0]
+    assert len(sample) == len(set(sample)) == 80 and all(len(t) < 1 << 17 for _, t in sample)
+    small, _ = labelled_sample(docs, labels, "doc_id", "text", 1000, 8000)
+    assert 0 < sum(len(t) for y, t in small if y) <= 8000
+
+
+def test_the_network_matches_plain_loops():
+    data = np.frombuffer(b"aa bb cc dd ee ff aa cc " * 9, np.uint8)
+    words = toxicity.read_words(data, np.array([0, len(data)]))
+    net = toxicity.Network.new(np.sort(words.hashes)[:4], np.zeros(4))
+    net.scale, net.shift = 1.5, -0.2
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    row, count = net.word_rows(words), np.diff(np.append(words.begin, len(words.trigrams)))
+    x = [np.concatenate([p["word"][row[w]], p["char"][words.trigrams[words.begin[w] : words.begin[w] + count[w]]].mean(0)]) for w in words.row]
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def direction(xs, at, u):
+        k, h, out = toxicity.HIDDEN, np.zeros(toxicity.HIDDEN), []
+        for v in xs:
+            a, b = v @ p["in"][:, at : at + 3 * k] + p["bias"][at : at + 3 * k], h @ u
+            z, r = sigmoid(a[:k] + b[:k]), sigmoid(a[k : 2 * k] + b[k : 2 * k])
+            h = z * h + (1 - z) * np.tanh(a[2 * k :] + r * b[2 * k :])
+            out.append(h)
+        return out
+
+    best = -np.inf
+    n = len(words.row)
+    for start in sorted({min(s, n - toxicity.WINDOW) for s in range(0, n, toxicity.STRIDE)}):
+        xs = x[start : start + toxicity.WINDOW]
+        states = np.concatenate([direction(xs, 0, p["fwd"]), direction(xs[::-1], 3 * toxicity.HIDDEN, p["bwd"])[::-1]], 1)
+        weight = np.exp([np.tanh(s @ p["att"] + p["att_bias"]) @ p["att_out"] for s in states])
+        best = max(best, float((weight[:, None] * states).sum(0) / weight.sum() @ p["out"] + p["out_bias"][0]))
+    assert abs(net.scores(words)[0] - sigmoid(1.5 * best - 0.2)) < 1e-5
 
+
+def test_gradients_match_differences():
     data = np.frombuffer(b"aa bb cc dd ee ff aa cc", np.uint8)
     words = toxicity.read_words(data, np.array([0, 11, 23]))
     net = toxicity.Network.new(np.sort(words.hashes), np.zeros(len(words.hashes)))
@@ -307,7 +385,6 @@ def test_gradients_match_differences():
         down = loss()
         value[at] = keep
         assert abs((up - down) / 2e-3 - g[name][at]) < 2e-3, name
-    assert tc is not None
 
 
 def test_site_quality(spark, odd, none):
@@ -324,6 +401,35 @@ def test_site_quality(spark, odd, none):
     assert {round(r.evidence, 9) for r in site_quality.site_quality(docs, blank, F.col("source"), F.col("lang")).collect()} == {0.0}
 
 
+def test_posteriors_match_plain_sums(spark):
+    rng = np.random.default_rng(4)
+    docs = [(i, prose(i, 60) if rng.random() < 0.6 else "spam " * 60, f"h{min(int(rng.exponential(3)), 20)}", f"p{rng.integers(0, 3)}" if i % 9 else None) for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    model = site_quality.fit(frame, spark.createDataFrame([(i, int(docs[i][1][:4] != "spam")) for i in range(0, 300, 2)], "doc_id long, quality int"))
+    got = {r.doc_id: r for r in site_quality.site_quality(frame, model, F.col("source"), F.col("lang")).collect()}
+    logit = lambda q: np.log(q / (1 - q))
+    good = {i: 1 / (1 + np.exp(-(got[i].evidence + logit(model.share)))) for i in got}
+    hosts, paths = {}, {}
+    for i, _, h, q in docs:
+        hosts.setdefault(h, []).append(good[i])
+        paths.setdefault((h, q), []).append(good[i])
+    rate = sum(good.values()) / len(good)
+
+    def strength(groups):
+        groups = [(len(g), sum(g), to) for g, to in groups if len(g) > 1]
+        excess = (sum(n * (s / n - to) ** 2 for n, s, to in groups) - sum(to * (1 - to) for _, _, to in groups)) / max(sum(n * to * (1 - to) for n, _, to in groups), 1e-12)
+        return float(np.clip(1 / max(excess, 1e-9) - 1, 1.0, 1e6))
+
+    a = strength([(g, rate) for g in hosts.values()])
+    mean = {h: (sum(g) + a * rate) / (len(g) + a) for h, g in hosts.items()}
+    b = strength([(g, mean[h]) for (h, _), g in paths.items()])
+    for i, _, h, q in docs:
+        host = (sum(hosts[h]) - good[i] + a * rate) / (len(hosts[h]) - 1 + a)
+        path = (sum(paths[h, q]) - good[i] + b * host) / (len(paths[h, q]) - 1 + b)
+        assert abs(got[i].host_rate - host) < 1e-6 and abs(got[i].path_rate - path) < 1e-6
+        assert abs(got[i].posterior - 1 / (1 + np.exp(-(got[i].evidence + logit(path))))) < 1e-6
+
+
 def test_sparse_sites_shrink_more(spark):
     rows_ = [(i, 20.0, 19.0) for i in range(30)] + [(100 + i, 20.0, 2.0) for i in range(30)]
     spread = site_quality._strength(spark.createDataFrame(rows_, "g long, n double, good double"), F.lit(0.525))

@@ -72,9 +72,10 @@ def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents through ARRIVALS appends and the compactions between them, read back over the last manifest."""
+    """All documents through ARRIVALS appends and the compactions between them, read back over the last manifest. Nobody
+    else knows this store, so merged files can go at once."""
     docs = table(spark, sf_dir, "documents")
-    store = compaction.store_arrivals(docs, Workspace(spark, "shards").path("store"), ARRIVALS, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)))
+    store = compaction.store_arrivals(docs, Workspace(spark, "shards").path("store"), ARRIVALS, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)), keep=1, retention_s=0)
     return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 
