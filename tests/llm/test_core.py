@@ -83,6 +83,17 @@ def test_list_links_connect_what_pairs_connect():
         assert classes(found) == classes(pairs)
 
 
+def test_every_pair_of_the_minimum_meets_in_a_list_and_is_tallied():
+    rng = random.Random(8)
+    for bits in range(1, 7):
+        for masks in (simhash.block_masks(bits), simhash.narrow_masks(bits)):
+            for _ in range(200):
+                flips = sum(1 << b for b in rng.sample(range(64), rng.randint(1, bits)))
+                assert any(flips & m % 2**64 == 0 for m in masks)
+        differ = np.array([sum(1 << b for b in rng.sample(range(64), rng.randint(1, 8))) for _ in range(500)], np.uint64)
+        assert simhash.retained(differ, bits).tolist() == [int(d).bit_count() <= bits for d in differ]
+
+
 def test_difference_covers_cover():
     for v in (1, 2, 5, 12, 31):
         cover = passage_cover.difference_cover(v)

@@ -87,6 +87,29 @@ def test_near_duplicates(odd, none):
     assert sorted(k for k in kept if k is not None) == [1, 2, 3, 4, 8, 11, 12]
 
 
+@pytest.mark.parametrize("list_members", [16_384, 1])
+def test_links_connect_what_all_pairs_connect(spark, list_members):
+    rng = np.random.default_rng(6)
+    bases = rng.integers(0, 2**63, 12, np.int64)
+    fps = {int(b) ^ int(sum(1 << int(k) for k in rng.choice(16, rng.integers(0, 5), replace=False))) for b in bases for _ in range(60)} | {-1, 0, 3, 1 << 40, 7}
+    work = Workspace(spark, "links")
+    links = simhash.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"), work, 2, list_members)
+    got = dict(rows(components.connected_components(links, work)))
+    parent = {f: f for f in fps}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a in fps:
+        for b in fps:
+            if a < b and ((a ^ b) % 2**64).bit_count() <= 2:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    assert {f: got.get(f, f) for f in fps} == {f: root(f) for f in fps}
+
+
 def test_one_of_each_class_stays_where_ids_repeat(spark):
     a, b = prose(21, 80), prose(22, 80)
     near = lambda t: t.replace(" ", "\n", 3)  # noqa: E731  the same words, another text

@@ -2,17 +2,23 @@
 
 A 64-bit fingerprint is eight positional bytes. Two fingerprints that differ in at most `bits` bits share at least
 8 - bits of them, the guaranteed minimum. Postings of single positional bytes would each hold 1/256 of the corpus and
-the tally over them would be quadratic; so the index is keyed by every choice of 8 - bits positions at once (28 for
-2 bits). A pair reaches the minimum tally if and only if it meets in such a posting list. A list only holds
-fingerprints that agree in all but `bits` bytes, at most 256**bits of them whatever the corpus, so it always fits in
-a task. Within a list each distinct remainder is probed for its neighbours in the ball of radius `bits`, never against
-all others; the tally of shared bytes and the bit distance of each found pair are verified. Only a spanning forest of a list's
+a tally over them would be quadratic. So the positions are dealt into bits + 2 blocks and the index is keyed by every
+two blocks at once (6 keys of 4 bytes for 2 bits): two blocks at least are free of differing bits, so every pair of the
+minimum meets in a list. Within a list the shared positional bytes of a pair are tallied, pairs that reach the minimum
+are retained, and their bit distance is verified. In a list of more members than the ball of radius `bits` has, the
+members are probed for the neighbours in the ball and only those pairs are tallied. Only a spanning forest of a list's
 links is passed on, which loses no reachability.
 
+Lists of more than LIST_MEMBERS fingerprints are counted beforehand and never gathered: their members are indexed anew
+by every choice of 8 - bits positions, where a list has at most 256**bits fingerprints whatever the corpus.
+
 Fingerprints: words are runs of bytes other than space and 0x09-0x0D after A-Z are lower-cased; a shingle is
 `shingle` words joined by a space, repeats included; a text of fewer words is one shingle; its hash is XXH64 with
 seed 42; a bit is set if set in over half of the hashes. Null, empty and blank texts have fingerprint 0 and link like
 any other. Rows with equal doc_id keep their rows; null doc_ids never name a component unless a class has no other.
+Very long texts are read whole, one slice of documents at a time; an empty table gives no rows; fingerprints that tie
+(equal ones) are one vertex; other columns are not read by near_duplicates and kept by keep_one, whose helper columns
+avoid their names.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ from .components import connected_components
 from .shared import Workspace, fresh_name, named, ship
 
 SEED = 42
+#: The most fingerprints that are gathered under one key of two blocks (128 kB).
+LIST_MEMBERS = 16_384
 #: The eight bits of a byte spread over the eight byte lanes of a word, to count 255 hashes without carries.
 _LANES = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], np.uint64)
 
@@ -93,17 +101,35 @@ def with_fingerprints(docs: DataFrame, text: str = "text", carry: tuple[str, ...
     return rows.mapInArrow(_fingerprinted(shingle), f"{fields}, fp long")
 
 
-def _masks(bits: int) -> list[int]:
-    masks = [sum(0xFF << (8 * p) for p in keep) for keep in combinations(range(8), 8 - bits)]
+def _signed(masks: list[int]) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def list_links(members: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of `members` (distinct uint64) within `bits` bits of each other.
+def _bytes_mask(positions) -> int:
+    return sum(0xFF << (8 * int(p)) for p in positions)
+
+
+def block_masks(bits: int) -> list[int]:
+    """Every two of bits + 2 blocks of byte positions."""
+    blocks = np.array_split(np.arange(8), bits + 2)
+    return _signed([_bytes_mask(np.concatenate(two)) for two in combinations(blocks, 2)])
+
+
+def narrow_masks(bits: int) -> list[int]:
+    """Every choice of 8 - bits byte positions."""
+    return _signed([_bytes_mask(keep) for keep in combinations(range(8), 8 - bits)])
+
+
+def retained(differ: np.ndarray, bits: int) -> np.ndarray:
+    """Which pairs, given as the xor of their fingerprints, share the minimum of positional bytes and are verified."""
+    tally = (np.ascontiguousarray(differ)[:, None].view(np.uint8) == 0).sum(1)  # shared positional bytes
+    out = tally >= 8 - bits
+    out[out] = np.bitwise_count(differ[out]) <= bits
+    return out
 
-    Of the bytes, at least 8 - bits are common to all members. Each member probes the ball around it in the bits that
-    vary within the list, if that is smaller than the list, or else the members after it.
-    """
+
+def list_links(members: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of `members` (distinct uint64) within `bits` bits of each other."""
     n = len(members)
     parent = list(range(n))
 
@@ -115,11 +141,11 @@ def list_links(members: np.ndarray, bits: int) -> list[tuple[int, int]]:
 
     vary = int(np.bitwise_or.reduce(members ^ members[0]))
     flips = [1 << k for k in range(64) if vary >> k & 1]
-    ball = [sum(c) for r in range(1, bits + 1) for c in combinations(flips, r)]
+    ball = [sum(c) for r in range(1, bits + 1) for c in combinations(flips, r)] if n > 2 * len(flips) else [0] * n
     links: list[tuple[int, int]] = []
 
     def join(i: int, js: np.ndarray) -> None:
-        for j in js.tolist():
+        for j in js[retained(members[js] ^ members[i], bits)].tolist():
             a, b = root(i), root(j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -134,46 +160,57 @@ def list_links(members: np.ndarray, bits: int) -> list[tuple[int, int]]:
             join(i, order[at[ranked[at] == near]])
     else:
         for i in range(n - 1):
-            differ = members[i + 1 :] ^ members[i]
-            tally = (differ[:, None].view(np.uint8) == 0).sum(1)  # shared positional bytes
-            join(i, i + 1 + np.flatnonzero((tally >= 8 - bits) & (np.bitwise_count(differ) <= bits)))
+            join(i, np.arange(i + 1, n))
     return links
 
 
 def _links(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a: list[int] = []
-            b: list[int] = []
             lists = batch.column(0)
-            values, ends = np.asarray(lists.flatten()).view(np.uint64), np.cumsum(np.asarray(lists.value_lengths()))
-            for end, size in zip(ends.tolist(), lists.value_lengths().to_pylist(), strict=True):
-                members = values[end - size : end]
-                if size == 2:  # most lists
-                    x, y = int(members[0]), int(members[1])
-                    found = [(0, 1)] if (x ^ y).bit_count() <= bits else []
-                else:
-                    found = list_links(members, bits)
-                for i, j in found:
-                    a.append(members[i])
-                    b.append(members[j])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], ["a", "b"])
+            size = np.asarray(lists.value_lengths(), np.int64)
+            values, begin = np.asarray(lists.flatten()).view(np.uint64), np.cumsum(size) - size
+            two = begin[size == 2]  # most lists, all at once
+            two = two[retained(values[two] ^ values[two + 1], bits)]
+            a, b = [values[two]], [values[two + 1]]
+            for at, n in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                members = values[at : at + n]
+                found = np.array(list_links(members, bits), np.int64).reshape(-1, 2)
+                a.append(members[found[:, 0]])
+                b.append(members[found[:, 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
 
     return run
 
 
-def fingerprint_links(distinct: DataFrame, bits: int = 2) -> DataFrame:
-    """distinct(fp) -> (a, b): links that connect exactly what the pairs within `bits` bits connect."""
-    masks = _masks(bits)
-    post = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(k).cast("tinyint").alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)))).alias("p"))
-    lists = post.groupBy("p.k", "p.key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+def _postings(distinct: DataFrame, masks: list[int]) -> DataFrame:
+    """(k, key, fp): the fingerprints under each masked value."""
+    keys = F.array(*(F.struct(F.lit(k).cast("tinyint").alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)))
+    return distinct.select("fp", F.explode(keys).alias("p")).select("p.k", "p.key", "fp")
+
+
+def _list_links(postings: DataFrame, bits: int) -> DataFrame:
+    lists = postings.groupBy("k", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return lists.select("fps").mapInArrow(_links(bits), "a long, b long")
 
 
+def fingerprint_links(distinct: DataFrame, work: Workspace, bits: int = 2, list_members: int = LIST_MEMBERS) -> DataFrame:
+    """distinct(fp) -> (a, b): links that connect exactly what the pairs within `bits` bits connect."""
+    if not 0 <= bits <= 6:
+        raise ValueError("bits must be from 0 to 6")
+    wide = _postings(distinct, block_masks(bits))
+    hot = work.write(wide.groupBy("k", "key").agg(F.count("*").alias("n")).where(F.col("n") > list_members).select("k", "key"), "hot-lists")
+    if hot.isEmpty():
+        return _list_links(wide, bits)
+    many = work.write(wide.join(hot, ["k", "key"], "left_semi").select("fp").distinct(), "hot-members")
+    rest = wide.join(hot, ["k", "key"], "left_anti")
+    return _list_links(rest, bits).union(_list_links(_postings(many, narrow_masks(bits)), bits))
+
+
 def _labelled(rows: DataFrame, work: Workspace, bits: int) -> DataFrame:
     """rows(id, fp, ...), written, with component (the smallest fingerprint of the class) and component_id."""
     groups = work.write(rows.groupBy("fp").agg(F.min("id").alias("least")), "groups")
-    links = fingerprint_links(groups.select("fp"), bits)
+    links = fingerprint_links(groups.select("fp"), work, bits)
     found = connected_components(links, work)
     # name each component by its smallest document; fingerprints without a link name themselves
     classes = groups.join(found.withColumnRenamed("vertex", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
