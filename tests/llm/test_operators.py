@@ -216,7 +216,26 @@ def test_contamination(spark, odd, none):
     assert decontamination.contamination(none, items).count() == 0
     assert decontamination.contamination(odd, items.limit(0)).where("n_hit > 0").count() == 0
     index = decontamination.PositionalIndex(odd, items)
-    assert {r.key.id for r in index.proximity_matches(30).collect()} >= {2, 3}
+    assert {(r.key.id, r.item_id) for r in index.proximity_matches(3).collect()} == {(d, i) for d in (2, 3, 11) for i in (1, 5)} | {(12, 2)}
+
+
+def test_proximity_matches_what_stretches_have(spark):
+    rng = np.random.default_rng(12)
+    draw = lambda n: [f"w{i}" for i in rng.zipf(1.6, n) % 40]
+    docs = [(i, " , ".join(draw(int(rng.integers(0, 120))))) for i in range(40)]
+    items = [(i, " ".join(draw(int(rng.integers(1, 9))))) for i in range(25)]
+    index = decontamination.PositionalIndex(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=5)
+    for slop in (0, 3):
+        want = set()
+        for i, item in items:
+            ws = item.split()
+            for w in [ws[k : k + 5] for k in range(max(1, len(ws) - 4))]:
+                span = len(w) + slop
+                for d, text in docs:
+                    there = text.split(" , ")
+                    if any(set(w) <= set(there[s : s + span]) for s in range(len(there))) and text:
+                        want.add((d, i))
+        assert {(r.key.id, r.item_id) for r in index.proximity_matches(slop).collect()} == want
 
 
 def test_contamination_by_items_that_share_an_id(spark):

@@ -5,6 +5,11 @@ RARE_TERMS rarest in the training corpus. Searching intersects the offset-adjust
 the term at offset o of an item puts the item at position - o, and an item position is only kept where all rare terms
 of a window agree. What is left is compared word for word with the text, so the matches are exact.
 
+A proximity match is a stretch of at most size + slop words that has all different terms of a window of `size` words, in
+any order. Its candidates come from the same postings: places of one source's rare terms are gathered by blocks of
+document positions, and a window is searched for in the text only where all its rare terms fall into two neighbouring
+blocks. A phrase match is a proximity match too, so only other pairs of document and item are looked at.
+
 The joins with benchmark terms use a broadcast only after their rows have been counted (shared.small), otherwise they
 are shuffled; postings are never gathered per term, so a frequent term is a join key that Spark can split and not a
 group in one task.
@@ -12,7 +17,9 @@ group in one task.
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z have been lower-cased. Defined results: null and empty texts
 have no words and no hits; items that are null or without words have no window; an item shorter than a window is one
 window; items of one item_id, null or not, all count, as one item; a row of documents that is there twice gives its
-result twice; equal texts of several items all count; other columns are not read, so their names cannot clash.
+result twice; equal texts of several items all count; terms of equal frequency are ranked by place; very long texts
+are searched whole; no documents give no rows, and no items no hits; other columns are carried inside a struct or not
+read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -26,6 +33,8 @@ from .shared import Workspace, named, small
 
 WINDOW = 13
 RARE_TERMS = 3
+#: Words that a proximity match may have between those of the window.
+SLOP = 7
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # of texts with capitals
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -78,7 +87,7 @@ class PositionalIndex:
     """Postings of a corpus for the terms that the searches of `items` start from, stored in the shared folder."""
 
     def __init__(self, docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, rare_terms: int = RARE_TERMS):
-        self.work = Workspace(docs.sparkSession, "positions")
+        self.work, self.window = Workspace(docs.sparkSession, "positions"), window
         # equal rows of one key and text share a key here, so lists of places cannot mix
         self.docs = docs.select(F.struct(named(key).alias("id"), F.xxhash64(named(text)).alias("hash")).alias("key"), named(text).alias("text"))
         sources = self.work.write(item_sources(items, item, item_text), "sources")
@@ -121,19 +130,35 @@ class PositionalIndex:
         kept = self.work.write(texts.select("key", exact.alias("found")), "exact").where(F.size("found") > 0)
         return kept.select("key", F.transform("found", lambda m: F.struct(m["start"].alias("start"), F.size(m["words"]).alias("size"), m["item_id"].alias("item_id"))).alias("matches")).distinct()
 
-    def proximity_matches(self, slop: int) -> DataFrame:
-        """(key, item_id, at, position): windows all of whose rare terms stand within `slop` words of a posting of the
-        rarest one, in any order; each such posting."""
-        terms = self.rare.select("source", "at", F.posexplode("terms").alias("nth", "t")).select("source", "at", "nth", F.col("t.term").alias("term"))
-        n = self.rare.select(F.sum(F.size("terms"))).first()[0] or 0
-        put = self.postings.join(small(terms, n), "term")
-        lead = put.where("nth = 0").select("key", "source", "at", "position", F.explode(F.sequence(F.floor(F.col("position") / (slop + 1)) - 1, F.floor(F.col("position") / (slop + 1)) + 1)).alias("block"))
-        near = put.select("key", "source", "at", "nth", F.col("position").alias("other"), F.floor(F.col("position") / (slop + 1)).alias("block"))
-        close = lead.join(near, ["key", "source", "at", "block"]).where(F.abs(F.col("position") - F.col("other")) <= slop)
-        seen = close.groupBy("key", "source", "at", "position").agg(F.count_distinct("nth").alias("n"))
-        size = self.rare.select("source", "item_id", "at", F.size("terms").alias("size"))
-        found = seen.join(small(size, n), ["source", "at"]).where(F.col("n") == F.col("size"))
-        return found.select("key", "item_id", "at", "position").distinct()  # texts of one item_id may share a place
+    def proximity_candidates(self, slop: int) -> DataFrame:
+        """(key, source, at, block): windows whose rare terms all stand in a block of document positions or the next."""
+        at = F.floor(F.col("position") / (self.window + slop))
+        put = self.postings.join(small(self.places.select("source", "term").distinct(), self.n_places), "term")
+        have = put.select("key", "source", "term", F.explode(F.array(at - 1, at)).alias("block")).where("block >= 0").groupBy("key", "source", "block").agg(F.collect_set("term").alias("have"))
+        need = self.rare.where("size > 1").select("source", "at", F.array_distinct(F.transform("terms", lambda t: t["term"])).alias("need"))
+        n, least = need.agg(F.count("*"), F.coalesce(F.min(F.size("need")), F.lit(0))).first()
+        both = have.where(F.size("have") >= least).join(small(need, n), "source")
+        return both.where(F.size(F.array_except("need", "have")) == 0).select("key", "source", "at", "block")
+
+    def proximity_matches(self, slop: int = SLOP) -> DataFrame:
+        """(key, item_id): documents and the items of which a window stands in them within slop additional words."""
+        exact = self.phrase_matches().select("key", F.explode("matches").alias("m")).select("key", F.col("m.item_id").alias("item_id")).distinct()
+        exact = self.work.write(exact, "exact-items")
+        found = self.proximity_candidates(slop).join(small(self.windows, self.windows.count()), ["source", "at"])
+        known = exact.select(F.col("key").alias("own"), F.col("item_id").alias("own_item"))
+        found = found.join(known, (F.col("key") == F.col("own")) & F.col("item_id").eqNullSafe(F.col("own_item")), "left_anti")
+        tries = F.struct(F.array_distinct("words").alias("terms"), F.size("words").alias("size"), "item_id", "block")
+        found = self.work.write(found.groupBy("key").agg(F.collect_set(tries).alias("tries")), "tries")
+        texts = self.docs.join(found.hint("merge"), "key")
+        step = self.window + slop
+
+        def stands(ws, t):
+            starts = F.sequence((t["block"] * step).cast("int"), (t["block"] * step + step - 1).cast("int"))
+            return F.exists(starts, lambda s: F.size(F.array_except(t["terms"], F.slice(ws, s + 1, t["size"] + slop))) == 0)
+
+        near = with_value(F.transform(pieces_of(F.col("text")), folded), lambda ws: F.filter("tries", lambda t: stands(ws, t)))
+        near = texts.select("key", F.explode(F.array_distinct(F.transform(near, lambda t: t["item_id"]))).alias("item_id"))
+        return exact.union(near).distinct()
 
 
 def _covered(matches: Column) -> Column:
@@ -146,23 +171,30 @@ def _covered(matches: Column) -> Column:
     return F.aggregate(F.array_sort(matches), zero, step, lambda acc: acc["n"])
 
 
-def _judged(docs: DataFrame, items: DataFrame, key: str, text: str, carry: tuple[str, ...] | list[str], index: dict) -> DataFrame:
+def _judged(docs: DataFrame, items: DataFrame, key: str, text: str, carry: tuple[str, ...] | list[str], index: dict, slop: int | None = None) -> DataFrame:
     built = PositionalIndex(docs, items, key, text, **index)
     hits = built.phrase_matches().withColumn("ids", F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"].cast("string")))))
     hits = hits.select("key", _covered(F.col("matches")).alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"))
+    if slop is not None:
+        near = built.proximity_matches(slop).groupBy("key").agg(F.count("*").alias("n_near_items"))
+        hits = hits.join(near, "key", "full")
     hits = built.work.write(hits, "hits")
+    built.work.keep("hits")
     rows = docs.select(F.struct(named(key).alias("id"), F.xxhash64(named(text)).alias("hash")).alias("key"), F.struct(*map(named, carry)).alias("row"), count_words(named(text)).alias("n_words"))
     out = rows.join(small(hits, hits.count()), "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         "row", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        *([] if slop is None else [F.coalesce("n_near_items", F.lit(0).cast("long")).alias("n_near_items")]),
     )
 
 
-def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ("doc_id",), **index) -> DataFrame:
-    """One row per document: the columns of `carry`, n_words, n_hit, n_items, items_sha256 and contaminated."""
-    return _judged(docs, items, key, text, carry, index).select("row.*", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ("doc_id",), slop: int | None = None, **index) -> DataFrame:
+    """One row per document: the columns of `carry`, n_words, n_hit, n_items, items_sha256 and contaminated; with a slop
+    also n_near_items, the number of items with a phrase or proximity match."""
+    out = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", *["n_near_items"] * (slop is not None)]
+    return _judged(docs, items, key, text, carry, index, slop).select("row.*", *out)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **index) -> DataFrame:
@@ -180,7 +212,14 @@ p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
 dw AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS w FROM p CROSS JOIN (SELECT DISTINCT n FROM iw) WHERE i + n - 1 <= len(ws)),
 m AS MATERIALIZED (SELECT doc_id, i, n, item_id FROM dw JOIN iw USING (n, w)),
 h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM m) GROUP BY doc_id),
+f AS (SELECT w, count(*) AS df FROM (SELECT unnest(ws) AS w FROM d) GROUP BY w),
+nw AS (SELECT item_id, list_distinct(string_split(w, ' ')) AS terms, n + {SLOP} AS span FROM iw WHERE n > 1),
+nr AS MATERIALIZED (SELECT item_id, terms, span, arg_min(t, (coalesce(df, 0), t)) AS rarest FROM (SELECT *, unnest(terms) AS t FROM nw) LEFT JOIN f ON f.w = t GROUP BY item_id, terms, span),
+np AS MATERIALIZED (SELECT doc_id, i, w, ws[greatest(i - {WINDOW + SLOP - 1}, 1):i + {WINDOW + SLOP - 1}] AS around FROM (SELECT doc_id, ws, i, ws[i] AS w FROM p) WHERE w IN (SELECT rarest FROM nr)),
+nc AS (SELECT item_id, terms, span, doc_id, around FROM np JOIN nr ON rarest = w WHERE list_has_all(around, terms)),
+nm AS (SELECT DISTINCT doc_id, item_id FROM (SELECT *, unnest(range(1, len(around) + 1)) AS s FROM nc) WHERE list_has_all(around[s:s + span - 1], terms)),
+ni AS (SELECT doc_id, count(*) AS n_near FROM (SELECT DISTINCT doc_id, item_id FROM m UNION SELECT * FROM nm) GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM m) GROUP BY doc_id)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN ni USING (doc_id)"""
