@@ -160,12 +160,26 @@ def brute_strings(docs, length):
 
 @pytest.mark.parametrize("group_contexts", [20_000, 1])
 def test_strings(odd, none, group_contexts):
-    got = suffix_repeats.repeat_digest(odd, shorter={"n_short": 200}, group_contexts=group_contexts)
-    assert rows(got.drop("n_short")) == brute_strings(ODD, 400)
-    assert sorted((str(r.doc_id), r.n_short) for r in got.collect()) == sorted((str(r[0]), r[2]) for r in brute_strings(ODD, 200))
+    got = suffix_repeats.repeat_digest(odd, shorter=200, group_contexts=group_contexts)
+    assert rows(got.drop("n_passage_bytes")) == brute_strings(ODD, 400)
+    assert sorted((str(r.doc_id), r.n_passage_bytes) for r in got.collect()) == sorted((str(r[0]), r[2]) for r in brute_strings(ODD, 200))
     assert suffix_repeats.repeat_digest(none).count() == 0
 
 
+def test_repeat_groups_list_all_occurrences(spark):
+    a, b = prose(41, 40), prose(42, 40)
+    texts = [(1, f"{a} p {b}"), (2, f"q {a} r"), (3, f"{b}{a}"), (4, f"{a} r"), (5, prose(43, 40))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    raw = dict(texts)
+    for group_contexts in (20_000, 1):
+        groups = {}
+        for r in suffix_repeats.repeat_groups(docs, length=200, group_contexts=group_contexts).collect():
+            groups.setdefault((r.h, r.g), []).append((raw[r.doc_id][r.start : r.end], r.doc_id, r.start))
+        assert all(len({t for t, *_ in g}) == 1 and len(g) == len(set(g)) > 1 for g in groups.values())
+        holders = {frozenset(d for _, d, _ in g) for g in groups.values()}
+        assert {frozenset({1, 2, 3, 4}), frozenset({2, 4}), frozenset({1, 3})} <= holders and not any(5 in h for h in holders)
+
+
 def brute_later(docs, length):
     """The texts without the bytes under strings that start earlier too, in order of doc_id and place."""
     seen, out = set(), {}

@@ -21,8 +21,8 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: Bytes of a repeat that counts as a passage: 50 words of the shortest kind seen have 237.
-PASSAGE_BYTES = 200
+#: Bytes of a repeat that counts as a passage; 99 of 100 passages of 50 words have 281 or more.
+PASSAGE_BYTES = 256
 #: Batches in which op10 receives the table.
 ARRIVALS = 4
 
@@ -68,7 +68,7 @@ def op8_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's strings of 400 bytes; n_passage_bytes has the bytes under repeats of PASSAGE_BYTES, which passages
     of over 50 words reach and 400 bytes often miss."""
-    return suffix_repeats.repeat_digest(table(spark, sf_dir, "documents"), shorter={"n_passage_bytes": PASSAGE_BYTES})
+    return suffix_repeats.repeat_digest(table(spark, sf_dir, "documents"), shorter=PASSAGE_BYTES)
 
 
 def op10_tiered_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:

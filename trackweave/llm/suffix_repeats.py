@@ -13,10 +13,11 @@ need only hold the suffixes at anchors, and falls apart by the anchor's hash int
    the same scan over them gives the sets that agree to the left. A set whose members continue differently on either
    side (left and right diversity) and agree in `length` bytes or more is a maximal repeat: it is put out with all its
    occurrences. Bytes are compared here, so hashes that collide do no harm;
-5. the spans of a document are those of its occurrences in all groups.
+5. the spans of a context are those of its occurrences in all groups; those that lie within another one say nothing
+   more and stay behind. The others go back to every document that has the context.
 
-Several lengths can be asked for at once: an anchor of a longer string is one of a shorter string too, so one scan
-with the contexts of both serves all. A repeat wider than a context shows up as a chain of overlapping groups.
+A shorter length can be asked for besides: an anchor of a longer string is one of a shorter string too, so one scan
+with the contexts of both serves both. A repeat wider than a context shows up as a chain of overlapping groups.
 
 A hash with more than GROUP_CONTEXTS different contexts takes another exact way that needs no group in a task: its
 strings are hashed with 128 bits and counted by a grouped sum; each string that occurs twice is a group.
@@ -195,29 +196,66 @@ def context_groups(contexts: list[bytes], anchor: list[int], copies: list[int],
             group += 1
 
 
-_GROUP_SCHEMA = "h long, g long, ck binary, s int, e int"
+def widest(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those that lie in no other one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(set(spans), key=lambda x: (x[0], -x[1])):
+        if not out or e > out[-1][1]:
+            out.append((s, e))
+    return out
 
 
-def _grouped(length: int):
-    """Batches sorted by h; an anchor's contexts go on from one batch to the next."""
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
+def context_spans(contexts: list[bytes], anchor: list[int], copies: list[int], length: int, firsts: list[tuple] | None = None) -> Iterator[tuple[int, int, int, bool]]:
+    """(context, start, end, but one): the widest spans of each context that occur elsewhere too. With `firsts`, the
+    order and place of each context's first copy, spans that occur earlier; `but one` if that holds for all copies of
+    the context except the first, as that one is the first of its group."""
+    m = len(contexts)
+    all_, later = [[] for _ in range(m)], [[] for _ in range(m)]
+    for _, group in groupby(context_groups(contexts, anchor, copies, length), key=lambda r: r[0]):
+        members = list(group)
+        lead = None if firsts is None else min((*firsts[x][:-1], firsts[x][-1] + s, x) for _, x, s, _ in members)[-1]
+        for _, x, s, e in members:
+            (later if x == lead else all_)[x].append((s, e))
+    for x in range(m):
+        kept = widest(all_[x])
+        yield from ((x, s, e, False) for s, e in kept)
+        if copies[x] > 1 and later[x]:
+            wide = set(kept)
+            yield from ((x, s, e, True) for s, e in widest(kept + later[x]) if (s, e) not in wide)
+
+
+def _by_anchor(length: int, spans: bool, key_order: bool):
+    """Batches sorted by h; an anchor's contexts go on from one batch to the next. Puts out the occurrences of groups,
+    or the spans of contexts."""
+    last = ("but_one", pa.bool_()) if spans else ("g", pa.int64())
+    names = ["h", "ck", "s", "e", last[0]]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), last[1]]
+    read = ["h", "ck", "anchor", "copies", "context"]
 
     def table(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["h", "g", "ck", "s", "e"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    def order(first: dict) -> tuple:
+        key = first["key"]["id"]
+        return (key is not None, key if key is not None else 0, first["key"]["hash"], first["base"])
 
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("h", "ck", "anchor", "copies", "context")), strict=True)
+            firsts = batch.column("first").to_pylist() if key_order else [None] * batch.num_rows
+            yield from zip(*(batch.column(c).to_pylist() for c in read), firsts, strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for h, members in groupby(rows(batches), key=lambda r: r[0]):
-            _, cks, anchor, copies, contexts = map(list, zip(*members, strict=True))
-            for g, x, s, e in context_groups(contexts, anchor, copies, length):
-                out.append((h, g, cks[x], s, e))
-                if len(out) >= 20_000:
-                    yield table(out)
-                    out = []
+            _, cks, anchor, copies, contexts, firsts = map(list, zip(*members, strict=True))
+            if spans:
+                found = context_spans(contexts, anchor, copies, length, list(map(order, firsts)) if key_order else None)
+                out += [(h, cks[x], s, e, but_one) for x, s, e, but_one in found]
+            else:
+                out += [(h, cks[x], s, e, g) for g, x, s, e in context_groups(contexts, anchor, copies, length)]
+            if len(out) >= 20_000:
+                yield table(out)
+                out = []
         if out:
             yield table(out)
 
@@ -234,64 +272,85 @@ def _strings(lengths: tuple[int, ...]):
                 for length in lengths:
                     x, y = tc.byte_windows(data, length), tc.byte_windows(data, length, 1)
                     n = len(x)
-                    same = [pa.array([batch.column(c)[i].as_py()] * n, batch.column(c).type) for c in ("h", "ck", "copies")]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, length, np.int32))], ["h", "ck", "copies", "x", "y", "s", "size"])
+                    same = [pa.array([batch.column(c)[i].as_py()] * n, batch.column(c).type) for c in ("h", "ck", "copies", "first")]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, length, np.int32))], ["h", "ck", "copies", "first", "x", "y", "s", "size"])
 
     return run
 
 
-def _groups_by_count(hot: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    strings = hot.mapInArrow(_strings(lengths), "h long, ck binary, copies long, x long, y long, s int, size int")
-    often = strings.groupBy("h", "x", "y", "size").agg(F.sum("copies").alias("n")).where("n > 1").select("h", "x", "y", "size")
-    return strings.join(often, ["h", "x", "y", "size"]).select("h", F.xxhash64("x", "y").alias("g"), "ck", "s", (F.col("s") + F.col("size")).cast("int").alias("e"))
-
-
-def repeat_groups(docs: DataFrame, work: Workspace, lengths: tuple[int, ...] = (LENGTH,), k: int = K, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
-    """docs(key, text) -> (h, g, key, s, e): all occurrences, as byte spans, of each maximal repeat (h, g) of at least
-    the smallest of `lengths`. Strings of the other lengths lie in groups of at least their length as well."""
-    ship(docs.sparkSession)
-    k, kind = min(k, *lengths), docs.schema["key"].dataType.simpleString()
-    scan = work.write(docs.select("key", "text").mapInArrow(_scan(lengths, k), f"h long, id {kind}, place int"), "anchors")
-    often = work.write(scan.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")  # apart from the join, so that it can split hot keys
-    places = work.write(scan.join(often, "h").groupBy("id").agg(F.collect_list("place").alias("places")), "places")
-    contexts = docs.join(places, F.col("key") == F.col("id")).select("key", "text", "places").mapInArrow(_contexts(lengths, k), f"h long, ck binary, key {kind}, base int, anchor int, context binary")
-    contexts = work.write(contexts, "contexts")
-    work.drop("anchors")
-    distinct = work.write(contexts.groupBy("h", "ck").agg(F.count("*").alias("copies"), F.first("anchor").alias("anchor"), F.first("context").alias("context")), "distinct")
-    sizes = distinct.groupBy("h").agg(F.count("*").alias("m"), F.sum("copies").alias("n")).where("n > 1").select("h", "m")
-    hot = work.write(sizes.where(F.col("m") > group_contexts).select("h"), "hot")
-    n_hot = hot.count()
-    grouped = distinct if n_hot == 0 else distinct.join(hot, "h", "left_anti")
-    members = grouped.repartition("h").sortWithinPartitions("h").mapInArrow(_grouped(min(lengths)), _GROUP_SCHEMA)
-    if n_hot:
-        members = members.union(_groups_by_count(distinct.join(hot, "h"), lengths))
-    members = work.write(members, "members")
-    work.drop("distinct")
-    return contexts.select("h", "ck", "key", "base").join(members, ["h", "ck"]).select("h", "g", "key", (F.col("base") + F.col("s")).alias("s"), (F.col("base") + F.col("e")).alias("e"))
-
-
-def later_occurrences(groups: DataFrame) -> DataFrame:
-    """The occurrences without the first one of each group, by key and place."""
-    first = groups.groupBy("h", "g").agg(F.min(F.struct("key", "s")).alias("first"))
-    return groups.join(first, ["h", "g"]).where(~F.struct("key", "s").eqNullSafe(F.col("first"))).drop("first")
-
-
-def repeat_spans(docs: DataFrame, work: Workspace, lengths: tuple[int, ...] = (LENGTH,), k: int = K, group_contexts: int = GROUP_CONTEXTS, keep_first: bool = False) -> DataFrame:
-    """docs(key, text) -> (key, spans): the parts of each text that are occurrences of a maximal repeat, as
-    start * 2**32 + end in bytes, unordered and possibly overlapping; only keys that have some."""
-    found = repeat_groups(docs, work, lengths, k, group_contexts)
-    if keep_first:
-        found = later_occurrences(work.write(found, "occurrences"))
-    span = F.shiftleft(F.col("s").cast("long"), 32).bitwiseOR(F.col("e").cast("long"))
-    found = work.write(found.groupBy("key").agg(F.collect_set(span).alias("spans")), "found")
-    work.keep("found")
-    return found
-
-
-def removed(n: int, spans: np.ndarray) -> np.ndarray:
+def _counted_strings(hot: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(h, ck, s, e, g, but_one, late): the strings of hot anchors that occur twice, each a group; `late` for those that
+    are not the first of their group."""
+    first = hot.schema["first"].dataType.simpleString()
+    strings = hot.mapInArrow(_strings(lengths), f"h long, ck binary, copies long, first {first}, x long, y long, s int, size int")
+    place = F.struct(F.col("first.key").alias("key"), (F.col("first.base") + F.col("s")).alias("at"), "ck")
+    often = strings.groupBy("h", "x", "y", "size").agg(F.sum("copies").alias("n"), F.min(place).alias("lead")).where("n > 1").drop("n")
+    mine = F.col("lead.ck") == F.col("ck")
+    found = strings.join(often, ["h", "x", "y", "size"])
+    mine = mine & (F.col("lead.at") == F.col("first.base") + F.col("s"))
+    return found.select("h", "ck", "s", (F.col("s") + F.col("size")).cast("int").alias("e"), F.xxhash64("x", "y", "size").alias("g"), mine.alias("but_one"), (~mine | (F.col("copies") > 1)).alias("late"), "size")
+
+
+class Repeats:
+    """The contexts of docs(key, text) around shared anchors, in the shared folder, and what repeats in them."""
+
+    def __init__(self, docs: DataFrame, work: Workspace, lengths: tuple[int, ...] = (LENGTH,), k: int = K, group_contexts: int = GROUP_CONTEXTS):
+        ship(docs.sparkSession)
+        self.work, self.lengths = work, lengths
+        k, kind = min(k, *lengths), docs.schema["key"].dataType.simpleString()
+        scan = work.write(docs.select("key", "text").mapInArrow(_scan(lengths, k), f"h long, id {kind}, place int"), "anchors")
+        often = work.write(scan.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")  # apart from the join, so that it can split hot keys
+        places = work.write(scan.join(often, "h").groupBy("id").agg(F.collect_list("place").alias("places")), "places")
+        work.drop("anchors")
+        contexts = docs.join(places, F.col("key") == F.col("id")).select("key", "text", "places").mapInArrow(_contexts(lengths, k), f"h long, ck binary, key {kind}, base int, anchor int, context binary")
+        contexts = work.write(contexts, "contexts")
+        work.drop("places")
+        self.occurrences = contexts.select("h", "ck", "key", "base")
+        merged = contexts.groupBy("h", "ck").agg(F.count("*").alias("copies"), F.min(F.struct("key", "base")).alias("first"), F.first("anchor").alias("anchor"), F.first("context").alias("context"))
+        distinct = work.write(merged, "distinct")
+        sizes = distinct.groupBy("h").agg(F.count("*").alias("m"), F.sum("copies").alias("n"))
+        hot = work.write(sizes.where(F.col("m") > group_contexts).select("h"), "hot")
+        alone = work.write(sizes.where("n = 1").select("h"), "alone")  # equal hashes of anchors, of which only one has a string
+        self.first = distinct.select("h", "ck", "first")
+        self.hot = None if hot.isEmpty() else distinct.join(hot, "h", "left_semi")
+        grouped = distinct if self.hot is None else distinct.join(hot, "h", "left_anti")
+        self.grouped = grouped.join(alone, "h", "left_anti").repartition("h").sortWithinPartitions("h")
+
+    def groups(self) -> DataFrame:
+        """(h, g, key, s, e): all occurrences, as byte spans, of each maximal repeat (h, g) of at least the smallest
+        length. Strings of the other lengths lie in groups of at least their length as well."""
+        found = self.grouped.drop("first").mapInArrow(_by_anchor(min(self.lengths), False, False), "h long, ck binary, s int, e int, g long")
+        if self.hot is not None:
+            found = found.union(_counted_strings(self.hot, self.lengths).select("h", "ck", "s", "e", "g"))
+        return self.occurrences.join(found, ["h", "ck"]).select("h", "g", "key", (F.col("base") + F.col("s")).alias("s"), (F.col("base") + F.col("e")).alias("e"))
+
+    def spans(self, keep_first: bool = False) -> DataFrame:
+        """(key, spans): the parts of each text that are occurrences of a maximal repeat, packed as start, end and a bit
+        that tells repeats of lengths[0], unordered and possibly overlapping; only keys that have some."""
+        rows = self.grouped if keep_first else self.grouped.drop("first")
+        found = rows.mapInArrow(_by_anchor(min(self.lengths), True, keep_first), "h long, ck binary, s int, e int, but_one boolean")
+        found = found.withColumn("main", F.col("e") - F.col("s") >= self.lengths[0])
+        if self.hot is not None:
+            strings = _counted_strings(self.hot, self.lengths).where("late" if keep_first else "true")
+            found = found.union(strings.select("h", "ck", "s", "e", F.col("but_one") if keep_first else F.lit(False), F.col("size") >= self.lengths[0]))
+        found = self.work.write(found, "spans")
+        back = self.occurrences.join(found, ["h", "ck"])
+        if keep_first:
+            back = back.join(self.first, ["h", "ck"]).where(~(F.col("but_one") & (F.struct("key", "base") == F.col("first"))))
+        put = F.shiftleft(F.col("base") + F.col("s").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("base") + F.col("e").cast("long"), 1)).bitwiseOR(F.col("main").cast("long"))
+        found = self.work.write(back.select("key", put.alias("span")).groupBy("key").agg(F.collect_set("span").alias("spans")), "found")
+        self.work.keep("found")
+        return found
+
+
+def unpacked(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, is it of the main length)."""
+    return spans >> 32, (spans & 0xFFFFFFFF) >> 1, (spans & 1).astype(bool)
+
+
+def removed(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of n bytes the spans cover."""
-    s, e = spans >> 32, spans & 0xFFFFFFFF
-    return tc.cover(s, e - s, n)
+    return tc.cover(starts, ends - starts, n) if len(starts) else np.zeros(n, bool)
 
 
 def _applied(edit: Callable, out: list[str]):
@@ -307,17 +366,18 @@ def _applied(edit: Callable, out: list[str]):
     return run
 
 
-def _digest(lengths: tuple[int, ...]):
+def _digest(with_shorter: bool):
     def edit(data: np.ndarray, spans: np.ndarray) -> tuple:
-        gone = [removed(len(data), spans[(spans & 0xFFFFFFFF) - (spans >> 32) >= n]) if len(spans) else np.zeros(len(data), bool) for n in lengths]
-        n_spans = int(gone[0][:1].sum() + (np.diff(gone[0].astype(np.int8)) == 1).sum())
-        return len(data), int(gone[0].sum()), n_spans, hashlib.sha256(data[~gone[0]].tobytes()).hexdigest(), *(int(g.sum()) for g in gone[1:])
+        s, e, main = unpacked(spans)
+        gone = removed(len(data), s[main], e[main])
+        n_spans = int(gone[:1].sum() + (np.diff(gone.astype(np.int8)) == 1).sum())
+        return len(data), int(gone.sum()), n_spans, hashlib.sha256(data[~gone].tobytes()).hexdigest(), *([int(removed(len(data), s, e).sum())] if with_shorter else [])
 
     return edit
 
 
 def _cleaned(data: np.ndarray, spans: np.ndarray) -> tuple[str, int]:
-    gone = removed(len(data), spans) if len(spans) else np.zeros(len(data), bool)
+    gone = removed(len(data), *unpacked(spans)[:2])
     lead = (data & 0xC0) != 0x80  # a character goes only if all its bytes go
     char = np.cumsum(lead) - 1
     stay = np.zeros(int(char[-1]) + 1 if len(data) else 0, bool)
@@ -333,21 +393,26 @@ def _row_key(docs: DataFrame, key: str, text: str):
 
 def _with_spans(docs: DataFrame, key: str, text: str, carry: list[str], lengths: tuple[int, ...], k: int, group_contexts: int, keep_first: bool) -> DataFrame:
     work = Workspace(docs.sparkSession, "repeats")
-    found = repeat_spans(docs.select(_row_key(docs, key, text).alias("key"), named(text).alias("text")), work, lengths, k, group_contexts, keep_first)
+    found = Repeats(docs.select(_row_key(docs, key, text).alias("key"), named(text).alias("text")), work, lengths, k, group_contexts).spans(keep_first)
     own, spans = fresh_name(docs, "row_key"), fresh_name(docs, "row_spans")
     rows = docs.select(_row_key(docs, key, text).alias(own), *map(named, carry), named(text).alias(fresh_name(docs, "row_text")))
     return rows.join(found.select(F.col("key").alias(own), F.col("spans").alias(spans)), own, "left").drop(own)
 
 
-def repeat_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, shorter: dict[str, int] | None = None, k: int = K, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
-    """One row per input row: key, n_bytes, n_removed, n_spans and kept_sha256 of the remaining bytes; and for each
-    name and smaller length of `shorter` the number of bytes under strings of that length that occur elsewhere too."""
-    shorter = shorter or {}
-    lengths = (length, *shorter.values())
+def repeat_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = K, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
+    """Every maximal repeat with all its occurrences: (h, g) names it; key, start and end in bytes of an occurrence."""
+    found = Repeats(docs.select(_row_key(docs, key, text).alias("key"), named(text).alias("text")), Workspace(docs.sparkSession, "repeats"), (length,), k, group_contexts).groups()
+    return found.select("h", "g", F.col("key.id").alias(key), F.col("s").alias("start"), F.col("e").alias("end"))
+
+
+def repeat_digest(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, shorter: int | None = None, k: int = K, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
+    """One row per input row: key, n_bytes, n_removed, n_spans and kept_sha256 of the remaining bytes; with a `shorter`
+    length also n_passage_bytes, the bytes under strings of that length that occur elsewhere too."""
+    lengths = (length,) if shorter is None else (length, shorter)
     rows = _with_spans(docs, key, text, [key], lengths, k, group_contexts, False)
     kind = docs.schema[key].dataType.simpleString()
-    counts = "".join(f", `{name}` long" for name in shorter)
-    return rows.mapInArrow(_applied(_digest(lengths), ["n_bytes", "n_removed", "n_spans", "kept_sha256", *shorter]), f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{counts}")
+    extra = [] if shorter is None else ["n_passage_bytes"]
+    return rows.mapInArrow(_applied(_digest(bool(extra)), ["n_bytes", "n_removed", "n_spans", "kept_sha256", *extra]), f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_passage_bytes long" * len(extra))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, keep_first: bool = False, k: int = K, group_contexts: int = GROUP_CONTEXTS) -> DataFrame:
