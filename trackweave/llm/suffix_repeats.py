@@ -308,13 +308,12 @@ class Repeats:
         self.occurrences = contexts.select("h", "ck", "key", "base")
         merged = contexts.groupBy("h", "ck").agg(F.count("*").alias("copies"), F.min(F.struct("key", "base")).alias("first"), F.first("anchor").alias("anchor"), F.first("context").alias("context"))
         distinct = work.write(merged, "distinct")
-        sizes = distinct.groupBy("h").agg(F.count("*").alias("m"), F.sum("copies").alias("n"))
+        sizes = distinct.groupBy("h").agg(F.count("*").alias("m"))
         hot = work.write(sizes.where(F.col("m") > group_contexts).select("h"), "hot")
-        alone = work.write(sizes.where("n = 1").select("h"), "alone")  # equal hashes of anchors, of which only one has a string
         self.first = distinct.select("h", "ck", "first")
         self.hot = None if hot.isEmpty() else distinct.join(hot, "h", "left_semi")
         grouped = distinct if self.hot is None else distinct.join(hot, "h", "left_anti")
-        self.grouped = grouped.join(alone, "h", "left_anti").repartition("h").sortWithinPartitions("h")
+        self.grouped = grouped.repartition("h").sortWithinPartitions("h")
 
     def groups(self) -> DataFrame:
         """(h, g, key, s, e): all occurrences, as byte spans, of each maximal repeat (h, g) of at least the smallest

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 U = np.uint64
 _FACTOR, _SPREAD = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 #: Of the low 0..8 bytes of a chunk.
