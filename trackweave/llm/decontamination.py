@@ -87,7 +87,7 @@ class PositionalIndex:
     """Postings of a corpus for the terms that the searches of `items` start from, stored in the shared folder."""
 
     def __init__(self, docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, rare_terms: int = RARE_TERMS):
-        self.work, self.window = Workspace(docs.sparkSession, "positions"), window
+        self.work, self.window, self.matches = Workspace(docs.sparkSession, "positions"), window, None
         # equal rows of one key and text share a key here, so lists of places cannot mix
         self.docs = docs.select(F.struct(named(key).alias("id"), F.xxhash64(named(text)).alias("hash")).alias("key"), named(text).alias("text"))
         sources = self.work.write(item_sources(items, item, item_text), "sources")
@@ -121,13 +121,20 @@ class PositionalIndex:
         return both.select("key", "source", "at", (F.col("shift") + F.col("at")).alias("start"))
 
     def phrase_matches(self) -> DataFrame:
-        """(key, matches): for each document with exact occurrences of windows, structs of start, size and item_id."""
+        """(key, matches): for each document with exact occurrences of windows, structs of start, size and item_id;
+        searched once and kept."""
+        if self.matches is None:
+            self.matches = self.work.write(self._search(), "matches")
+        return self.matches
+
+    def _search(self) -> DataFrame:
         found = self.phrase_candidates().join(small(self.windows, self.windows.count()), ["source", "at"])
         found = found.groupBy("key").agg(F.collect_list(F.struct("start", "words", "item_id")).alias("found"))
         texts = self.docs.join(self.work.write(found, "candidates").hint("merge"), "key")
         same = lambda ws, m: F.transform(F.slice(ws, m["start"] + 1, F.size(m["words"])), folded) == m["words"]
         exact = with_value(pieces_of(F.col("text")), lambda ws: F.filter("found", lambda m: same(ws, m)))
         kept = self.work.write(texts.select("key", exact.alias("found")), "exact").where(F.size("found") > 0)
+        self.work.drop("candidates")
         return kept.select("key", F.transform("found", lambda m: F.struct(m["start"].alias("start"), F.size(m["words"]).alias("size"), m["item_id"].alias("item_id"))).alias("matches")).distinct()
 
     def proximity_candidates(self, slop: int) -> DataFrame:
