@@ -315,6 +315,21 @@ class Repeats:
         grouped = distinct if self.hot is None else distinct.join(hot, "h", "left_anti")
         self.grouped = grouped.repartition("h").sortWithinPartitions("h")
 
+    def _counted_spans(self, keep_first: bool) -> DataFrame:
+        """Of the contexts of hot anchors: runs of overlapping strings of one length as one span."""
+        strings = _counted_strings(self.hot, self.lengths).where("late" if keep_first else "true")
+        but_one = F.col("but_one") if keep_first else F.lit(False)
+        per = strings.groupBy("h", "ck", "size", but_one.alias("but_one")).agg(F.array_sort(F.collect_list("s")).alias("all"))  # at most a context's strings
+
+        def grow(runs, s):
+            last, new = F.element_at(runs, -1), F.struct(s.alias("s"), (s + F.col("size")).alias("e"))
+            wider = F.struct(last["s"].alias("s"), new["e"].alias("e"))
+            return F.when(s <= last["e"], F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(wider))).otherwise(F.concat(runs, F.array(new)))
+
+        first = F.array(F.struct(F.col("all")[0].alias("s"), (F.col("all")[0] + F.col("size")).alias("e")))
+        runs = per.select("h", "ck", "but_one", "size", F.explode(F.aggregate("all", first, grow)).alias("r"))
+        return runs.select("h", "ck", "r.s", "r.e", "but_one", (F.col("size") >= self.lengths[0]).alias("main"))
+
     def groups(self) -> DataFrame:
         """(h, g, key, s, e): all occurrences, as byte spans, of each maximal repeat (h, g) of at least the smallest
         length. Strings of the other lengths lie in groups of at least their length as well."""
@@ -330,8 +345,7 @@ class Repeats:
         found = rows.mapInArrow(_by_anchor(min(self.lengths), True, keep_first), "h long, ck binary, s int, e int, but_one boolean")
         found = found.withColumn("main", F.col("e") - F.col("s") >= self.lengths[0])
         if self.hot is not None:
-            strings = _counted_strings(self.hot, self.lengths).where("late" if keep_first else "true")
-            found = found.union(strings.select("h", "ck", "s", "e", F.col("but_one") if keep_first else F.lit(False), F.col("size") >= self.lengths[0]))
+            found = found.union(self._counted_spans(keep_first))
         found = self.work.write(found, "spans")
         back = self.occurrences.join(found, ["h", "ck"])
         if keep_first:
