@@ -126,19 +126,6 @@ def clean_text(value: Column) -> Column:
 
 
 def clean_team_id(value: Column) -> Column:
-    """Team ids as text: no trailing .0, and '' for what stands for unknown."""
-    t = F.regexp_replace(clean_text(value), r"\.0$", "")
-    return F.when(F.lower(t).isin("unknown", "<na>", "-1"), "").otherwise(t)
-
-
-def number_candidates(text: Column) -> Column:
-    """The numbers that a score reading may hold: `a:b` or `a-b` as two, four to six bare digits split in the middle,
-    one to three digits as they are. array<struct<value int, form string>>"""
-    t = F.translate(F.upper(_text(text)), *LOOKALIKES)
-    only = F.regexp_replace(t, "[^0-9]", "")
-    pair = r"(\d{1,3})\s*[:\-]\s*(\d{1,3})"
-    item = lambda c, form: F.struct(c.try_cast("int").alias("value"), F.lit(form).alias("form"))
-    half = F.ceil(F.length(only) / 2).cast("int")
-    split = F.array(item(F.substring(only, F.lit(1), half), "split"), item(F.substring(only, half + 1, F.length(only)), "split"))
-    plain = F.transform(F.regexp_extract_all(t, F.lit(r"\d{1,3}"), F.lit(0)), lambda n: F.struct(n.try_cast("int").alias("value"), F.lit("plain").alias("form")))
-    return F.when(t.rlike(pair), F.array(item(F.regexp_extract(t, pair, 1), "pair"), item(F.regexp_extract(t, pair, 2), "pair"))).when(F.length(only).between(4, 6) & t.rlike(r"^\s*\d+\s*$"), split).otherwise(plain)
+    """Team ids as text: '' for null, blank, nan, none and unknown, and no trailing .0; anything else stays."""
+    t = F.trim(_text(value))
+    return F.when(F.lower(t).isin("nan", "none", "unknown"), "").otherwise(F.regexp_replace(t, r"\.0$", ""))

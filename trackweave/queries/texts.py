@@ -62,11 +62,11 @@ def safe_numbers(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", scalars.number(v).alias("number"), scalars.whole(v).alias("whole"))
 
 
-TEAMS = ["1.0", "2", " nan", "None", "unknown", "", "<NA>", "A.0"]
+TEAMS = ["1.0", "2", " nan", "None", "unknown", "", "-1", "A.0"]
 TEAMS_SQL = "[" + ", ".join(f"'{c}'" for c in TEAMS) + "]"
 
 
-@query(f"WITH c AS (SELECT event_id, trim(({TEAMS_SQL})[1 + event_id % 8]) AS t FROM events) SELECT event_id, CASE WHEN lower(t) IN ('nan', 'none', 'null', 'unknown', '<na>') THEN '' ELSE regexp_replace(t, '\\.0$', '') END AS team_id FROM c")
+@query(f"WITH c AS (SELECT event_id, trim(({TEAMS_SQL})[1 + event_id % 8]) AS t FROM events) SELECT event_id, CASE WHEN lower(t) IN ('nan', 'none', 'unknown') THEN '' ELSE regexp_replace(t, '\\.0$', '') END AS team_id FROM c")
 def team_id_clean(spark, sf_dir):
     v = F.element_at(F.array(*map(F.lit, TEAMS)), (F.col("event_id") % 8 + 1).cast("int"))
     return load(spark, sf_dir, "events").select("event_id", text.clean_team_id(v).alias("team_id"))
@@ -85,12 +85,3 @@ def class_names(spark, sf_dir):
 def game_clock_format(spark, sf_dir):
     s, p = F.col("o_orderkey") % 300, 1 + F.col("o_orderkey") % 5
     return load(spark, sf_dir, "orders").select("o_orderkey", text.game_clock(p, s).alias("clock"), scalars.elapsed_seconds(p, s).alias("elapsed"))
-
-
-NUMBERS = ["102:98", "10298", "95", "1I2-9B", "7 12", "", "abcdefx", "1234567"]
-
-
-@query()
-def score_number_candidates(spark, sf_dir):
-    v = F.element_at(F.array(*map(F.lit, NUMBERS)), (F.col("event_id") % 8 + 1).cast("int"))
-    return load(spark, sf_dir, "events").select("event_id", F.explode(text.number_candidates(v)).alias("c")).select("event_id", "c.value", "c.form")
