@@ -45,8 +45,8 @@ from . import textcore as tc
 from .shared import Workspace, fresh_name, named, ship
 
 LENGTH, K = 400, 64
-#: The most different contexts of an anchor that are sorted in one task (about 1.5 MB).
-GROUP_CONTEXTS = 2048
+#: The most different contexts of an anchor that are sorted in one task (about 5 MB).
+GROUP_CONTEXTS = 8192
 _PLACE = np.uint64((1 << 31) - 1)
 
 
@@ -262,33 +262,35 @@ def _by_anchor(length: int, spans: bool, key_order: bool):
     return run
 
 
-def _strings(lengths: tuple[int, ...]):
-    """Every string of one of `lengths` of a context, as two hashes."""
+def _strings(lengths: tuple[int, ...], carried: list[str]):
+    """Every string of one of `lengths` of a context, as two hashes, with the context's columns `carried`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, context in enumerate(batch.column("context").to_pylist()):
-                data = np.frombuffer(context, np.uint8)
-                for length in lengths:
-                    x, y = tc.byte_windows(data, length), tc.byte_windows(data, length, 1)
-                    n = len(x)
-                    same = [pa.array([batch.column(c)[i].as_py()] * n, batch.column(c).type) for c in ("h", "ck", "copies", "first")]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, length, np.int32))], ["h", "ck", "copies", "first", "x", "y", "s", "size"])
+            raw = batch.column("context").to_pylist()
+            for length in lengths:
+                found = [(tc.byte_windows(d, length), tc.byte_windows(d, length, 1)) for d in (np.frombuffer(c, np.uint8) for c in raw)]
+                n = np.array([len(x) for x, _ in found], np.int64)
+                row, s = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                x, y = (np.concatenate(v).view(np.int64) for v in zip(*found, strict=True))
+                same = [batch.column(c).take(pa.array(row)) for c in carried]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(x), pa.array(y), pa.array(s.astype(np.int32)), pa.array(np.full(len(s), length, np.int32))], [*carried, "x", "y", "s", "size"])
 
     return run
 
 
-def _counted_strings(hot: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """(h, ck, s, e, g, but_one, late): the strings of hot anchors that occur twice, each a group; `late` for those that
-    are not the first of their group."""
-    first = hot.schema["first"].dataType.simpleString()
-    strings = hot.mapInArrow(_strings(lengths), f"h long, ck binary, copies long, first {first}, x long, y long, s int, size int")
-    place = F.struct(F.col("first.key").alias("key"), (F.col("first.base") + F.col("s")).alias("at"), "ck")
+def _counted_strings(hot: DataFrame, lengths: tuple[int, ...], keep_first: bool = False) -> DataFrame:
+    """(h, ck, s, e, g, but_one, size): the strings of hot anchors that occur twice, each a group. With keep_first only
+    those that are not the first of their group, or (but_one) whose context has copies besides the first."""
+    carried = ["h", "ck", "copies", *["first"] * keep_first]
+    kinds = {f.name: f.dataType.simpleString() for f in hot.schema}
+    strings = hot.select(*carried, "context").mapInArrow(_strings(lengths, carried), ", ".join(f"{c} {kinds[c]}" for c in carried) + ", x long, y long, s int, size int")
+    place = F.struct(F.col("first.key").alias("key"), (F.col("first.base") + F.col("s")).alias("at"), "ck") if keep_first else F.lit(0)
     often = strings.groupBy("h", "x", "y", "size").agg(F.sum("copies").alias("n"), F.min(place).alias("lead")).where("n > 1").drop("n")
-    mine = F.col("lead.ck") == F.col("ck")
     found = strings.join(often, ["h", "x", "y", "size"])
-    mine = mine & (F.col("lead.at") == F.col("first.base") + F.col("s"))
-    return found.select("h", "ck", "s", (F.col("s") + F.col("size")).cast("int").alias("e"), F.xxhash64("x", "y", "size").alias("g"), mine.alias("but_one"), (~mine | (F.col("copies") > 1)).alias("late"), "size")
+    mine = (F.col("lead.ck") == F.col("ck")) & (F.col("lead.at") == F.col("first.base") + F.col("s")) if keep_first else F.lit(False)
+    found = found.withColumn("but_one", mine).where(~F.col("but_one") | (F.col("copies") > 1))
+    return found.select("h", "ck", "s", (F.col("s") + F.col("size")).cast("int").alias("e"), F.xxhash64("x", "y", "size").alias("g"), "but_one", "size")
 
 
 class Repeats:
@@ -317,9 +319,8 @@ class Repeats:
 
     def _counted_spans(self, keep_first: bool) -> DataFrame:
         """Of the contexts of hot anchors: runs of overlapping strings of one length as one span."""
-        strings = _counted_strings(self.hot, self.lengths).where("late" if keep_first else "true")
-        but_one = F.col("but_one") if keep_first else F.lit(False)
-        per = strings.groupBy("h", "ck", "size", but_one.alias("but_one")).agg(F.array_sort(F.collect_list("s")).alias("all"))  # at most a context's strings
+        strings = _counted_strings(self.hot, self.lengths, keep_first)
+        per = strings.groupBy("h", "ck", "size", "but_one").agg(F.array_sort(F.collect_list("s")).alias("all"))  # at most a context's strings
 
         def grow(runs, s):
             last, new = F.element_at(runs, -1), F.struct(s.alias("s"), (s + F.col("size")).alias("e"))

@@ -19,8 +19,10 @@ import numpy as np
 from . import textcore as tc
 
 END_ID = 0
-#: The most pieces that a worker remembers (about 60 bytes each); then it starts anew.
+#: The most pieces that a worker remembers (about 50 bytes each); then it starts anew.
 KNOWN_PIECES = 2_000_000
+#: Pieces that are encoded in one call.
+LEARN_PIECES = 20_000
 
 _VISIBLE = tc.lut(range(0x21, 0x7F))
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
@@ -38,34 +40,33 @@ class PieceEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)  # sorted
-        self.rows = np.zeros(0, np.int64)  # place of each hash in the arrays below
-        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
-        self.body, self.body_begin, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        whole, ints = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.hashes, self.rows = whole, ints  # sorted hashes, and the row of each in the arrays below
+        self.ids, self.begin, self.count = np.zeros(0, np.uint32), ints, ints
+        self.body, self.body_begin, self.size = np.zeros(0, np.uint8), ints, ints
 
     def _learn(self, hashes: np.ndarray, raw: list[bytes]) -> None:
         """hashes are sorted and new."""
-        pieces = [p.decode() for p in raw]
-        size = np.fromiter(map(len, raw), np.int64, len(raw))
-        self.body_begin = np.concatenate([self.body_begin, len(self.body) + np.cumsum(size) - size])
-        self.size, self.body = np.concatenate([self.size, size]), np.concatenate([self.body, np.frombuffer(b"".join(raw), np.uint8)])
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        found = [e.ids for e in encode(pieces, add_special_tokens=False)]
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        begin = len(self.ids) + np.cumsum(count) - count
-        rows = len(self.count) + np.arange(len(found))
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum()))])
-        self.begin, self.count = np.concatenate([self.begin, begin]), np.concatenate([self.count, count])
+        rows = len(self.count) + np.arange(len(raw), dtype=np.int32)
         spot = np.searchsorted(self.hashes, hashes)
         self.hashes, self.rows = np.insert(self.hashes, spot, hashes), np.insert(self.rows, spot, rows)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.body_begin = np.concatenate([self.body_begin, (len(self.body) + np.cumsum(size) - size).astype(np.int32)])
+        self.size, self.body = np.concatenate([self.size, size.astype(np.int32)]), np.concatenate([self.body, np.frombuffer(b"".join(raw), np.uint8)])
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        for a in range(0, len(raw), LEARN_PIECES):
+            found = [e.ids for e in encode([p.decode() for p in raw[a : a + LEARN_PIECES]], add_special_tokens=False)]
+            count = np.fromiter(map(len, found), np.int64, len(found))
+            self.begin = np.concatenate([self.begin, (len(self.ids) + np.cumsum(count) - count).astype(np.int32)])
+            self.count = np.concatenate([self.count, count.astype(np.int32)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum()))])
 
     def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> bool:
         """Are the pieces those of the rows, byte for byte; pieces follow each other without a gap."""
         size = ends - starts
         if not np.array_equal(self.size[row], size):
             return False
-        return np.array_equal(self.body[np.arange(len(data)) + np.repeat(self.body_begin[row] - starts, size)], data)
+        return np.array_equal(self.body[np.arange(len(data)) + np.repeat(self.body_begin[row].astype(np.int64) - starts, size)], data)
 
     def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
@@ -104,9 +105,9 @@ class PieceEncoder:
                 self._learn(unique[new], [raw[a:b] for a, b in zip(starts[first_at[new]].tolist(), ends[first_at[new]].tolist(), strict=True)])
             row = self.rows[np.searchsorted(self.hashes, unique)][which]
         else:
-            row = np.zeros(0, np.int64)
+            row = np.zeros(0, np.int32)
         if self._same(data, starts, ends, row):
-            count = self.count[row]
+            count = self.count[row].astype(np.int64)
             total = np.concatenate([[0], np.cumsum(count)])
             ids = self.ids[np.arange(total[-1]) + np.repeat(self.begin[row] - total[:-1], count)]
             first = total[np.searchsorted(starts, offsets)]
