@@ -39,7 +39,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.columns
-            for a, _, data, offsets in tc.slices(texts):
+            for a, _, data, offsets in tc.slices(texts, tokens.TEXT_BYTES):
                 ids, first = tokens.encoder(path).encode(data, offsets)
                 size = np.diff(first)
                 n = -(-size // capacity)

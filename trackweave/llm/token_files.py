@@ -68,7 +68,7 @@ def _tokenised(path: str):
         part, nth = TaskContext.get().partitionId(), 0
         for batch in batches:
             keys, texts = batch.columns
-            for a, b, data, offsets in tc.slices(texts):
+            for a, b, data, offsets in tc.slices(texts, tokens.TEXT_BYTES):
                 ids, first = tokens.encoder(path).encode(data, offsets)
                 narrow = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids.astype("<u4")
                 raw, at = narrow.tobytes(), (first * narrow.itemsize).tolist()

@@ -23,11 +23,67 @@ END_ID = 0
 KNOWN_PIECES = 2_000_000
 #: Pieces that are encoded in one call.
 LEARN_PIECES = 20_000
+#: Bytes of text that are encoded at once.
+TEXT_BYTES = 1 << 20
 
 _VISIBLE = tc.lut(range(0x21, 0x7F))
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
+class Grown:
+    """An array that grows at its end; room is doubled, so appending costs no copy of the whole."""
+
+    def __init__(self, kind):
+        self.room, self.n = np.zeros(1024, kind), 0
+
+    def append(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.room):
+            room = np.zeros(max(2 * len(self.room), self.n + len(values)), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.room[at]
+
+
+class PieceIndex:
+    """Rows of hashes: a large sorted array and a small one of the last additions, merged now and then."""
+
+    def __init__(self):
+        self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int32)) for _ in range(2)]
+
+    def __len__(self) -> int:
+        return sum(len(h) for h, _ in self.parts)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each hash, -1 if there is none."""
+        out = np.full(len(hashes), -1, np.int32)
+        for known, rows in self.parts:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[at] == hashes
+                out[hit] = rows[at[hit]]
+        return out
+
+    def add(self, hashes: np.ndarray, rows: np.ndarray) -> None:
+        (large, large_rows), (small, small_rows) = self.parts
+        small, small_rows = self._merged(small, small_rows, hashes, rows)
+        if len(small) > max(1 << 16, len(large) // 4):
+            large, large_rows = self._merged(large, large_rows, small, small_rows)
+            small, small_rows = small[:0], small_rows[:0]
+        self.parts = [(large, large_rows), (small, small_rows)]
+
+    @staticmethod
+    def _merged(a: np.ndarray, a_rows: np.ndarray, b: np.ndarray, b_rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        spot = np.searchsorted(a, b)
+        return np.insert(a, spot, b), np.insert(a_rows, spot, b_rows)
+
+
 class PieceEncoder:
     def __init__(self, path: str, special_as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -40,26 +96,24 @@ class PieceEncoder:
         self.forget()
 
     def forget(self) -> None:
-        whole, ints = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.hashes, self.rows = whole, ints  # sorted hashes, and the row of each in the arrays below
-        self.ids, self.begin, self.count = np.zeros(0, np.uint32), ints, ints
-        self.body, self.body_begin, self.size = np.zeros(0, np.uint8), ints, ints
+        self.index = PieceIndex()
+        self.ids, self.begin, self.count = Grown(np.uint32), Grown(np.int32), Grown(np.int32)
+        self.body, self.body_begin, self.size = Grown(np.uint8), Grown(np.int32), Grown(np.int32)
 
     def _learn(self, hashes: np.ndarray, raw: list[bytes]) -> None:
         """hashes are sorted and new."""
-        rows = len(self.count) + np.arange(len(raw), dtype=np.int32)
-        spot = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.rows = np.insert(self.hashes, spot, hashes), np.insert(self.rows, spot, rows)
+        self.index.add(hashes, len(self.count) + np.arange(len(raw), dtype=np.int32))
         size = np.fromiter(map(len, raw), np.int64, len(raw))
-        self.body_begin = np.concatenate([self.body_begin, (len(self.body) + np.cumsum(size) - size).astype(np.int32)])
-        self.size, self.body = np.concatenate([self.size, size.astype(np.int32)]), np.concatenate([self.body, np.frombuffer(b"".join(raw), np.uint8)])
+        self.body_begin.append(len(self.body) + np.cumsum(size) - size)
+        self.size.append(size)
+        self.body.append(np.frombuffer(b"".join(raw), np.uint8))
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         for a in range(0, len(raw), LEARN_PIECES):
             found = [e.ids for e in encode([p.decode() for p in raw[a : a + LEARN_PIECES]], add_special_tokens=False)]
             count = np.fromiter(map(len, found), np.int64, len(found))
-            self.begin = np.concatenate([self.begin, (len(self.ids) + np.cumsum(count) - count).astype(np.int32)])
-            self.count = np.concatenate([self.count, count.astype(np.int32)])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum()))])
+            self.begin.append(len(self.ids) + np.cumsum(count) - count)
+            self.count.append(count)
+            self.ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum())))
 
     def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> bool:
         """Are the pieces those of the rows, byte for byte; pieces follow each other without a gap."""
@@ -95,17 +149,15 @@ class PieceEncoder:
         starts, ends = at[:-1], at[1:]
         h = tc.span_hashes(data, starts, ends)
         unique, first_at, which = np.unique(h, return_index=True, return_inverse=True)
-        if len(unique):
-            spot = np.minimum(np.searchsorted(self.hashes, unique), max(len(self.hashes) - 1, 0))
-            new = self.hashes[spot] != unique if len(self.hashes) else np.ones(len(unique), bool)
-            if new.any():
-                if len(self.hashes) + new.sum() > KNOWN_PIECES:
-                    self.forget()
-                    new[:] = True
-                self._learn(unique[new], [raw[a:b] for a, b in zip(starts[first_at[new]].tolist(), ends[first_at[new]].tolist(), strict=True)])
-            row = self.rows[np.searchsorted(self.hashes, unique)][which]
-        else:
-            row = np.zeros(0, np.int32)
+        rows = self.index.find(unique)
+        new = rows < 0
+        if new.any():
+            if len(self.index) + new.sum() > KNOWN_PIECES:
+                self.forget()
+                new[:] = True
+            self._learn(unique[new], [raw[a:b] for a, b in zip(starts[first_at[new]].tolist(), ends[first_at[new]].tolist(), strict=True)])
+            rows = self.index.find(unique)
+        row = rows[which]
         if self._same(data, starts, ends, row):
             count = self.count[row].astype(np.int64)
             total = np.concatenate([[0], np.cumsum(count)])
