@@ -34,10 +34,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one of our own only where the session names none."""
+    """The folder that driver and executors share. A local one of our own stands in only where the session names none and
+    the executors are threads of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = getattr(sc, "_trackweave_folder", None)
         if found is None:
             found = sc._trackweave_folder = "file://" + tempfile.mkdtemp(prefix="trackweave-shared-")
@@ -89,13 +92,16 @@ class Workspace:
         self.spark.sparkContext._jvm.System.gc()
 
 
-#: A table goes to every executor only if it has at most this many rows; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: A table goes to every executor only if it has at most this many rows, and its files (compressed) by Spark's statistics
+#: at most this many bytes; larger ones are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if its counted `rows` are within the bound, else unchanged for a shuffled join."""
-    return F.broadcast(df) if rows <= limit else df.hint("merge")
+    """`df`, read from a written table, with a broadcast hint if its counted `rows` and its size are within the bounds,
+    else for a shuffled join. What is computed from a written table counts as that table."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return F.broadcast(df) if rows <= limit and size <= BROADCAST_BYTES else df.hint("merge")
 
 
 def named(column: str) -> Column:
@@ -119,9 +125,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, max
     sample does not depend on the layout of the tables or on how many copies a text has.
     """
     counts = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
-    rows = docs.select(named(key).alias("key"), F.coalesce(named(text), F.lit("")).alias("text")).join(labels, "key")
-    every = rows.groupBy("label", F.xxhash64("text").alias("hash")).agg(F.max(F.octet_length("text")).alias("size"))
-    every = every.where(F.col("size") <= max_bytes // 8)
+    work = Workspace(docs.sparkSession, "sample")
+    known = F.coalesce(named(text), F.lit(""))
+    # hashes and sizes meet the labels, never the texts
+    rows = docs.select(named(key).alias("key"), F.xxhash64(known).alias("hash"), F.octet_length(known).alias("size")).join(labels, "key")
+    every = work.write(rows.groupBy("label", "hash").agg(F.max("size").alias("size")).where(F.col("size") <= max_bytes // 8), "hashes")
     picked: list[tuple[int, int]] = []
     for value in sorted(counts):
         total = 0
@@ -130,6 +138,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, max
             if total > max_bytes:
                 break
             picked.append((value, r["hash"]))
+    work.drop()
     chosen = F.broadcast(docs.sparkSession.createDataFrame(picked, "label int, hash long"))  # at most max_rows of each label
-    texts = rows.withColumn("hash", F.xxhash64("text")).join(chosen, ["label", "hash"]).groupBy("label", "hash").agg(F.min("text").alias("text"))
+    texts = docs.select(F.xxhash64(known).alias("hash"), known.alias("text")).join(chosen, "hash").groupBy("label", "hash").agg(F.min("text").alias("text"))
     return [(r["label"], r["text"]) for r in sorted(texts.collect(), key=lambda r: (r["label"], r["hash"]))], counts

@@ -1,12 +1,13 @@
 """Whole texts to token ids with a public tokenizer file, fast because equal pieces are encoded once.
 
-The byte-level pre-tokenizer splits texts with a pattern in which a single space followed by a visible ASCII character
-always begins a new pre-token, whatever stands before it. So a text can be cut there, each distinct piece encoded by
-the tokenizers library once, and the ids put together again: the result is that of encoding the whole text. The strings
-of added tokens in a text get the ids of the file, as in the library; there is no cut in, just before or next after one,
-as they end the text that the pattern sees. With special_as_text those of special tokens are ordinary text. Pieces
-are found by a 64-bit hash of their bytes and then compared byte for byte with the piece that was encoded; should two
-pieces ever share a hash, the documents of the slice are encoded whole.
+The byte-level pre-tokenizer splits texts with a pattern whose parts never hold certain places: before a single space
+followed by a visible ASCII character, between an ASCII letter or digit and ASCII punctuation other than the apostrophe,
+and on both sides of a single line feed between visible ASCII characters. So a text can be cut there, each distinct
+piece encoded by the tokenizers library once, and the ids put together again: the result is that of encoding the whole
+text. The strings of added tokens in a text get the ids of the file, as in the library; there is no cut in, just before
+or next after one, as they end the text that the pattern sees. With special_as_text those of special tokens are ordinary
+text. Pieces are found by a 64-bit hash and then compared with the piece that was encoded (hashes of up to 8 bytes of
+one size are equal only if the bytes are); should two pieces ever share a hash, the slice is encoded whole.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ KNOWN_PIECES = 2_000_000
 #: Pieces that are encoded in one call.
 LEARN_PIECES = 20_000
 #: Bytes of text that are encoded at once.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 21
 
 _VISIBLE = tc.lut(range(0x21, 0x7F))
+_WORD = tc.lut(range(0x30, 0x3A), range(0x41, 0x5B), range(0x61, 0x7B))
+_POINT = _VISIBLE & ~_WORD
+_POINT[0x27] = False
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
@@ -52,10 +56,26 @@ class Grown:
 
 
 class PieceIndex:
-    """Rows of hashes: a large sorted array and a small one of the last additions, merged now and then."""
+    """Rows of hashes: a large sorted array and a small one of the last additions, merged now and then; in front of them
+    a table with one place for all hashes of equal low bits, which answers most questions at once."""
+
+    BITS = 20
 
     def __init__(self):
         self.parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int32)) for _ in range(2)]
+        self.front, self.front_rows = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, -1, np.int32)
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
+
+    def recall(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each hash that the front table knows, else -1."""
+        slot = self._slot(hashes)
+        return np.where(self.front[slot] == hashes, self.front_rows[slot], np.int32(-1))
+
+    def keep(self, hashes: np.ndarray, rows: np.ndarray) -> None:
+        slot = self._slot(hashes)
+        self.front[slot], self.front_rows[slot] = hashes, rows
 
     def __len__(self) -> int:
         return sum(len(h) for h, _ in self.parts)
@@ -116,11 +136,16 @@ class PieceEncoder:
             self.ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum())))
 
     def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> bool:
-        """Are the pieces those of the rows, byte for byte; pieces follow each other without a gap."""
+        """Are the pieces those of the rows."""
         size = ends - starts
         if not np.array_equal(self.size[row], size):
             return False
-        return np.array_equal(self.body[np.arange(len(data)) + np.repeat(self.body_begin[row].astype(np.int64) - starts, size)], data)
+        long = np.flatnonzero(size > 8)
+        s, n, k = starts[long], size[long], self.body_begin[row[long]].astype(np.int64)
+        have, stored = tc.chunks(data), tc.chunks(self.body.room[: len(self.body)])
+        if not (np.array_equal(have[s], stored[k]) and np.array_equal(have[s + n - 8], stored[k + n - 8])):
+            return False
+        return all(data[a : a + m].tobytes() == self.body.room[b : b + m].tobytes() for a, m, b in zip(*(v[n > 16].tolist() for v in (s, n, k)), strict=True))
 
     def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
@@ -142,22 +167,31 @@ class PieceEncoder:
         n = len(data)
         cut = np.zeros(n + 1, bool)
         cut[: max(n - 1, 0)] = (data[:-1] == 32) & _VISIBLE[data[1:]]
+        if n > 1:
+            cut[1:n] |= _WORD[data[:-1]] & _POINT[data[1:]]
+            line = 1 + np.flatnonzero((data[1:-1] == 10) & _VISIBLE[data[:-2]] & _VISIBLE[data[2:]])
+            cut[line] = cut[line + 1] = True
         raw = data.tobytes()
         self._keep_added(raw, cut)
         cut[offsets] = True
         at = np.flatnonzero(cut)
         starts, ends = at[:-1], at[1:]
         h = tc.span_hashes(data, starts, ends)
-        unique, first_at, which = np.unique(h, return_index=True, return_inverse=True)
-        rows = self.index.find(unique)
-        new = rows < 0
-        if new.any():
-            if len(self.index) + new.sum() > KNOWN_PIECES:
-                self.forget()
-                new[:] = True
-            self._learn(unique[new], [raw[a:b] for a, b in zip(starts[first_at[new]].tolist(), ends[first_at[new]].tolist(), strict=True)])
+        row = self.index.recall(h)
+        missed = np.flatnonzero(row < 0)
+        if len(missed):
+            unique, first_at, which = np.unique(h[missed], return_index=True, return_inverse=True)
             rows = self.index.find(unique)
-        row = rows[which]
+            new = rows < 0
+            if len(self.index) and len(self.index) + new.sum() > KNOWN_PIECES:
+                self.forget()
+                return self.encode(data, offsets, end_id)
+            if new.any():
+                at = missed[first_at[new]]
+                self._learn(unique[new], [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+                rows = self.index.find(unique)
+            self.index.keep(unique, rows)
+            row[missed] = rows[which]
         if self._same(data, starts, ends, row):
             count = self.count[row].astype(np.int64)
             total = np.concatenate([[0], np.cumsum(count)])
