@@ -100,7 +100,7 @@ BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, read from a written table, with a broadcast hint if its counted `rows` and its size are within the bounds,
     else for a shuffled join. What is computed from a written table counts as that table."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if rows <= limit and size <= BROADCAST_BYTES else df.hint("merge")
 
 
