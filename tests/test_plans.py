@@ -94,15 +94,22 @@ def test_misread_target(spark):
     assert [r[0] for r in rows.select(scoreboard.misread_target(F.col("read"), F.col("old"))).collect()] == [51, 51, 52, None, 52]
 
 
-def test_jump_gate_compares_with_kept_rows(spark):
-    rows = spark.createDataFrame([("v", 1, k, k, float(x), 0.0) for k, x in enumerate([0, 50, 500, 550, 90])], "video string, ball_segment int, frame long, row_id long, x_center double, y_center double")
-    assert sorted(r.row_id for r in tracking.jump_gate(rows, 100.0).collect()) == [0, 1, 4]
+def test_jump_gate_compares_with_kept_rows():
+    import numpy as np
 
+    from trackweave.plans import refiner
 
-def test_suppression_is_greedy(spark):
-    boxes = [(0, 0.9, 0.0), (1, 0.8, 10.0), (2, 0.7, 20.0)]  # 1 goes for 0, 2 is near 1 only
-    rows = spark.createDataFrame([("v", 0, "ball", i, c, x, 0.0, x + 8, 8.0) for i, c, x in boxes], "video string, frame long, class string, row_id long, confidence double, x1 double, y1 double, x2 double, y2 double")
-    assert sorted(r.row_id for r in tracking.suppress_duplicates(rows, 0.9, 15.0).collect()) == [0, 2]
+    keep = refiner.jump_gate(np.arange(5), np.array([0.0, 50, 500, 550, 90]), np.zeros(5), 100.0, 6)
+    assert keep.tolist() == [True, True, False, False, True]
+
+
+def test_balls_of_a_frame_are_merged(spark):
+    from trackweave.plans import candidates
+
+    boxes = [(0, 0.9, 0.0, ["a"]), (1, 0.8, 8.0, ["b"]), (2, 0.7, 300.0, ["a"])]
+    rows = spark.createDataFrame([("v", 0, i, "ball", c, x + 8, 8.0, x, 0.0, x + 16, 16.0, 1, 0.0, m) for i, c, x, m in boxes], "video string, frame long, row_id long, class string, confidence double, x_center double, y_center double, x1 double, y1 double, x2 double, y2 double, agreement int, bonus double, sources array<string>")
+    got = candidates.ball_candidates(rows, candidates.Picture(1280, 720)).orderBy("row_id").collect()
+    assert [(r.row_id, r.confidence, r.agreement, r.sources) for r in got] == [(0, 0.94, 2, ["a", "b"]), (2, 0.7, 1, ["a"])]
 
 
 def test_greedy_suppress_keeps_at_the_cooldown(spark):

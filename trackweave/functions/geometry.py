@@ -27,6 +27,16 @@ def area(box: Box) -> Column:
     return F.greatest(r - l, F.lit(0.0)) * F.greatest(b - t, F.lit(0.0))
 
 
+def any_box() -> Box:
+    """The box of a row that has it as an array `bbox`, as x1..y2, or as left, top, width and height."""
+    whole = F.size("bbox") >= 4
+    corner = lambda i: F.when(whole, F.get("bbox", F.lit(i)))
+    return (
+        F.coalesce(corner(0), F.col("x1"), F.col("left")), F.coalesce(corner(1), F.col("y1"), F.col("top")),
+        F.coalesce(corner(2), F.col("x2"), F.col("left") + F.col("width")), F.coalesce(corner(3), F.col("y2"), F.col("top") + F.col("height")),
+    )
+
+
 def overlap(a: Box, b: Box) -> Column:
     """Area that two boxes share."""
     w = F.least(a[2], b[2]) - F.greatest(a[0], b[0])

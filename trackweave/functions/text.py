@@ -121,8 +121,14 @@ def alias_key(name: Column) -> Column:
 
 
 def clean_text(value: Column) -> Column:
+    """Trimmed text; '' for null, nan and none."""
     t = F.trim(_text(value))
-    return F.when(F.lower(t).isin("nan", "none", "null"), "").otherwise(t)
+    return F.when(F.lower(t).isin("nan", "none"), "").otherwise(t)
+
+
+def team_order(team: Column) -> tuple[Column, Column]:
+    """Sort keys of team ids: by number, those that are none last."""
+    return F.coalesce(team.try_cast("double").try_cast("int"), F.lit(999999)), team
 
 
 def clean_team_id(value: Column) -> Column:

@@ -19,8 +19,9 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str,
     back = direction == "backward"
     value = F.struct(F.col(right_time).alias("t"), *(F.col(c).alias(n) for c, n in take.items()))
     side = F.lit(1 if back else 0)  # a right row at the same time comes first in reading direction
-    l = left.select(F.struct(*left.columns).alias("row"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(on)), F.col(left_time).alias("at"), side.alias("side"), F.lit(None).cast("string").alias("order"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("found"))
-    order = F.lit(None).cast("string") if tie is None else F.lpad(F.col(tie).cast("string"), 20, "0")
+    kind = "string" if tie is None else right.schema[tie].dataType
+    l = left.select(F.struct(*left.columns).alias("row"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(on)), F.col(left_time).alias("at"), side.alias("side"), F.lit(None).cast(kind).alias("order"), F.lit(None).cast(right.select(value.alias("v")).schema["v"].dataType).alias("found"))
+    order = F.lit(None).cast("string") if tie is None else F.col(tie)
     r = right.where(F.col(right_time).isNotNull()).select(F.lit(None).cast(l.schema["row"].dataType).alias("row"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(on)), F.col(right_time).alias("at"), (1 - side).alias("side"), order.alias("order"), value.alias("found"))
     both = l.union(r)
     keys = [f"k{i}" for i in range(len(on))]

@@ -39,12 +39,20 @@ def last_rows(keys: list[str], order: list[str], n: int, value: Column) -> Colum
     return F.collect_list(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(n - 1), 0))
 
 
-def sliding_windows(df: DataFrame, keys: list[str], order: list[str], size: int, stride: int, value: Column) -> DataFrame:
-    """Per key the full windows of `size` rows, `stride` apart: keys, window_start (from 0) and items."""
+def sliding_windows(df: DataFrame, keys: list[str], order: list, size: int, stride: int, value: Column) -> DataFrame:
+    """Per key the full windows of `size` rows, `stride` apart: keys, window_start (from 0) and items. Where the size is
+    a multiple of the stride, rows are gathered in blocks of `stride` first, so an item is copied size / stride times."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.select(*df.columns, F.row_number().over(w).alias("_n"), last_rows(keys, order, size, value).alias("items"))
-    full = rows.where((F.col("_n") >= size) & ((F.col("_n") - size) % stride == 0))
-    return full.select(*keys, (F.col("_n") - size).alias("window_start"), "items")
+    if size % stride:
+        rows = df.select(*keys, F.row_number().over(w).alias("_n"), last_rows(keys, order, size, value).alias("items"))
+        full = rows.where((F.col("_n") >= size) & ((F.col("_n") - size) % stride == 0))
+        return full.select(*keys, (F.col("_n") - size).alias("window_start"), "items")
+    rows = df.select(*keys, (F.row_number().over(w) - 1).alias("_n"), value.alias("_v"))
+    blocks = rows.groupBy(*keys, F.floor(F.col("_n") / stride).alias("_b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_v"))), lambda x: x["_v"]).alias("_items"))
+    many = size // stride
+    last = Window.partitionBy(*keys).orderBy("_b").rowsBetween(-(many - 1), 0)
+    found = blocks.where(F.size("_items") == stride).withColumn("items", F.flatten(F.collect_list("_items").over(last)))
+    return found.where(F.col("_b") >= many - 1).select(*keys, ((F.col("_b") - (many - 1)) * stride).cast("int").alias("window_start"), "items")
 
 
 def fill_linear(df: DataFrame, keys: list[str], frame: str, values: list[str], max_gap: int) -> DataFrame:
@@ -88,8 +96,9 @@ def snapshots(events: DataFrame, keys: DataFrame, key: str, time: str, step: flo
     Events are first counted per (key, tick), so the running sum sees at most one row for each."""
     tick = F.ceil(F.col(time) / step).cast("long")
     per = events.groupBy(F.col(key), F.greatest(tick, F.lit(1)).alias("tick")).agg(*(F.count_if(c).alias(n) for n, c in kinds.items()))
-    ticks = events.agg(F.greatest(F.max(tick), F.lit(1)).alias("last")).where("last IS NOT NULL").select(F.explode(F.sequence(F.lit(1).cast("long"), "last")).alias("tick"))
-    grid = keys.select(key).distinct().withColumn("_one", F.lit(1)).join(ticks.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    last = events.agg(F.max(tick)).first()[0]  # one number
+    ticks = F.array().cast("array<bigint>") if last is None else F.sequence(F.lit(1).cast("long"), F.lit(max(last, 1)).cast("long"))
+    grid = keys.select(key).distinct().withColumn("tick", F.explode(ticks))
     w = Window.partitionBy(key).orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
     filled = grid.join(per, [key, "tick"], "left")
     return filled.select(key, (F.col("tick") * step).alias("until"), *(F.sum(F.coalesce(n, F.lit(0))).over(w).alias(n) for n in kinds))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, text
 from ..operators import sequences
-from ..sources.tables import require_columns
+from ..sources.tables import numbered, require_columns
 
 REQUIRED = ["gameid", "period", "clock", "h_pts", "a_pts", "team", "type", "desc"]
 NUMERIC = ["elapsed_game_sec", "period", "clock_sec_remaining", "current_home_points", "current_away_points", "team_side"]
@@ -41,8 +41,8 @@ def scored(pbp: DataFrame) -> DataFrame:
     gained = {s: F.col(f"current_{s}_points") > F.lag(f"current_{s}_points", 1, 0.0).over(w) for s in ("home", "away")}
     df = df.withColumns({f"_{s}": F.when(g & F.col("team").isNotNull(), F.col("team")) for s, g in gained.items()})
     # the team that scores most often for a side is that side; of equals the smallest code
-    sides = df.groupBy("gameid").agg(*(F.mode(f"_{s}", deterministic=True).alias(f"{s}_team") for s in ("home", "away")))
-    df = df.join(sides.where("home_team IS NOT NULL AND away_team IS NOT NULL"), "gameid")
+    game = Window.partitionBy("gameid")
+    df = df.withColumns({f"{s}_team": F.mode(f"_{s}", deterministic=True).over(game) for s in ("home", "away")}).where("home_team IS NOT NULL AND away_team IS NOT NULL")
     side = F.when(F.col("team") == F.col("home_team"), 1.0).when(F.col("team") == F.col("away_team"), 0.0).otherwise(0.5)
     df = df.withColumns({"team_side": side, "elapsed_game_sec": scalars.elapsed_seconds(F.col("period"), F.col("clock_sec_remaining")), **{f"remaining_{s}_points": F.last(f"current_{s}_points").over(whole) - F.col(f"current_{s}_points") for s in ("home", "away")}})
     name = text.event_name(F.col("type"), F.col("desc"))
@@ -82,29 +82,23 @@ def drop_games(df: DataFrame, bad: Column) -> DataFrame:
 
 
 def split_games(games: DataFrame, game: str, train: float = 0.8, val: float = 0.1) -> DataFrame:
-    """(game, part): train, val and test by the numeric order of distinct ids. The order is a range partitioning with
-    counts of the partitions, so no task holds all games."""
+    """(game, part): train, val and test by the numeric order of distinct ids, numbered without one task for all."""
     if not (train > 0 and val > 0 and train + val < 1):
         raise ValueError("shares must be positive and leave some for the test part")
-    order = F.col(game).cast("long")
-    ids = games.select(game).distinct().repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    counts = ids.groupBy("_part").count()
-    before = counts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("count").over(Window.partitionBy()).alias("_n"))
-    ranked = ids.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(order))).join(before, "_part")
-    i, n = F.col("_before") + F.col("_nth") - 1, F.col("_n")
+    ids = numbered(games.select(game).distinct().withColumn("_order", F.col(game).cast("long")), ["_order", game], "_rank")
+    total = ids.agg(F.max("_rank")).first()[0] or 0  # one number
+    i, n = F.col("_rank") - 1, F.lit(total)
     first, second = F.floor(n * F.lit(train)), F.floor(n * F.lit(val))
-    return ranked.select(game, F.when(i < first, "train").when(i < first + second, "val").otherwise("test").alias("part"))
+    return ids.select(game, F.when(i < first, "train").when(i < first + second, "val").otherwise("test").alias("part"))
 
 
 def windows(df: DataFrame, size: int = 20, stride: int = 5) -> DataFrame:
     """(gameid, window_start, event_type_id, num_features, target, seq_len) of every full window of a game; the target
     is that of the last event. Games with fewer events have none."""
     item = F.struct("event_type_id", F.array(*(F.col(c).cast("float") for c in NUMERIC)).alias("f"), F.array(*(F.col(c).cast("float") for c in TARGETS)).alias("y"))
-    w = in_game_order()
-    rows = df.select("gameid", F.row_number().over(w).alias("n"), F.collect_list(item).over(w.rowsBetween(-(size - 1), 0)).alias("items"))
-    full = rows.where((F.col("n") >= size) & ((F.col("n") - size) % stride == 0))
+    full = sequences.sliding_windows(df, ["gameid"], ["period", F.desc("clock_sec_remaining"), "row_id"], size, stride, item)
     return full.select(
-        "gameid", (F.col("n") - size).cast("int").alias("window_start"), F.transform("items", lambda x: x["event_type_id"].cast("int")).alias("event_type_id"),
+        "gameid", F.col("window_start").cast("int").alias("window_start"), F.transform("items", lambda x: x["event_type_id"].cast("int")).alias("event_type_id"),
         F.transform("items", lambda x: x["f"]).alias("num_features"), F.element_at("items", -1)["y"].alias("target"), F.lit(size).alias("seq_len"),
     )
 

@@ -90,21 +90,18 @@ def majority_start(reads: DataFrame, seconds: float = 5.0) -> DataFrame:
 
 
 def score_changes(timeline_: DataFrame) -> DataFrame:
-    """(video, time_sec, side, points) of each change against the last row that was accepted: rows that fall or jump by
-    more than three are passed over."""
+    """(video, time_sec, team1_score, team2_score) of each change of the score: rows that are no valid transition from
+    the last row accepted are passed over. The first row of a video is where it starts."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         last, out, pdf = None, [], pdf.sort_values("time_sec")
         for t, a, b in zip(pdf["time_sec"], pdf["team1_score"], pdf["team2_score"], strict=True):
-            if last is None:
+            rises = (0, 0) if last is None else (a - last[0], b - last[1])
+            if last is not None and min(rises) == 0 and 1 <= max(rises) <= 3:
+                out.append((pdf["video"].iloc[0], float(t), int(a), int(b)))
                 last = (a, b)
-                continue
-            d1, d2 = a - last[0], b - last[1]
-            if not (0 <= d1 <= 3 and 0 <= d2 <= 3):
-                continue
-            out += [(pdf["video"].iloc[0], float(t), k, int(d)) for k, d in ((1, d1), (2, d2)) if d > 0]
-            last = (a, b)
-        return pd.DataFrame(out, columns=["video", "time_sec", "side", "points"])
+            last = last or (a, b)
+        return pd.DataFrame(out, columns=["video", "time_sec", "team1_score", "team2_score"])
 
     kind = timeline_.schema["video"].dataType.simpleString()
-    return timeline_.select("video", "time_sec", "team1_score", "team2_score").groupBy("video").applyInPandas(run, f"video {kind}, time_sec double, side int, points int")
+    return timeline_.select("video", "time_sec", "team1_score", "team2_score").groupBy("video").applyInPandas(run, f"video {kind}, time_sec double, team1_score int, team2_score int")

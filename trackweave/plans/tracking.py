@@ -1,4 +1,4 @@
-"""Cleaning of tracked rows: candidates, duplicates, filtering, filling, reliability.
+"""Following the ball and the players: filter, association, velocities, segments, quality, teams.
 
 Set-based steps are windows and joins by (video, frame). Steps that carry a state from row to row of a video (filter,
 gates, association) run as one Python function per independent chunk: `chunked` cuts a video where nothing that far
@@ -29,58 +29,6 @@ def chunked(rows: DataFrame, gap: int, name: str = "chunk") -> DataFrame:
     return sequences.gap_islands(rows, ["video"], "frame", "row_id", gap, name)
 
 
-# candidates
-
-
-def ball_candidates(rows: DataFrame, width: int, height: int, k: int = 12) -> DataFrame:
-    """Balls of a plausible shape, the k best of each frame."""
-    w, h = F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))
-    scale = max(width, height) / 1280.0
-    fits = (F.least(w, h) > 3) & (F.greatest(w, h) <= 90 * scale) & (w * h <= 0.004 * width * height) & (w / F.nullif(h, F.lit(0.0))).between(0.45, 2.2)
-    return sequences.top_k(rows.where((F.col("class") == "ball") & fits), ["video", "frame"], [F.desc("confidence"), F.col("row_id")], k)
-
-
-def inside_frame(rows: DataFrame, width: int, height: int) -> DataFrame:
-    """Without balls whose centre is missing or outside of the picture; other classes pass."""
-    ball = F.lower("class") == "ball"
-    ok = F.coalesce(F.col("x_center").between(0, width) & F.col("y_center").between(0, height), F.lit(False))
-    return rows.where(~ball | ok)
-
-
-def on_court(rows: DataFrame, polygon: Column, margins: dict[str, float]) -> DataFrame:
-    """Rows whose anchor is in the polygon or within the margin of their class; adds inside_court."""
-    x, y = g.anchor(F.col("class"), box())
-    rows = rows.withColumns({"_ax": x, "_ay": y})
-    margin = F.create_map(*(F.lit(v) for kv in margins.items() for v in (kv[0], float(kv[1])))) if margins else None
-    wide = F.coalesce(F.try_element_at(margin, F.lower("class")), F.lit(0.0)) if margins else F.lit(0.0)
-    inside = g.in_polygon(F.col("_ax"), F.col("_ay"), polygon) | (g.polygon_distance(F.col("_ax"), F.col("_ay"), polygon) <= wide)
-    return rows.withColumn("inside_court", inside).where("inside_court").drop("_ax", "_ay")
-
-
-def suppress_duplicates(rows: DataFrame, most_iou: float, least_distance: float) -> DataFrame:
-    """Greedy, best first: a row goes if it overlaps a kept row of its frame and class too much or is too near to it.
-    A frame has few rows of a class (top_k bounds them), so its array is small."""
-    order = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("o"), F.col("row_id").alias("i"), *BOX, F.struct(*rows.columns).alias("row"))))
-    frames = rows.groupBy("video", "frame", "class").agg(order.alias("all"))
-    of = lambda s: tuple(s[c] for c in BOX)
-    centre = lambda b: ((b[0] + b[2]) / 2, (b[1] + b[3]) / 2)
-    near = lambda a, b: (g.iou(of(a), of(b)) >= most_iou) | (g.distance(*centre(of(a)), *centre(of(b))) <= least_distance)
-    kept = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.slice("all", 1, 1), lambda acc, x: F.when(F.exists(acc, lambda k: near(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    return frames.select(F.explode(kept).alias("k")).select("k.row.*")
-
-
-def false_balls(rows: DataFrame, rim_share: float = 0.6, core: float = 0.62) -> DataFrame:
-    """Rows without balls that lie in a hoop or in the middle of a player's body with little confidence."""
-    balls = rows.where(F.col("class") == "ball")
-    other = rows.where(F.col("class").isin("hoop", "player")).select("video", "frame", F.col("class").alias("_k"), *(F.col(c).alias(f"_{c}") for c in BOX))
-    x, y = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
-    w, h = F.col("_x2") - F.col("_x1"), F.col("_y2") - F.col("_y1")
-    within = lambda mx, my: x.between(F.col("_x1") + w * mx, F.col("_x2") - w * mx) & y.between(F.col("_y1") + h * my, F.col("_y2") - h * my)
-    bad = ((F.col("_k") == "hoop") & within((1 - rim_share) / 2, (1 - rim_share) / 2)) | ((F.col("_k") == "player") & within(0.25, 0.2) & (F.col("confidence") < core))
-    hit = balls.join(other, ["video", "frame"]).where(bad).select("row_id").distinct()
-    return rows.join(hit, "row_id", "left_anti")
-
-
 # stateful steps
 
 
@@ -198,22 +146,6 @@ def associate(candidates: DataFrame, width: int = 18, max_gap: int = 12, reach:
     return candidates.join(ids.select("row_id"), "row_id", "left_semi")
 
 
-def jump_gate(rows: DataFrame, most: float, per_frame: float = 0.0) -> DataFrame:
-    """Rows within `most` (plus per_frame for each frame between) of the last row kept; the first of a segment stays."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "row_id"])
-        kept, last = [], None
-        for i, f, x, y in zip(pdf["row_id"], pdf["frame"], pdf["x_center"], pdf["y_center"], strict=True):
-            if last is None or np.hypot(x - last[1], y - last[2]) <= most + per_frame * (f - last[0]):
-                kept.append(i)
-                last = (f, x, y)
-        return pd.DataFrame({"row_id": pd.Series(kept, dtype="int64")})
-
-    ids = rows.select("video", "ball_segment", "frame", "row_id", "x_center", "y_center").groupBy("video", "ball_segment").applyInPandas(run, "row_id long")
-    return rows.join(ids, "row_id", "left_semi")
-
-
 # windows
 
 
@@ -234,22 +166,6 @@ def gravity(rows: DataFrame, fallback: float = 0.8, least: float = 0.05, most: f
     return bends.groupBy("video").agg(g.clip(F.coalesce(F.median("bend"), F.lit(fallback)), least, most).alias("gravity"))
 
 
-def smooth(rows: DataFrame) -> DataFrame:
-    """Centred mean of three rows of a segment, two decimals."""
-    w = Window.partitionBy("video", "ball_segment").orderBy("frame").rowsBetween(-1, 1)
-    return rows.withColumns({c: F.bround(F.avg(c).over(w), 2) for c in ("x_center", "y_center")})
-
-
-def reliability(rows: DataFrame, warn: float = 120.0, bad: float = 180.0, near: int = 6) -> DataFrame:
-    """jump_distance to the row before in the segment if at most `near` frames back, is_reliable and why not."""
-    w = Window.partitionBy("video", "ball_segment").orderBy("frame")
-    gap = F.col("frame") - F.lag("frame").over(w)
-    jump = F.when(gap <= near, F.hypot(F.col("x_center") - F.lag("x_center").over(w), F.col("y_center") - F.lag("y_center").over(w)))
-    rows = rows.withColumns({"frame_gap_from_previous_ball": gap, "jump_distance": F.bround(jump, 2)})
-    reason = F.when(F.col("jump_distance") > bad, "removed_jump").when(F.col("jump_distance") > warn, "warning_large_jump").when(F.col("confidence") < 0.1, "warning_low_confidence").otherwise("ok")
-    return rows.withColumn("reliability_reason", reason).withColumn("is_reliable", F.col("reliability_reason") == "ok")
-
-
 def quality(rows: DataFrame, statuses: tuple[str, ...] = ("Detected", "Interpolated", "Predicted")) -> DataFrame:
     """One row a video: coverage, reliable share, largest jump, and how many rows have each status."""
     n = F.count("*")
@@ -278,16 +194,6 @@ def fill_path(rows: DataFrame, max_gap: int = 5) -> DataFrame:
     return filled.withColumn("ball_status", F.when(F.col("filled"), "Interpolated").otherwise("Detected")).drop("filled")
 
 
-def hoops(rows: DataFrame, max_gap: int = 18, most: float = 120.0) -> DataFrame:
-    """The best hoop of each frame, filled over gaps whose ends lie near each other."""
-    best = sequences.top_k(rows.where(F.col("class") == "hoop"), ["video", "frame"], [F.desc("confidence"), F.col("row_id")], 1)
-    w = Window.partitionBy("video").orderBy("frame")
-    best = best.withColumns({"x_center": (F.col("x1") + F.col("x2")) / 2, "y_center": (F.col("y1") + F.col("y2")) / 2})
-    far = F.hypot(F.col("x_center") - F.lag("x_center").over(w), F.col("y_center") - F.lag("y_center").over(w)) > most
-    parts = sequences.islands(best, ["video"], ["frame"], far | F.lag("frame").over(w).isNull(), "part")
-    return sequences.fill_linear(parts, ["video", "part"], "frame", [*BOX, "confidence"], max_gap)
-
-
 # teams and tracks
 
 

@@ -53,10 +53,3 @@ def default_boxes(spark, sf_dir):
     kind = F.element_at(F.array(*map(F.lit, ("ball", "player", "hoop", "cup"))), (n % 4 + 1).cast("int"))
     box = g.centred_box(kind, (n * 37 % 1000).cast("double"), (n * 91 % 1000).cast("double"))
     return load(spark, sf_dir, "part").select("p_partkey", kind.alias("class"), box[0].alias("x1"), box[3].alias("y2"), g.ball_size(box).alias("ball_size"))
-
-
-@query("SELECT 4200.0::DOUBLE AS area, 5 AS n_hull")
-def polygon_measures(spark, sf_dir):
-    """Area of the court and the corners of the hull of it with two more points, one of which is inside."""
-    more = g.polygon([*COURT, (50.0, 50.0), (50.0, 90.0)])
-    return load(spark, sf_dir, "region").limit(1).select(g.polygon_area(g.polygon(COURT)).alias("area"), F.size(g.hull(more)).alias("n_hull"))

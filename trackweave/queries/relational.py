@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import asof, ranges, sequences
+from ..operators import asof, quantiles, ranges, sequences
 from ..sources.tables import load
 from .registry import query
 
@@ -47,12 +47,13 @@ def count_mean_ordered(spark, sf_dir):
 def class_summary(spark, sf_dir):
     e = load(spark, sf_dir, "events")
     v = F.coalesce("value", F.lit(0.0))
-    total = e.agg(F.count_distinct("user_id").alias("users"))
+    users = e.agg(F.count_distinct("user_id")).first()[0]  # one number
     per = e.groupBy("event_type").agg(
         F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.round(F.avg(v), 4).alias("mean_value"),
-        F.round(F.median(v), 4).alias("median_value"), F.min("value").alias("least"), F.max("value").alias("most"), F.count_if(F.col("value") > 0).alias("n_positive"),
+        F.min("value").alias("least"), F.max("value").alias("most"), F.count_if(F.col("value") > 0).alias("n_positive"),
     )
-    return per.crossJoin(F.broadcast(total)).withColumn("coverage_pct", F.round(100.0 * F.col("n_users") / F.col("users"), 4)).drop("users")
+    per = per.join(quantiles.medians(e, ["event_type"], v, "median_value"), "event_type").withColumn("median_value", F.round("median_value", 4))
+    return per.withColumn("coverage_pct", F.round(100.0 * F.col("n_users") / F.lit(users), 4))
 
 
 @query("SELECT count(*) AS n_rows, round(100.0 * count(*) FILTER (WHERE value > 50) / count(*), 4) AS reliable_pct, max(value) AS max_value, count(*) FILTER (WHERE value > 120) AS n_over_120, count(*) FILTER (WHERE value > 180) AS n_over_180, count(*) FILTER (WHERE event_type = 'click') AS status_click, count(*) FILTER (WHERE event_type = 'view') AS status_view, count(*) FILTER (WHERE event_type = 'error') AS status_error FROM events")
@@ -85,7 +86,9 @@ def mode_per_group(spark, sf_dir):
 
 @query("SELECT user_id, arg_max(value, (ts, event_id)) AS last_value, round(median(value), 4) AS median_value FROM events GROUP BY user_id")
 def group_last_median(spark, sf_dir):
-    return load(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("last_value"), F.round(F.median("value"), 4).alias("median_value"))
+    e = load(spark, sf_dir, "events")
+    last = e.groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("last_value"))
+    return last.join(quantiles.medians(e, ["user_id"], F.col("value")), "user_id").select("user_id", "last_value", F.round("median", 4).alias("median_value"))
 
 
 @query("SELECT user_id, event_type AS winner, n AS votes FROM (SELECT user_id, event_type, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first_id) AS r FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_id FROM events WHERE ts < TIMESTAMP '2024-01-06' GROUP BY ALL)) WHERE r = 1")
@@ -98,7 +101,9 @@ def majority_vote(spark, sf_dir):
 @query("SELECT round(avg(abs(l_discount - l_tax)), 8) AS mae, round(median(abs(l_discount - l_tax)), 8) AS median_ae, round(avg(CASE WHEN abs(l_quantity - 25) < 1 THEN 0.5 * (l_quantity - 25) * (l_quantity - 25) ELSE abs(l_quantity - 25) - 0.5 END), 6) AS smooth_l1 FROM lineitem")
 def mae_smoothl1(spark, sf_dir):
     d = F.abs(F.col("l_discount") - F.col("l_tax"))
-    return load(spark, sf_dir, "lineitem").agg(F.round(F.avg(d), 8).alias("mae"), F.round(F.median(d), 8).alias("median_ae"), F.round(F.avg(scalars.smooth_l1(F.col("l_quantity") - 25)), 6).alias("smooth_l1"))
+    rows = load(spark, sf_dir, "lineitem")
+    middle = quantiles.medians(rows, [], d).first()[0]  # one number
+    return rows.agg(F.round(F.avg(d), 8).alias("mae"), F.round(F.lit(middle), 8).alias("median_ae"), F.round(F.avg(scalars.smooth_l1(F.col("l_quantity") - 25)), 6).alias("smooth_l1"))
 
 
 @query("SELECT user_id, list_aggregate(list(event_type || '=' || n ORDER BY event_type), 'string_agg', ',') AS counts FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
@@ -361,9 +366,10 @@ def replace_subset(spark, sf_dir):
     return e.where("event_type <> 'click'").unionByName(e.where("event_type = 'click'").withColumn("value", F.round(F.col("value") / 2, 4)))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey FROM supplier")
 def key_difference(spark, sf_dir):
-    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(load(spark, sf_dir, "orders").select("o_custkey"))
+    return load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(load(spark, sf_dir, "supplier").select("s_suppkey"))
+
 
 
 @query("SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import candidates as cand
-from ..plans import rims
+from ..plans import ball_path, pipeline, rims
 from ..sources.tables import load
 from .registry import query
 
@@ -135,3 +135,25 @@ SELECT video, frame + k AS frame, CASE WHEN k > 0 THEN floor((x_center + (nx - x
 def stable_hoops(spark, sf_dir):
     found = rims.stable_hoops(rows(spark, sf_dir), lambda r: cand.hoop_candidates(r, PICTURE), PICTURE, FPS)
     return found.select("video", "frame", "x_center", "hoop_status")
+
+
+def _candidates(spark, sf_dir) -> DataFrame:
+    return rows(spark, sf_dir).drop("ball_segment").withColumns({"agreement": F.lit(1), "bonus": F.lit(0.0), "sources": F.array(F.lit("a"))})
+
+
+@query()
+def tracking_pipeline(spark, sf_dir):
+    """Detections through all cleaning steps."""
+    found = pipeline.run(_candidates(spark, sf_dir), PICTURE.width, PICTURE.height, FPS)
+    return found.select("video", "frame", "class", "track_id", "x_center", "y_center", "ball_status", "is_reliable", "team_name")
+
+
+@query()
+def tracked_ball(spark, sf_dir):
+    return pipeline.tracked_ball(_candidates(spark, sf_dir))
+
+
+@query()
+def parabolic_path(spark, sf_dir):
+    b = rows(spark, sf_dir).where("class = 'ball' AND row_id % 7 <> 0")
+    return ball_path.parabolic(b)

@@ -85,12 +85,6 @@ def ball_velocities(spark, sf_dir):
     return tracking.velocities(ball_path(spark, sf_dir)).select("video", "frame", "dx", F.round("velocity_y", 6).alias("velocity_y"))
 
 
-@query(f"WITH {PATH_SQL}, j AS (SELECT *, CASE WHEN frame - lag(frame) OVER w <= 6 THEN sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) END AS jump FROM s WINDOW w AS (PARTITION BY video, seg ORDER BY frame)) SELECT video, count(*) AS n, count(*) FILTER (WHERE jump > 180) AS n_removed, count(*) FILTER (WHERE jump > 120 AND jump <= 180) AS n_warned FROM j GROUP BY video")
-def ball_reliability(spark, sf_dir):
-    r = tracking.reliability(ball_path(spark, sf_dir))
-    return r.groupBy("video").agg(F.count("*").alias("n"), F.count_if(F.col("reliability_reason") == "removed_jump").alias("n_removed"), F.count_if(F.col("reliability_reason") == "warning_large_jump").alias("n_warned"))
-
-
 @query(f"WITH {PATH_SQL}, g AS (SELECT *, count(*) OVER (PARTITION BY video, seg) AS n, max(confidence) OVER (PARTITION BY video, seg) AS c FROM s) SELECT video, frame FROM g WHERE n >= 3 OR c >= 0.62")
 def pruned_segments(spark, sf_dir):
     return tracking.prune_segments(ball_path(spark, sf_dir)).select("video", "frame")
@@ -116,16 +110,6 @@ def ball_association(spark, sf_dir):
     return tracking.associate(d).select("video", "frame", "row_id")
 
 
-@query()
-def jump_gated(spark, sf_dir):
-    return tracking.jump_gate(ball_path(spark, sf_dir), 300.0, 5.0).select("video", "frame", "row_id")
-
-
-@query()
-def suppressed_players(spark, sf_dir):
-    return tracking.suppress_duplicates(detections(spark, sf_dir), 0.45, 20.0).select("video", "frame", "row_id")
-
-
 @query("SELECT s_suppkey % 7 AS video, s_suppkey AS track_id, CASE WHEN row_number() OVER (PARTITION BY s_suppkey % 7 ORDER BY s_acctbal, s_suppkey) <= greatest(1, count(*) OVER (PARTITION BY s_suppkey % 7) // 2) THEN '1' ELSE '2' END AS team_id FROM supplier")
 def teams_by_place(spark, sf_dir):
     rows = load(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 7).alias("video"), F.col("s_suppkey").alias("track_id"), F.lit("player").alias("class"), F.col("s_acctbal").alias("x_center"))

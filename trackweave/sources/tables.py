@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, scalars
 
+#: Columns of the files that go in and out, in their order.
 DETECTIONS = "frame long, track_id long, class string, confidence double, x_center double, y_center double, x1 double, y1 double, x2 double, y2 double"
 PLAY_BY_PLAY = "gameid string, season string, period int, clock string, h_pts double, a_pts double, team string, type string, desc string"
 EVENTS = (
@@ -104,12 +106,56 @@ def read_polygon(spark: SparkSession, path: str) -> list[tuple[float, float]]:
     return [(float(x), float(y)) for x, y in found]
 
 
-def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """A report as one CSV file with a header. Reports are small; tables are written as Parquet."""
+def write_csv(df: DataFrame, path: str, order: list[str] | None = None, mark: bool = True) -> None:
+    """A report as one CSV file with a header, which begins with a byte order mark as spreadsheets want it; absent
+    folders are made. Reports are small; tables are written as Parquet."""
     rows = df.orderBy(*order) if order else df
+    if mark:
+        first = df.columns[0]
+        rows = rows.withColumnRenamed(first, "\ufeff" + first)
     rows.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+def write_history(spark: SparkSession, history: list[dict], path: str) -> None:
+    """The epochs of a training, one JSON object a line."""
+    spark.createDataFrame(history).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_history(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def require_file(spark: SparkSession, path: str, label: str) -> str:
+    if not exists(spark, path):
+        raise FileNotFoundError(f"{label}: {path} does not exist")
+    return path
+
+
+def next_folder(spark: SparkSession, root: str, stem: str = "train") -> str:
+    """root/train1, root/train2, ...: the first that does not exist."""
+    n = 1
+    while exists(spark, f"{root}/{stem}{n}"):
+        n += 1
+    return f"{root}/{stem}{n}"
+
+
+def output_prefix(path: Column, suffix: str = "tracking_results.csv") -> Column:
+    """What files of one run begin with: the name before the suffix, else the name without its ending and a `_`."""
+    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    return F.when(name.endswith(suffix), F.substring(name, F.lit(1), F.length(name) - len(suffix))).otherwise(F.concat(stem, F.lit("_")))
+
+
+def show_rows(df: DataFrame, n: int = 20) -> DataFrame:
+    """The first rows for a console, with nothing in place of nulls."""
+    return df.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns)).limit(n)
+
+
 def write_table(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     """A table as Parquet; an earlier one at this path is replaced."""
     writer = df.write.mode("overwrite")
@@ -124,23 +170,44 @@ def cached_concat(spark: SparkSession, glob: str, cache: str, schema: str) -> Da
     return spark.read.parquet(cache)
 
 
-def event_ids(df: DataFrame, order: list[str], name: str = "event_id") -> DataFrame:
-    """E00001, E00002, ... in order, without one task for all rows: rows are range-partitioned by the order, counted by
-    partition, and numbered within."""
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    from pyspark.sql import Window
-
-    counts = parts.groupBy("_part").count()
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """1, 2, ... in order, without one task for all rows: rows are range-partitioned by the order and written once, so
+    that a lost task cannot change the partitions, then counted by partition and numbered within. `order` must tell
+    rows apart."""
+    parts = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = parts.groupBy("_part").count()  # one row a partition
     before = counts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.withColumn("_nth", nth).join(F.broadcast(before), "_part").withColumn(name, F.format_string("E%05d", (F.col("_before") + F.col("_nth")).cast("int"))).drop("_part", "_nth", "_before")
+    return parts.withColumn("_nth", nth).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_before")
+
+
+def event_ids(df: DataFrame, order: list[str], name: str = "event_id") -> DataFrame:
+    """E00001, E00002, ... in order."""
+    return numbered(df, order, "_n").withColumn(name, F.format_string("E%05d", F.col("_n").cast("int"))).drop("_n")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session shares with its executors (spark.checkpoint.dir). A local folder stands in only where
+    the executors are threads of this process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    sc = spark.sparkContext
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if getattr(sc, "_trackweave_tables", None) is None:
+        sc._trackweave_tables = "file://" + tempfile.mkdtemp(prefix="trackweave-")
+    return sc._trackweave_tables
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df` as a checkpoint in the folder that the session shares with its executors (spark.checkpoint.dir); a local
-    folder only where the session names none."""
+    """`df` as a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="trackweave-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
