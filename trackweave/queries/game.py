@@ -114,14 +114,16 @@ def logistic_winner(spark, sf_dir):
 # possession on frames made of lineitem: an order is a frame, its lines are players, the part is the ball
 
 
-def _detections(spark, sf_dir) -> DataFrame:
+def _detections(spark, sf_dir, without_ball: bool = False) -> DataFrame:
+    """Every frame has a ball, or, to see what becomes of frames without one, every fifth has none."""
     l = load(spark, sf_dir, "lineitem")
     players = l.selectExpr("l_orderkey % 7 AS video", "l_orderkey AS frame", "l_suppkey AS track_id", "'player' AS class", "l_quantity * 30 AS x_center", "l_extendedprice / 100 AS y_center", "l_linenumber * 100000000 + l_partkey * 10000 + l_suppkey AS row_id")
-    balls = load(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0").selectExpr("o_orderkey % 7 AS video", "o_orderkey AS frame", "CAST(-1 AS BIGINT) AS track_id", "'ball' AS class", "CAST(o_custkey % 1500 AS DOUBLE) AS x_center", "o_totalprice / 500 AS y_center", "CAST(0 AS BIGINT) AS row_id")
+    seen = load(spark, sf_dir, "orders")
+    balls = (seen.where("o_orderkey % 5 <> 0") if without_ball else seen).selectExpr("o_orderkey % 7 AS video", "o_orderkey AS frame", "CAST(-1 AS BIGINT) AS track_id", "'ball' AS class", "CAST(o_custkey % 1500 AS DOUBLE) AS x_center", "o_totalprice / 500 AS y_center", "CAST(0 AS BIGINT) AS row_id")
     return players.unionByName(balls)
 
 
-DETECTIONS_SQL = "d AS MATERIALIZED (SELECT l_orderkey % 7 AS video, l_orderkey AS frame, l_suppkey AS track_id, 'player' AS class, l_quantity * 30 AS x, l_extendedprice / 100 AS y, CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey * 10000 + l_suppkey AS row_id FROM lineitem UNION ALL SELECT o_orderkey % 7, o_orderkey, -1, 'ball', CAST(o_custkey % 1500 AS DOUBLE), o_totalprice / 500, 0 FROM orders WHERE o_orderkey % 5 <> 0)"
+DETECTIONS_SQL = "d AS MATERIALIZED (SELECT l_orderkey % 7 AS video, l_orderkey AS frame, l_suppkey AS track_id, 'player' AS class, l_quantity * 30 AS x, l_extendedprice / 100 AS y, CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey * 10000 + l_suppkey AS row_id FROM lineitem UNION ALL SELECT o_orderkey % 7, o_orderkey, -1, 'ball', CAST(o_custkey % 1500 AS DOUBLE), o_totalprice / 500, 0 FROM orders)"
 OWNERS_SQL = f"{DETECTIONS_SQL}, own AS MATERIALIZED (SELECT p.video, p.frame, arg_min(p.track_id, (sqrt((p.x - b.x) * (p.x - b.x) + (p.y - b.y) * (p.y - b.y)), p.row_id)) AS owner FROM d p JOIN d b ON b.frame = p.frame AND b.class = 'ball' WHERE p.class = 'player' GROUP BY ALL)"
 
 
@@ -145,9 +147,9 @@ def track_speeds(spark, sf_dir):
     return possession.speeds(_detections(spark, sf_dir)).select("frame", "track_id", "row_id", F.round("speed_ms", 6).alias("speed_ms"))
 
 
-@query(f"WITH {DETECTIONS_SQL}, b AS (SELECT video, frame, x / 1920 AS bx, y / 1080 AS byy FROM d WHERE class = 'ball') SELECT d.video, d.frame, round(min(sqrt(pow((x / 1920 - coalesce(bx, 0.5)) * 28, 2) + pow((y / 1080 - coalesce(byy, 0.5)) * 15, 2))), 4) AS min_dist, round(coalesce(any_value(bx), 0.5), 9) AS ball_x FROM d LEFT JOIN b ON b.video = d.video AND b.frame = d.frame WHERE class = 'player' GROUP BY d.video, d.frame")
+@query(f"WITH {DETECTIONS_SQL.replace('FROM orders', 'FROM orders WHERE o_orderkey % 5 <> 0')}, b AS (SELECT video, frame, x / 1920 AS bx, y / 1080 AS byy FROM d WHERE class = 'ball') SELECT d.video, d.frame, round(min(sqrt(pow((x / 1920 - coalesce(bx, 0.5)) * 28, 2) + pow((y / 1080 - coalesce(byy, 0.5)) * 15, 2))), 4) AS min_dist, round(coalesce(any_value(bx), 0.5), 9) AS ball_x FROM d LEFT JOIN b ON b.video = d.video AND b.frame = d.frame WHERE class = 'player' GROUP BY d.video, d.frame")
 def frame_features(spark, sf_dir):
-    return possession.frame_features(_detections(spark, sf_dir)).select("video", "frame", F.round("min_dist", 4).alias("min_dist"), F.round("ball_x", 9).alias("ball_x"))
+    return possession.frame_features(_detections(spark, sf_dir, without_ball=True)).select("video", "frame", F.round("min_dist", 4).alias("min_dist"), F.round("ball_x", 9).alias("ball_x"))
 
 
 @query("WITH v AS (SELECT 100 AS total), e AS (SELECT user_id AS video, event_id % 100 AS frame, arg_max(CASE event_type WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 4 END, event_id) AS code FROM events WHERE event_type IN ('click', 'view', 'signup') GROUP BY ALL), s AS (SELECT video, frame FROM (SELECT DISTINCT user_id AS video FROM events), (SELECT unnest(range(100)) AS frame)) SELECT video, frame - 29 AS window_start, coalesce(code, 0) AS label FROM s LEFT JOIN e USING (video, frame) WHERE frame >= 29")

@@ -91,9 +91,10 @@ def group_last_median(spark, sf_dir):
     return last.join(quantiles.medians(e, ["user_id"], F.col("value")), "user_id").select("user_id", "last_value", F.round("median", 4).alias("median_value"))
 
 
-@query("SELECT user_id, event_type AS winner, n AS votes FROM (SELECT user_id, event_type, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first_id) AS r FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_id FROM events WHERE ts < TIMESTAMP '2024-01-06' GROUP BY ALL)) WHERE r = 1")
+@query("SELECT user_id, event_type AS winner, n AS votes FROM (SELECT user_id, event_type, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first_id) AS r FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_id FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS start FROM events) WHERE ts <= start + INTERVAL 5 DAY GROUP BY ALL)) WHERE r = 1")
 def majority_vote(spark, sf_dir):
-    e = load(spark, sf_dir, "events").where("ts < timestamp_ntz'2024-01-06'")
+    """The most frequent type of each user's first five days, the first seen of equals."""
+    e = load(spark, sf_dir, "events").withColumn("start", F.min("ts").over(Window.partitionBy("user_id"))).where("ts <= start + INTERVAL 5 DAY")
     votes = e.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
     return votes.groupBy("user_id").agg(F.max_by("event_type", F.struct("n", -F.col("first_id"))).alias("winner"), F.max("n").alias("votes"))
 
