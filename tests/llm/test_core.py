@@ -270,3 +270,59 @@ def test_two_documents_replace_the_smallest_where_they_fit_better():
 def test_crc_of_pieces_is_of_little_endian_ids():
     ids = np.array([1, 70000], np.uint32)
     assert zlib.crc32(ids.astype("<u4").tobytes()) == zlib.crc32(b"\x01\x00\x00\x00\x70\x11\x01\x00")
+
+
+def test_slices_do_not_change_results():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "é", "x.", "one\ntwo"]) for _ in range(rng.randint(0, 80))) for _ in range(30)] + [None, "", "z " * 500]
+    whole = pa.array(texts, pa.string())
+    (_, _, data, offsets), *more = tc.slices(whole)
+    assert not more
+    counts, fps = repetition.measure(data, offsets), simhash.fingerprints(data, offsets, 3)
+    ids, first = tokens.PieceEncoder(tokenizer_path()).encode(data, offsets)
+    encoder, seen = tokens.PieceEncoder(tokenizer_path()), []
+    for a, b, d, o in tc.slices(whole, 300):
+        part = repetition.measure(d, o)
+        assert all((part[c] == counts[c][a:b]).all() for c in repetition.COUNTS)
+        assert (simhash.fingerprints(d, o, 3) == fps[a:b]).all()
+        got, at = encoder.encode(d, o)
+        assert all((got[at[i] : at[i + 1]] == ids[first[a + i] : first[a + i + 1]]).all() for i in range(b - a))
+        seen += range(a, b)
+    assert seen == list(range(len(texts)))
+
+
+def plain_best_two_fit(sizes, capacity):
+    """Document by document, as the method is told."""
+    left, bins = sorted(sizes, reverse=True), []
+    while left:
+        held, gap = [], capacity
+        for size in list(left):
+            if size <= gap:
+                held.append(size)
+                left.remove(size)
+                gap -= size
+        while gap and held:
+            smallest = min(held)
+            room = gap + smallest
+            pairs = [(left[i] + left[j], left[i], left[j]) for i in range(len(left)) for j in range(i + 1, len(left)) if left[i] + left[j] <= room]
+            best = max(pairs, default=(0, 0, 0))
+            if best[0] <= smallest:
+                break
+            held.remove(smallest)
+            left.append(smallest)
+            for size in best[1:]:
+                left.remove(size)
+                held.append(size)
+            left.sort(reverse=True)
+            gap = room - best[0]
+        bins.append(sorted(held, reverse=True))
+    return bins
+
+
+@given(st.lists(st.integers(1, 24), max_size=40))
+@settings(max_examples=150, deadline=None)
+def test_packing_fills_as_the_plain_method(sizes):
+    bins = [lengths for times, lengths in packing.best_two_fit(Counter(sizes), 24) for _ in range(times)]
+    plain = plain_best_two_fit(sizes, 24)
+    assert sorted(x for b in bins for x in b) == sorted(sizes) and abs(len(bins) - len(plain)) <= 1
+    assert not bins or sum(bins[0]) == sum(plain[0])

@@ -302,6 +302,54 @@ def test_packing(odd, none):
     assert packing.pack_documents(none, tokenizer_path()).count() == 0
 
 
+def test_pieces_are_the_library_s_ids(spark, odd):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    want = Counter()
+    for r in ODD:
+        ids = np.array([*library.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4")
+        n = -(-len(ids) // 256)
+        cuts = [0, *(len(ids) - 256 * (n - 1 - k) for k in range(n))]
+        want.update((r[0], k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)))
+    got = packing.pack_documents(odd, tokenizer_path(), capacity=256).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+
+
+def test_a_very_long_text(spark):
+    """Longer than a slice of any operator, beside short ones."""
+    long = " ".join(f"{WORDS[i % 12]}{i}" for i in range(260_000))
+    assert len(long) > 2 * (1 << 20)
+    tail = " ".join(long.split()[1000:1080])
+    docs = spark.createDataFrame([(1, long), (2, "short one"), (3, f"lead {tail} end")], "doc_id long, text string")
+    got = {r.doc_id: r for r in repetition.repetition_rules(docs).collect()}
+    assert got[1].n_words == 260_000 and got[1].kept and not got[2].kept
+    assert {r.doc_id: r.n_removed for r in passage_cover.passage_digest(docs).collect()} == {1: 0, 2: 0, 3: 80}
+    gone = {r.doc_id: r.n_removed for r in suffix_repeats.repeat_digest(docs).collect()}
+    assert gone[1] == gone[3] and len(tail) <= gone[3] <= len(tail) + 2 and gone[2] == 0
+    assert len({r.fp for r in simhash.near_duplicates(docs).collect()}) == 3
+    items = spark.createDataFrame([("a", tail)], "item_id string, text string")
+    assert {r.doc_id: r.n_hit for r in decontamination.contamination(docs, items).collect()} == {1: 80, 2: 0, 3: 80}
+    packed = packing.pack_documents(docs, tokenizer_path()).collect()
+    path = Workspace(spark, "tokens").path("files")
+    token_files.write_token_files(docs, path, tokenizer_path())
+    total = {r.id: r.n_tokens for r in token_files.read_token_files(spark, path).collect()}
+    assert {d: sum(r.length for r in packed if r.doc_id == d) for d in total} == total
+
+
+def test_columns_with_clashing_names(spark):
+    a = prose(51, 90)
+    names = ["row_key", "row_text", "fp", "id", "score", "row_hash", "n_removed", "row_spans", "key", "hash"]
+    docs = spark.createDataFrame([(k, a if k < 2 else prose(60 + k, 90), *[f"{n}{k}" for n in names]) for k in range(3)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([("a", " ".join(a.split()[:30]))], "item_id string, text string")
+    for got, want in (
+        (repetition.keep_clean(docs), {0, 1, 2}), (simhash.keep_one(docs), {0, 2}), (passage_cover.remove_passages(docs), {0, 1, 2}), (suffix_repeats.remove_repeats(docs, keep_first=True), {0, 1, 2}), (decontamination.drop_contaminated(docs, items), {2}),
+    ):
+        rows_ = got.collect()
+        assert got.columns[: len(docs.columns)] == docs.columns and {r.doc_id for r in rows_} == want
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows_ for n in names)
+
+
 def test_compaction(spark, odd, none):
     root = Workspace(spark, "shards").path("store")
     store = compaction.ShardStore(spark, root, target_bytes=30_000, fan_in=3)
@@ -512,3 +560,16 @@ def test_pipeline_stages_hold_what_they_say(spark, odd):
     assert all(r.text == before[d] or r.n_chars == len(r.text) for d, r in got.items()) and got[2].text == before[2] != got[3].text
     packed = corpus_pipeline.best_fit_packing(spark, cut, "")
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in cut.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "benchmark_decontamination":
+            assert stage(spark, docs.limit(0), "").count() == 0, name
+
+
+def test_pipeline_drops_contaminated_documents(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    docs = odd.drop("kept")
+    spark.createDataFrame([("a", " ".join(SHARED.split()[10:40]))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 4, 5, 6, 7, 8, 8, 12]
+    assert corpus_pipeline.benchmark_decontamination(spark, docs.limit(0), str(tmp_path)).count() == 0
