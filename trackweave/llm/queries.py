@@ -55,6 +55,15 @@ def op6_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.site_quality(docs, site_quality.fit(docs, table(spark, sf_dir, "labels")), F.col("source"), F.col("lang"))
 
 
+def page_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages by host and first folder of their URL, many of them sparse, with the classifier of the documents; the
+    text is the page without its tags."""
+    model = site_quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</\1>", " "), r"<[^>]*>", " ")
+    host, path = site_quality.site_of(F.col("url"))
+    return site_quality.site_quality(table(spark, sf_dir, "pages").withColumn("page_text", plain), model, host, path, "page_id", "page_text")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark, "tokens").path("files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -86,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_passage_cover": op5_passage_cover,
     "op6_site_quality": op6_site_quality,
+    "page_site_quality": page_site_quality,
     "op7_token_files": op7_token_files,
     "op8_best_two_fit_packing": op8_best_two_fit_packing,
     "op9_suffix_repeats": op9_suffix_repeats,
