@@ -185,3 +185,36 @@ def test_weights_read_back(spark, tmp_path):
     w = scoring.init_weights(5, hidden=8)
     np.savez(tmp_path / "w.npz", **w)
     assert all((scoring.load_weights(spark, str(tmp_path / "w.npz"))[k] == v).all() for k, v in w.items())
+
+
+def test_parabola_through_a_gap(spark):
+    import numpy as np
+
+    from trackweave.plans import ball_path
+
+    t = np.array([0, 1, 2, 3, 8, 9, 10, 11])
+    made = ball_path.fill(t, 10.0 * t, 100 - 20.0 * t + 0.5 * t * t, np.full(8, 0.9), np.zeros(8), 0.8)
+    assert [f for f, *_ in made] == [4, 5, 6, 7] and all(abs(x - 10 * f) < 1e-9 and abs(y - (100 - 20 * f + 0.5 * f * f)) < 1e-6 and c == 0.75 and g == 1.0 for f, x, y, c, g in made)
+    assert ball_path.fill(t, t * 1.0, t * 1.0, np.ones(8), np.array([0, 0, 0, 0, 1, 1, 1, 1]), 0.8) == []
+    points = spark.createDataFrame([("v", f, f, 10.0 * f, 100 - 20.0 * f + 0.5 * f * f, 0.9, 0) for f in t.tolist()], "video string, frame long, row_id long, x_center double, y_center double, confidence double, ball_segment int")
+    got = ball_path.parabolic(points).where("interpolated").orderBy("frame").collect()
+    assert [r.frame for r in got] == [4, 5, 6, 7] and all(abs(r.y_center - (100 - 20 * r.frame + 0.5 * r.frame**2)) < 1e-6 for r in got)
+
+
+def test_medians_match_sorting(spark):
+    import statistics
+
+    from trackweave.operators import quantiles
+
+    rows = [("a", float(k * 7 % 101)) for k in range(1000)] + [("b", 3.0), ("b", 4.0), ("c", None), (None, 5.0), (None, 9.0), (None, 1.0)] + [("d", 2.0)] * 500 + [("d", 8.0)] * 500
+    got = dict(tuple(r) for r in quantiles.medians(spark.createDataFrame(rows, "k string, v double"), ["k"], F.col("v")).collect())
+    of = lambda k: [v for key, v in rows if key == k and v is not None]
+    assert got == {k: statistics.median(of(k)) if of(k) else None for k in ("a", "b", "c", "d", None)}
+    assert quantiles.medians(spark.createDataFrame(rows, "k string, v double"), [], F.col("v")).first()[0] == statistics.median([v for _, v in rows if v is not None])
+
+
+def test_windows_by_blocks_are_windows_by_rows(spark):
+    rows = spark.createDataFrame([("a", k) for k in range(23)] + [("b", k) for k in range(4)], "g string, i long")
+    for size, stride in ((6, 3), (6, 4), (4, 1)):
+        got = sorted((r.g, r.window_start, r["items"]) for r in sequences.sliding_windows(rows, ["g"], ["i"], size, stride, F.col("i")).collect())
+        assert got == sorted((g, s, list(range(s, s + size))) for g, n in (("a", 23), ("b", 4)) for s in range(0, n - size + 1, stride))
