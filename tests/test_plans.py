@@ -53,10 +53,10 @@ def test_events_of_a_made_up_game(spark):
     assert ids == [f"E{k:05d}" for k in range(1, len(ids) + 1)]
 
 
-def test_snapshot_frames():
-    assert events.snapshot_frames(1799, PROFILE) == [(899, 30.0), (1799, 60.0)]
-    assert events.snapshot_frames(1801, PROFILE) == [(899, 30.0), (1799, 60.0)]
-    assert events.snapshot_frames(100, PROFILE) == [(100, 3.367)]
+def test_snapshot_ticks(spark):
+    rows = spark.createDataFrame([(1799,), (1801,), (100,), (0,), (1900,)], "last int").select("last", events.snapshot_ticks(F.col("last"), PROFILE).alias("t")).collect()
+    got = {r["last"]: [tuple(t) for t in r.t] for r in rows}
+    assert got == {1799: [(899, 30.0), (1799, 60.0)], 1801: [(899, 30.0), (1799, 60.0)], 100: [(100, 3.367)], 0: [(0, 0.033)], 1900: [(899, 30.0), (1799, 60.0), (1900, 63.367)]}
 
 
 def test_possession_ties_and_missing_rows(spark):

@@ -257,25 +257,26 @@ def summary(rows: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [total, per, by_type, by_team, note, events])
 
 
-def snapshot_frames(last_frame: int, profile: Profile, interval: float = 30.0) -> list[tuple[int, float]]:
-    """(frame, seconds) of the ticks of a video and, if it is long enough after the last, of its end."""
-    interval, last = max(1.0, interval), max(0, last_frame)
+def snapshot_ticks(last: Column, profile: Profile, interval: float = 30.0) -> Column:
+    """array<struct<frame, time_sec>>: the ticks of a video up to its last frame and, if it is long enough after the last
+    tick, its end."""
+    interval, last = max(1.0, interval), F.greatest(last, F.lit(0)).cast("long")
     length = (last + 1) / profile.fps
-    n = max(0, -int(-(length - 1e-6) // interval) - 1)
-    ticks = [(max(0, min(last, round(k * interval * profile.fps) - 1)), round(k * interval, 3)) for k in range(1, n + 1)]
-    end = round(length, 3)
-    if not ticks or (ticks[-1][0] != last and end - ticks[-1][1] >= min(1.0, interval * 0.25)):
-        ticks.append((last, end))
-    return ticks
+    n = F.greatest(F.ceil((length - 1e-6) / interval) - 1, F.lit(0)).cast("long")
+    tick = lambda frame, time: F.struct(frame.cast("long").alias("frame"), time.cast("double").alias("time_sec"))
+    at = lambda k: tick(F.greatest(F.least(last, F.bround(k * interval * profile.fps).cast("long") - 1), F.lit(0)), F.bround(k * interval, 3))
+    ticks = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), n), lambda k: k > 0), at)
+    end, final = F.bround(length, 3), F.try_element_at(ticks, F.lit(-1))
+    late = final.isNull() | ((final["frame"] != last) & (end - final["time_sec"] >= min(1.0, interval * 0.25)))
+    return F.when(late, F.concat(ticks, F.array(tick(last, end)))).otherwise(ticks)
 
 
 def cumulative(rows: DataFrame, found: dict[str, DataFrame], profile: Profile, interval: float = 30.0) -> DataFrame:
     """Team totals since the start at every tick: events and possession frames are counted by tick first, then summed
     up in order. Two teams a video, 1 and 2 where fewer are known."""
     events, held = found["events"], found["possessions"]
-    make = F.udf(lambda last: [(f, t) for f, t in snapshot_frames(last, profile, interval)], "array<struct<frame:bigint,time_sec:double>>")
     last = rows.groupBy("video").agg(F.max("frame").cast("int").alias("last"))
-    ticks = last.select("video", F.posexplode(make("last")).alias("i", "tick")).select("video", "i", "tick.*")  # one call a video
+    ticks = last.select("video", F.posexplode(snapshot_ticks(F.col("last"), profile, interval)).alias("i", "tick")).select("video", "i", "tick.*")
     keys = team_keys(rows, events, found["stats"]).select("video", "team_id", "team_name")
     default = last.select("video", F.explode(F.array(F.lit("1"), F.lit("2"))).alias("team_id")).withColumn("team_name", F.concat(F.lit("team_"), "team_id"))
     keys = keys.unionByName(default.join(keys, ["video", "team_id"], "left_anti"))
