@@ -77,9 +77,20 @@ def test_filter_follows_and_gives_up():
     assert ball.state.tolist() == [1.0, 2.0, 0.0, 0.0]
 
 
-def test_beam_prefers_the_smooth_chain():
-    frames = [[(10.0 * k, 0.0, 0.5), (900.0 - 300 * (k % 2), 500.0, 0.6)] for k in range(8)]
-    assert tracking.beam_links(frames, list(range(8))) == [0] * 8
+def test_beam_follows_the_smooth_path():
+    import numpy as np
+
+    from trackweave.plans import association
+
+    t = np.repeat(np.arange(10), 2)
+    x = np.where(np.arange(20) % 2 == 0, 30.0 * t, 900.0 - 300 * (t % 2))
+    found = association.best_path(t, x, np.where(np.arange(20) % 2 == 0, 5.0 * t, 500.0), np.full(20, 0.5), np.full(20, 2.0))
+    assert [i for i, _ in found] == list(range(0, 20, 2)) and {s for _, s in found} == {0}
+    # too far to link: after some frames the path starts anew in another segment
+    t = np.array([0, 1, 2, 12, 13])
+    found = association.best_path(t, np.array([0.0, 10, 20, 1500, 1510]), np.zeros(5), np.full(5, 0.5), np.full(5, 2.0))
+    assert found == [(0, 0), (1, 0), (2, 0), (3, 1), (4, 1)]
+    assert association.best_path(t[:0], t[:0], t[:0], t[:0], t[:0]) == []
 
 
 def test_score_state():

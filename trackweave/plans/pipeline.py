@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import canonical_class, written
-from . import ball_path, candidates, court, refiner, rims, tracking
+from . import association, ball_path, candidates, court, refiner, rims, tracking
 
 
 def candidate_rows(detections: DataFrame, p: candidates.Picture, fps: float) -> DataFrame:
@@ -26,8 +26,7 @@ def tracked_ball(rows: DataFrame, max_gap: int = ball_path.MAX_GAP) -> DataFrame
     """One ball a frame: association over frames, short gaps filled by parabolas, a filter over all frames, and the
     player who hides it where it is only predicted."""
     balls = rows.where("class = 'ball'")
-    one = tracking.segment_ids(tracking.associate(balls), max_gap, float("inf"))
-    path = ball_path.parabolic(one, max_gap)
+    path = ball_path.parabolic(association.associate(balls), max_gap)
     spine = path.groupBy("video").agg(F.min("frame").alias("a"), F.max("frame").alias("b")).select("video", F.explode(F.sequence("a", "b")).alias("frame"))
     filtered = tracking.kalman(spine.join(path.select("video", "frame", "x_center", "y_center", "confidence"), ["video", "frame"], "left"), gravity=ball_path.USUAL_PULL)
     predicted = filtered.where("source = 'kalman_prediction'").select("video", "frame", F.col("frame").alias("row_id"), F.col("fx").alias("x_center"), F.col("fy").alias("y_center"))

@@ -1,4 +1,4 @@
-"""Following the ball and the players: filter, association, velocities, segments, quality, teams.
+"""Following the ball and the players: filter, velocities, segments, quality, teams.
 
 Set-based steps are windows and joins by (video, frame). Steps that carry a state from row to row of a video (filter,
 gates, association) run as one Python function per independent chunk: `chunked` cuts a video where nothing that far
@@ -102,50 +102,6 @@ def kalman(frames: DataFrame, process: float = 30.0, measurement: float = 12.0,
     return rows.select("video", "chunk", F.col("frame").cast("long").alias("frame"), "x_center", "y_center", "confidence").groupBy("video", "chunk").applyInPandas(run, schema)
 
 
-def beam_links(frames: list[list[tuple[float, float, float]]], numbers: list[int], width: int = 18, max_gap: int = 12, reach: float = 220.0) -> list[int]:
-    """Which candidate (x, y, confidence) of each frame is the ball, -1 for none: the chain of links with the best sum
-    of confidence less distance, over the `width` best chains so far."""
-    beams: list[tuple[float, int, tuple[float, float] | None, int, tuple]] = [(0.0, 0, None, 0, ())]  # score, nth, place, frame, path as linked list
-    for nth, (items, frame) in enumerate(zip(frames, numbers, strict=True)):
-        grown = []
-        for score, count, place, last, path in beams:
-            grown.append((score - 0.15, count, place, last, (path, -1)))
-            for k, (x, y, c) in enumerate(items):
-                if place is None:
-                    grown.append((score + c, count + 1, (x, y), frame, (path, k)))
-                    continue
-                gap = frame - last
-                away = float(np.hypot(x - place[0], y - place[1]))
-                if gap <= max_gap and away <= reach * max(1.0, gap**0.5):
-                    grown.append((score + c - 0.8 * away / (reach * max(1.0, gap**0.5)), count + 1, (x, y), frame, (path, k)))
-                elif gap > max_gap and c >= 0.08:
-                    grown.append((score + c - 0.6, count + 1, (x, y), frame, (path, k)))
-        grown.sort(key=lambda b: (-b[0], -b[1]))
-        beams = grown[:width]
-    path, picked = beams[0][4], []
-    while path:
-        path, k = path
-        picked.append(k)
-    return picked[::-1]
-
-
-def associate(candidates: DataFrame, width: int = 18, max_gap: int = 12, reach: float = 220.0) -> DataFrame:
-    """One ball a frame from candidates(video, frame, row_id, x_center, y_center, confidence): rows that a beam search
-    picks. Chunks more than max_gap frames apart are independent."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "confidence", "row_id"], ascending=[True, False, True]).reset_index(drop=True)
-        at = [g_.index.tolist() for _, g_ in pdf.groupby("frame", sort=True)]
-        items = [[tuple(map(float, pdf.loc[i, ["x_center", "y_center", "confidence"]])) for i in rows] for rows in at]
-        picked = beam_links(items, [int(pdf["frame"].iloc[rows[0]]) for rows in at], width, max_gap, reach)
-        return pdf.iloc[[rows[k] for rows, k in zip(at, picked, strict=True) if k >= 0]][["video", "frame", "row_id"]]
-
-    rows = chunked(candidates, max_gap)
-    kind = candidates.schema["video"].dataType.simpleString()
-    ids = rows.select("video", "chunk", F.col("frame").cast("long").alias("frame"), "row_id", "x_center", "y_center", "confidence").groupBy("video", "chunk").applyInPandas(run, f"video {kind}, frame long, row_id long")
-    return candidates.join(ids.select("row_id"), "row_id", "left_semi")
-
-
 # windows
 
 

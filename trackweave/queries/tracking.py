@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import events as ev
-from ..plans import scoreboard, tracking
+from ..plans import association, scoreboard, tracking
 from ..sources.tables import load
 from .registry import query
 
@@ -107,7 +107,7 @@ def ball_filter(spark, sf_dir):
 def ball_association(spark, sf_dir):
     d = detections(spark, sf_dir).where("class IN ('ball', 'hoop')")
     d = d.withColumns({"x_center": (F.col("x1") + F.col("x2")) / 2, "y_center": (F.col("y1") + F.col("y2")) / 2, "confidence": (F.col("row_id") % 89) / 100})
-    return tracking.associate(d).select("video", "frame", "row_id")
+    return association.associate(d).select("video", "frame", "row_id", "ball_segment")
 
 
 @query("SELECT s_suppkey % 7 AS video, s_suppkey AS track_id, CASE WHEN row_number() OVER (PARTITION BY s_suppkey % 7 ORDER BY s_acctbal, s_suppkey) <= greatest(1, count(*) OVER (PARTITION BY s_suppkey % 7) // 2) THEN '1' ELSE '2' END AS team_id FROM supplier")
