@@ -11,7 +11,8 @@ a third of the corpus has is counted in many tasks.
 Longer documents are cut into pieces of `capacity` ids, the first piece being the shorter one.
 
 Defined results: null and empty texts are the end id alone; repeated rows are packed each; a null doc_id is a value like
-any other; no documents give no sequences. Other columns are not read.
+any other; no documents give no sequences; a very long text is many pieces, each packed by itself; pieces of one length
+tie and take places by key, piece and checksum. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -14,8 +14,9 @@ places of both documents. Only those windows are hashed (6 of 31 places for leng
 
 The order of documents is that of the key; null keys come last and count as equal to each other. Words are runs of
 bytes other than space and 0x09-0x0D. Defined results: null, empty and blank texts have no words, nothing is removed
-and the kept text is empty; texts of fewer words than a window are kept whole; rows with equal keys never remove from
-each other; other columns are untouched, whatever their names.
+and the kept text is empty; texts of fewer words than a window are kept whole; rows with equal keys (a tie in the order)
+never remove from each other; an empty table gives no rows; very long texts are read whole, a slice of documents at a
+time; other columns are untouched, and helper columns avoid their names.
 """
 
 from __future__ import annotations

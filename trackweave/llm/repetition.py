@@ -5,7 +5,9 @@ the same words stand earlier in the same document; the coverage is the number of
 repeated windows. Longer windows are only hashed where all shorter ones inside them occur twice.
 
 Defined results: null and empty texts and texts without a word have zeros everywhere and fail the base rule; rows are
-independent, so repeated rows and equal doc_ids each give a row; other columns of the input are not read.
+independent, so repeated rows and equal doc_ids each give a row; an empty table gives no rows; very long texts are
+measured whole, a slice of documents at a time; ties do not occur, as verdicts are thresholds on counts; carried columns
+travel inside a struct, so their names cannot clash.
 """
 
 from __future__ import annotations

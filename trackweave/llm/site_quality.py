@@ -13,7 +13,9 @@ beside others and is left out). Everything else covers all documents by grouped
 the rows is no burden; the tables of hosts and paths are broadcast only when counted to be small.
 
 Defined results: a null host or path is a group of its own; null and empty texts have zero features; repeated rows
-count each; labels that are null are not used; without labels of both kinds the evidence is 0. Null keys are kept.
+count each; labels that are null are not used; without labels of both kinds the evidence is 0. Null keys are kept. An
+empty table gives no rows; very long texts are scored whole; a posterior of exactly 0.5 (a tie) is kept; only the key is
+carried, so other columns' names cannot clash.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ the keys, the number of ids of each document and the two streams. The table of r
 are written and read by Spark, so any store works and a lost task is simply written again.
 
 Defined results: null and empty texts have the end id alone; repeated rows are stored each, next to each other; null
-keys come first; an empty table gives files without blocks. Other columns are not read.
+keys come first; ids that are equally frequent are ranked by id; an empty table gives files without blocks; a very long
+text is one block of its own. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -17,7 +17,9 @@ Scoring is one pass without a shuffle. Input projections are computed once per d
 
 Defined results: texts without words (null, empty, blank) get the labelled rows' share of toxic ones as score; rows
 are independent, so repeated rows score equally; labels with null are not used; without any usable label of either
-kind every score is that share (0 if there are no labels at all).
+kind every score is that share (0 if there are no labels at all). An empty table gives no rows; very long texts are
+scored over all their windows; a score of exactly 0.5 (a tie) predicts 1, and of windows or labelled texts that tie the
+first by place or hash counts; only the key is carried, so other columns' names cannot clash.
 """
 
 from __future__ import annotations
