@@ -25,10 +25,6 @@ def flag(c: Column) -> Column:
     return F.lower(F.trim(c.cast("string"))).isin("true", "1", "1.0", "yes", "y", "t")
 
 
-def half_even(c: Column, places: int) -> Column:
-    """Rounding of ties to the even digit, as Python's round does where the value is exact."""
-    return F.bround(c, places)
-
 
 def elapsed_seconds(period: Column, left: Column) -> Column:
     """Game time that has passed: four periods of 720 s, then overtimes of 300 s."""

@@ -115,10 +115,6 @@ def event_name(kind: Column, description: Column) -> Column:
     return out.otherwise("")
 
 
-def alias_key(name: Column) -> Column:
-    """What event names are compared by: lower case without white space."""
-    return F.regexp_replace(F.lower(_text(name)), r"\s", "")
-
 
 def clean_text(value: Column) -> Column:
     """Trimmed text; '' for null, nan and none."""

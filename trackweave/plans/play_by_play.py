@@ -101,8 +101,3 @@ def windows(df: DataFrame, size: int = 20, stride: int = 5) -> DataFrame:
         "gameid", F.col("window_start").cast("int").alias("window_start"), F.transform("items", lambda x: x["event_type_id"].cast("int")).alias("event_type_id"),
         F.transform("items", lambda x: x["f"]).alias("num_features"), F.element_at("items", -1)["y"].alias("target"), F.lit(size).alias("seq_len"),
     )
-
-
-def sample_windows(df: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
-    """A random part of the windows: the sampling operator itself."""
-    return df if ratio >= 1 else df.sample(withReplacement=False, fraction=ratio, seed=seed)

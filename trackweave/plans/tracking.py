@@ -209,5 +209,5 @@ def fallback_tracks(rows: DataFrame, reach: float = 80.0, forget: int = 12) -> D
     kind = rows.schema["video"].dataType.simpleString()
     found = lost.select("video", "chunk", "frame", "row_id", "x_center", "y_center").groupBy("video", "chunk").applyInPandas(run, f"video {kind}, row_id long, track_id long")
     # ids are fresh within a chunk; its number makes them so within a video
-    part = lost.select("row_id", "chunk")
-    return found.join(part, "row_id").select("video", "row_id", (F.col("track_id") + F.col("chunk") * 1_000_000).alias("track_id"))
+    part = lost.select("video", "row_id", "chunk")
+    return found.join(part, ["video", "row_id"]).select("video", "row_id", (F.col("track_id") + F.col("chunk") * 1_000_000).alias("track_id"))

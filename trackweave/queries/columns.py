@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import profile, scalars, text
-from ..plans import court, possession, refiner, scoreboard
+from ..plans import court, play_by_play, possession, refiner, scoreboard
 from ..sources import tables
 from ..sources.tables import load
 from .registry import query
@@ -151,7 +151,8 @@ def team_sort_order(spark, sf_dir):
 def global_event_ids(spark, sf_dir):
     """Numbers over all events, by ranges instead of one sorted task."""
     e = load(spark, sf_dir, "events").select("event_id", "ts")
-    return tables.numbered(e, ["ts", "event_id"], "place").select("event_id", "place", F.format_string("E%05d", F.col("place").cast("int")).alias("name"))
+    named = tables.event_ids(e, ["ts", "event_id"], "name")
+    return named.select("event_id", F.substring("name", 2, 20).cast("long").alias("place"), "name")
 
 
 @query("SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 3")
@@ -323,3 +324,42 @@ def feature_windows(spark, sf_dir):
     return possession.feature_windows(f).select("video", "frame", F.round(total, 3).alias("total"))
 
 
+CLOCKS = ["7:41", "0741", "741", "12:59", "1300", "O1.30", "9:75", "x", "", "L2;05"]
+_LOOSE = f"regexp_replace(translate(upper(trim(({_list(CLOCKS)})[1 + event_id % 10])), 'OIL;.', '011::'), '[^0-9:]', '', 'g')"
+
+
+@query(f"WITH c AS (SELECT event_id, {_LOOSE} AS t FROM events), d AS (SELECT event_id, regexp_extract(CASE WHEN regexp_full_match(t, '[0-9]{{3,4}}') THEN t[1:length(t) - 2] || ':' || t[-2:] ELSE t END, '^([0-9]{{1,2}}):([0-9]{{1,2}})$', ['m', 's']) AS x FROM c) SELECT event_id, CASE WHEN TRY_CAST(x.m AS INT) <= 12 AND TRY_CAST(x.s AS INT) <= 59 THEN TRY_CAST(x.m AS INT) * 60 + TRY_CAST(x.s AS INT) END AS seconds FROM d")
+def lenient_clocks(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", text.lenient_clock_seconds(_pick(CLOCKS, F.col("event_id"))).alias("seconds"))
+
+
+@query("SELECT p_partkey, least(greatest(p_size * 50.0 - 300, 0), 1279) AS x, least(greatest(p_size * 30.0 - 100, 0), 719) AS y FROM part")
+def clamped_corners(spark, sf_dir):
+    corner = F.struct((F.col("p_size") * 50.0 - 300).alias("x"), (F.col("p_size") * 30.0 - 100).alias("y"))
+    inside = g.clamp_polygon(F.array(corner), 1280.0, 720.0)
+    return load(spark, sf_dir, "part").select("p_partkey", inside[0]["x"].alias("x"), inside[0]["y"].alias("y"))
+
+
+@query("SELECT n_nationkey::DOUBLE AS x, n_regionkey::DOUBLE AS y FROM nation")
+def court_config(spark, sf_dir):
+    """A polygon from a JSON object."""
+    path = tables.scratch(spark, "court")
+    points = load(spark, sf_dir, "nation").agg(F.to_json(F.struct(F.collect_list(F.array("n_nationkey", F.col("n_regionkey").cast("long"))).alias("polygon"))).alias("value"))
+    points.coalesce(1).write.text(path)
+    return spark.createDataFrame(tables.read_polygon(spark, path), "x double, y double")
+
+
+@query("""WITH r AS (SELECT user_id AS video, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * 0.5 AS t, event_id % 3 AS a, event_id % 2 AS b FROM events),
+v AS (SELECT video, a, b, count(*) AS n, min(t) AS first FROM r WHERE t <= 5 AND a > 0 GROUP BY ALL) SELECT video, a::INT AS team1_score, b::INT AS team2_score FROM v QUALIFY row_number() OVER (PARTITION BY video ORDER BY n DESC, first) = 1""")
+def majority_start(spark, sf_dir):
+    """The score read most often in a video's first five seconds."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    reads = load(spark, sf_dir, "events").select(F.col("user_id").alias("video"), (n * 0.5).alias("time_sec"), F.nullif((F.col("event_id") % 3).cast("int"), F.lit(0)).alias("team1_score"), (F.col("event_id") % 2).cast("int").alias("team2_score"))
+    return scoreboard.majority_start(reads)
+
+
+@query("SELECT l_orderkey AS gameid, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity < 5)")
+def sound_games(spark, sf_dir):
+    """Rows of games in which no row is bad."""
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("gameid"), "l_linenumber", "l_quantity")
+    return play_by_play.drop_games(rows, F.col("l_quantity") < 5).select("gameid", "l_linenumber")

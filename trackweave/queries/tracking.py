@@ -161,3 +161,10 @@ def board_timeline(spark, sf_dir):
     clock = F.format_string("%02d:%02d", F.floor((720 - F.col("k")) / 60).cast("int"), ((720 - F.col("k")) % 60).cast("int"))
     reads = e.select("video", F.col("k").cast("double").alias("time_sec"), F.when(~gone, a).cast("int").alias("team1_score"), F.when(~gone, b).cast("int").alias("team2_score"), F.lit("1ST").alias("quarter"), clock.alias("game_clock"))
     return follow_board(reads)
+
+
+@query()
+def fallback_tracks(spark, sf_dir):
+    """Track numbers for players that the detector did not follow."""
+    d = detections(spark, sf_dir).withColumns({"x_center": (F.col("x1") + F.col("x2")) / 2, "y_center": (F.col("y1") + F.col("y2")) / 2})
+    return tracking.fallback_tracks(d.withColumn("track_id", F.lit(-1).cast("long")))
