@@ -220,10 +220,10 @@ def body_false(p: Picture) -> Column:
 
 
 def false_balls(rows: DataFrame, p: Picture) -> DataFrame:
-    """(row_id, reason) of the balls that are part of a hoop or of a player's body."""
+    """(video, row_id, reason) of the balls that are part of a hoop or of a player's body."""
     balls = rows.where(F.col("class") == "ball")
-    hoop = _with_context(balls, rows, ("hoop",)).where(rim_false(p)).select("row_id", F.lit("hoop").alias("reason"))
-    body = _with_context(balls, rows, ("player", "person")).where(body_false(p)).select("row_id", F.lit("body").alias("reason"))
+    hoop = _with_context(balls, rows, ("hoop",)).where(rim_false(p)).select("video", "row_id", F.lit("hoop").alias("reason"))
+    body = _with_context(balls, rows, ("player", "person")).where(body_false(p)).select("video", "row_id", F.lit("body").alias("reason"))
     return hoop.union(body).distinct()
 
 
@@ -232,7 +232,7 @@ def near_context(balls: DataFrame, rows: DataFrame, p: Picture, reach: float = 1
     multiplies the usual margins."""
     margin = F.when(F.col("c_class") == "hoop", RESCUE_MARGIN["hoop"]).otherwise(RESCUE_MARGIN["player"]) * (p.scale * reach)
     hit = _with_context(balls.where(F.col("y_center") >= p.height * 0.08), rows, tuple(RESCUE_MARGIN)).where(inside_wider(F.col("x_center"), F.col("y_center"), _context_box(), margin))
-    return balls.join(hit.select("row_id").distinct(), "row_id", "left_semi")
+    return balls.join(hit.select("video", "row_id").distinct(), ["video", "row_id"], "left_semi").select(*balls.columns)
 
 
 # the candidates of a class
@@ -240,7 +240,7 @@ def near_context(balls: DataFrame, rows: DataFrame, p: Picture, reach: float = 1
 
 def ball_candidates(rows: DataFrame, p: Picture) -> DataFrame:
     """Balls of a plausible shape that are not part of a hoop or body, duplicates merged, the best of each frame."""
-    shaped = rows.where((F.col("class") == "ball") & ball_shaped(p)).join(false_balls(rows, p).select("row_id").distinct(), "row_id", "left_anti").select(*rows.columns)
+    shaped = rows.where((F.col("class") == "ball") & ball_shaped(p)).join(false_balls(rows, p).select("video", "row_id").distinct(), ["video", "row_id"], "left_anti").select(*rows.columns)
     return merged_balls(shaped).where(F.col("nth") < TOP_BALLS).drop("nth")
 
 

@@ -77,7 +77,7 @@ WHERE b.class = 'ball' AND ((c.class = 'hoop' AND {IN_RIM}) OR (c.class = 'playe
 
 @query(f"WITH {ROWS_SQL}, {FALSE_SQL} SELECT row_id, reason FROM fb")
 def false_balls(spark, sf_dir):
-    return cand.false_balls(rows(spark, sf_dir), PICTURE)
+    return cand.false_balls(rows(spark, sf_dir), PICTURE).select("row_id", "reason").distinct()
 
 
 @query(f"WITH {ROWS_SQL} SELECT DISTINCT b.row_id FROM r b JOIN r c USING (video, frame) WHERE b.class = 'ball' AND b.y_center >= 57.6 AND c.class IN ('hoop', 'player') AND b.x_center BETWEEN c.x1 - CASE c.class WHEN 'hoop' THEN 25 ELSE 18.5 END AND c.x2 + CASE c.class WHEN 'hoop' THEN 25 ELSE 18.5 END AND b.y_center BETWEEN c.y1 - CASE c.class WHEN 'hoop' THEN 25 ELSE 18.5 END AND c.y2 + CASE c.class WHEN 'hoop' THEN 25 ELSE 18.5 END")
