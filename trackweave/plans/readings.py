@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.tables import written
 
 # Bounds of a score and of its height, and what a region says about its items.
 MAX_SCORE, MIN_HEIGHT = 200, 12.0
@@ -111,7 +112,7 @@ def team_order(items: DataFrame) -> DataFrame:
 
 def regions(items: DataFrame) -> DataFrame:
     """One row for each sample with a score: the pair, quarter, clock, and how much the region looks like a board."""
-    found = distinct_numbers(numbers(items))
+    found = written(distinct_numbers(numbers(items)))  # read by several joins
     counts = found.groupBy("sample").agg(F.count("*").alias("_n"))
     out = score_pairs(found).join(counts, "sample").join(best_quarters(items), "sample", "left").join(best_clocks(items), "sample", "left")
     score = F.col("pair_score") + F.col("_n") * 1.5 + F.when(F.col("game_clock").isNotNull(), 8.0).otherwise(0.0) + F.when(F.col("quarter").isNotNull(), 6.0).otherwise(0.0)
