@@ -42,3 +42,18 @@ def test_entry_points():
     import __spark_entry__ as e
 
     assert set(QUERIES) <= set(e.queries()) and set(ORACLES) <= set(e.oracle_sql()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_nearest_in_group_odd_values(spark):
+    """Equal distances on both sides, copies, values one rounding apart, NaN, infinities and nulls: as all pairs say."""
+    from pyspark.sql import functions as F
+
+    from trackweave.operators import asof
+
+    bals = [0.0, -0.0, 1.0, 3.0, 3.0, 2.0, 0.3, 0.30000000000000004, 1000.0, float("nan"), float("inf"), float("-inf"), None]
+    left = spark.createDataFrame([(i * 20 + g, g, v) for i, v in enumerate(bals) for g in (1, 2, 3, 4)] + [(900, None, 1.0), (901, 9, 1.0)], "c long, g int, v double")
+    right = spark.createDataFrame([(100 - i, 1, v) for i, v in enumerate(bals)] + [(200 + i, 2, v) for i, v in enumerate((4.0, 2.0, 2.0, 0.0))] + [(300, 3, None), (301, 3, float("nan"))] + [(401, 4, None), (400, 4, None), (500, None, 1.0)], "s long, h int, w double")
+    got = asof.nearest_in_group(left, right, "g", "v", "h", "w", "s", "nearest")
+    away = F.abs(F.col("v") - F.col("w"))
+    every = left.join(right, F.col("g") == F.col("h")).groupBy("c").agg(F.min(F.struct(away.isNull().alias("n"), away.alias("a"), "s"))["s"].alias("nearest"))
+    assert sorted(map(tuple, got.select("c", "nearest").collect())) == sorted(map(tuple, every.collect()))

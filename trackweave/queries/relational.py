@@ -293,7 +293,8 @@ def nearest_in_range(spark, sf_dir):
 @query("SELECT c_custkey, arg_min(s_suppkey, (abs(c_acctbal - s_acctbal), s_suppkey)) AS nearest FROM customer JOIN supplier ON c_nationkey = s_nationkey GROUP BY c_custkey")
 def nearest_in_group(spark, sf_dir):
     c, s = load(spark, sf_dir, "customer"), load(spark, sf_dir, "supplier")
-    return c.join(s, c.c_nationkey == s.s_nationkey).groupBy("c_custkey").agg(F.min_by("s_suppkey", F.struct(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), "s_suppkey")).alias("nearest"))
+    near = asof.nearest_in_group(c.select("c_custkey", "c_nationkey", "c_acctbal"), s, "c_nationkey", "c_acctbal", "s_nationkey", "s_acctbal", "s_suppkey", "nearest")
+    return near.groupBy("c_custkey").agg(F.min_by("nearest", F.struct(F.col("nearest_away").isNull(), "nearest_away", "nearest")).alias("nearest"))
 
 
 @query("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < 1000")
