@@ -229,3 +229,13 @@ def test_windows_by_blocks_are_windows_by_rows(spark):
     for size, stride in ((6, 3), (6, 4), (4, 1)):
         got = sorted((r.g, r.window_start, r["items"]) for r in sequences.sliding_windows(rows, ["g"], ["i"], size, stride, F.col("i")).collect())
         assert got == sorted((g, s, list(range(s, s + size))) for g, n in (("a", 23), ("b", 4)) for s in range(0, n - size + 1, stride))
+
+
+def test_ball_quality_adds_in_the_order_of_its_sql(spark):
+    """A sum in another order differs in its last bit, which turns the order of near-equal balls."""
+    from trackweave.plans import candidates
+    from trackweave.queries.candidates import ball_quality_sql
+
+    rows = spark.createDataFrame([(q * d / 6, a, t / 2, 0.0, 0.0, w, h) for q in (7.0, 23.0, 50.0) for d in (0.01, 0.05, 0.07) for t in (0.01, 0.03, 0.05, 0.07) for a in (1, 2) for w, h in ((10.0, 11.0), (17.0, 13.0))], "confidence double, agreement int, bonus double, x1 double, y1 double, x2 double, y2 double")
+    both = rows.select(candidates.ball_quality().alias("ours"), F.expr(ball_quality_sql().replace("0.035", "0.035D").replace("0.08", "0.08D")).alias("theirs"))
+    assert both.where("ours <> theirs").count() == 0

@@ -110,8 +110,8 @@ def ball_quality(of=F.col) -> Column:
     """Of a row, or of a struct through `of`."""
     w, h = of("x2") - of("x1"), of("y2") - of("y1")
     aspect = F.abs(1 - w / F.greatest(h, F.lit(1.0)))
-    extra = 0.035 * F.greatest(of("agreement") - 1, F.lit(0)) + of("bonus")
-    return of("confidence") + extra - aspect * 0.08 - F.greatest(F.greatest(w * h, F.lit(1.0)) - 1600, F.lit(0.0)) / 8000
+    # added in this order, as near-equal sums decide ranks
+    return of("confidence") + 0.035 * F.greatest(of("agreement") - 1, F.lit(0)) + of("bonus") - aspect * 0.08 - F.greatest(F.greatest(w * h, F.lit(1.0)) - 1600, F.lit(0.0)) / 8000
 
 
 def hoop_quality(p: Picture) -> Column:
