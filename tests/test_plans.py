@@ -239,3 +239,22 @@ def test_ball_quality_adds_in_the_order_of_its_sql(spark):
     rows = spark.createDataFrame([(q * d / 6, a, t / 2, 0.0, 0.0, w, h) for q in (7.0, 23.0, 50.0) for d in (0.01, 0.05, 0.07) for t in (0.01, 0.03, 0.05, 0.07) for a in (1, 2) for w, h in ((10.0, 11.0), (17.0, 13.0))], "confidence double, agreement int, bonus double, x1 double, y1 double, x2 double, y2 double")
     both = rows.select(candidates.ball_quality().alias("ours"), F.expr(ball_quality_sql().replace("0.035", "0.035D").replace("0.08", "0.08D")).alias("theirs"))
     assert both.where("ours <> theirs").count() == 0
+
+
+def test_tracked_ball_searches_once(spark):
+    """Its searches are written, so no later join runs them again, and small groups are dealt over all partitions."""
+    from trackweave.queries import QUERIES
+
+    plan = QUERIES["tracked_ball"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" not in plan
+    rows = spark.createDataFrame([(v, f, 100.0 * v + f, 1.0, 0.5) for v in range(60) for f in range(5)], "video long, frame long, x_center double, y_center double, confidence double")
+    found = tracking.kalman(rows)
+    assert found.rdd.getNumPartitions() >= 4 and found.count() == 300
+    assert all(abs(r["fx"] - r["x_center"]) < 1e-9 for r in found.where("frame = 0").collect())
+
+
+def test_groups_of_batches():
+    import pandas as pd
+
+    batches = [pd.DataFrame({"k": a, "n": b}) for a, b in (([1, 1, 2], [0, 1, 2]), ([], []), ([2, 2], [3, 4]), ([3], [5]))]
+    assert [(g["k"][0], g["n"].tolist()) for g in tracking.groups(iter(batches), ["k"])] == [(1, [0, 1]), (2, [2, 3, 4]), (3, [5])]

@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by `keys`, or evenly, over all partitions. For steps whose work is more than their bytes tell: Spark puts
+    small partitions together, up to 64 MB, and some MB of numbers are minutes of a row-by-row function in one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, name: str = "island") -> DataFrame:
     """Number the runs of rows of each key; `starts` says of a row that it begins one (it may use lag over `order`)."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import sequences
+from ..sources.tables import written
+from . import tracking
 
 
 @dataclass(frozen=True)
@@ -122,15 +124,15 @@ def associate(candidates: DataFrame, links: Links = Links()) -> DataFrame:
     placed = candidates.where("x_center IS NOT NULL AND y_center IS NOT NULL AND frame IS NOT NULL")
     pieces = sequences.gap_islands(placed, ["video"], "frame", "row_id", max(1, links.restart_after), "_piece")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "good", "row_id"], ascending=[True, False, True])
-        found = best_path(*(pdf[c].to_numpy() for c in ("frame", "x_center", "y_center", "sure", "good")), links)
-        at = [i for i, _ in found]
-        return pdf.iloc[at][["video", "piece", "row_id"]].assign(segment=[s for _, s in found])
+    def run(group: dict) -> list[tuple]:
+        found = best_path(*(group[c] for c in ("frame", "x_center", "y_center", "sure", "good")), links)
+        name, piece, ids = None if pd.isna(group["video"][0]) else group["video"][0], group["piece"][0], group["row_id"]
+        return [(name, piece, ids[i], s) for i, s in found]
 
     video = candidates.schema["video"].dataType.simpleString()
     slim = pieces.select("video", F.col("_piece").alias("piece"), F.col("frame").cast("long").alias("frame"), "row_id", "x_center", "y_center", F.coalesce("confidence", F.lit(0.0)).alias("sure"), quality().alias("good"))
-    found = slim.groupBy("video", "piece").applyInPandas(run, f"video {video}, piece long, row_id long, segment long")
+    # read twice below, and the search is the work
+    found = written(tracking.per_group(slim, ["video", "piece"], ["frame", F.nanvl("good", F.lit(float("-inf"))).desc(), "row_id"], run, f"video {video}, piece long, row_id long, segment long"))
     w = Window.partitionBy("video").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     before = found.groupBy("video", "piece").agg((F.max("segment") + 1).alias("n")).select("video", "piece", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
     named = found.join(before, ["video", "piece"]).select("video", "row_id", (F.col("segment") + F.col("before")).alias("ball_segment"))

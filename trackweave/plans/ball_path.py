@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import sequences
+from . import tracking
 
 # The longest gap, points looked at on both sides, and bounds of gravity in pixels per frame and frame.
 MAX_GAP, SUPPORT, LEAST_PULL, MOST_PULL, USUAL_PULL, FLOOR = 18, 4, 0.05, 3.0, 0.8, 0.75
@@ -52,7 +53,7 @@ def fill(frames: np.ndarray, x: np.ndarray, y: np.ndarray, sure: np.ndarray, seg
         if 1 < right - left <= max_gap + 1 and segment[i] == segment[i - 1]:
             # earlier points, filled ones too, and the seen points after the gap
             known = [k for k in range(len(at)) if at[k] >= left - SUPPORT]
-            later = [k for k in range(i, len(frames)) if frames[k] <= right + SUPPORT]
+            later = slice(i, i + int(np.searchsorted(frames[i:], right + SUPPORT, "right")))
             local = pull_of(np.array([*(at[k] for k in known), *frames[later]]), np.array([*(ys[k] for k in known), *y[later]]))
             a = _bounded(local) if local is not None and abs(local) > 1e-9 else _bounded(pull)
             n, t = right - left, np.arange(1, right - left)
@@ -75,12 +76,12 @@ def parabolic(points: DataFrame, max_gap: int = MAX_GAP) -> DataFrame:
     pieces = sequences.gap_islands(points, ["video"], "frame", "row_id", max_gap + 1, "_piece").join(global_pull(points), "video")
     video = points.schema["video"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        made = fill(*(pdf[c].to_numpy() for c in ("frame", "x_center", "y_center", "confidence", "ball_segment")), float(pdf["pull"].iloc[0]), max_gap)
-        return pd.DataFrame(made, columns=["frame", "x_center", "y_center", "confidence", "estimated_gravity"]).assign(video=pdf["video"].iloc[0])
+    def run(group: dict) -> list[tuple]:
+        made = fill(*(group[c] for c in ("frame", "x_center", "y_center", "confidence", "ball_segment")), float(group["pull"][0]), max_gap)
+        name = None if pd.isna(group["video"][0]) else group["video"][0]
+        return [(name, *m) for m in made]
 
     slim = pieces.select("video", "_piece", F.col("frame").cast("long").alias("frame"), "x_center", "y_center", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce(F.col("ball_segment").cast("long"), F.lit(-1)).alias("ball_segment"), "pull")
-    made = slim.groupBy("video", "_piece").applyInPandas(run, f"video {video}, frame long, x_center double, y_center double, confidence double, estimated_gravity double")
+    made = tracking.per_group(slim, ["video", "_piece"], ["frame"], run, f"video {video}, frame long, x_center double, y_center double, confidence double, estimated_gravity double")
     seen = points.select("video", F.col("frame").cast("long").alias("frame"), "x_center", "y_center", "confidence", F.lit(None).cast("double").alias("estimated_gravity"), F.lit(False).alias("interpolated"))
     return seen.unionByName(made.withColumn("interpolated", F.lit(True)))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import sequences
 
 #: Fixed values of the rules: samples, seconds, points.
 CONFIRM, RESYNC, GONE_AFTER, CUT_AFTER = 2, 3, 3, 10
@@ -253,6 +254,6 @@ def board_timeline(reads: DataFrame) -> DataFrame:
 
     kind = reads.schema["video"].dataType.simpleString()
     rows = reads.select("video", "time_sec", "team1_score", "team2_score", text.quarter_number(text.quarter_text(F.col("quarter"))).alias("q"), text.clock_seconds(text.clock_text(F.col("game_clock"))).alias("c"))
-    got = rows.groupBy("video").applyInPandas(run, f"video {kind}, time_sec double, team1_score int, team2_score int, q int, c int")
+    got = sequences.dealt(rows, "video").groupBy("video").applyInPandas(run, f"video {kind}, time_sec double, team1_score int, team2_score int, q int, c int")
     quarter = F.when(F.col("q") == 5, "OT").when(F.col("q").isNotNull(), F.concat(F.col("q").cast("string"), F.lit("Q"))).otherwise(UNKNOWN)
     return got.select("video", text.analysis_time(F.col("time_sec")).alias("analysis_time"), "team1_score", "team2_score", quarter.alias("quarter"), F.coalesce(text.seconds_clock(F.col("c")), F.lit(UNKNOWN)).alias("game_clock"))

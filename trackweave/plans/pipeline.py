@@ -26,9 +26,10 @@ def tracked_ball(rows: DataFrame, max_gap: int = ball_path.MAX_GAP) -> DataFrame
     """One ball a frame: association over frames, short gaps filled by parabolas, a filter over all frames, and the
     player who hides it where it is only predicted."""
     balls = rows.where("class = 'ball'")
-    path = ball_path.parabolic(association.associate(balls), max_gap)
+    # each is read several times below, and the searches behind them are the work
+    path = written(ball_path.parabolic(written(association.associate(balls)), max_gap))
     spine = path.groupBy("video").agg(F.min("frame").alias("a"), F.max("frame").alias("b")).select("video", F.explode(F.sequence("a", "b")).alias("frame"))
-    filtered = tracking.kalman(spine.join(path.select("video", "frame", "x_center", "y_center", "confidence"), ["video", "frame"], "left"), gravity=ball_path.USUAL_PULL)
+    filtered = written(tracking.kalman(spine.join(path.select("video", "frame", "x_center", "y_center", "confidence"), ["video", "frame"], "left"), gravity=ball_path.USUAL_PULL))
     predicted = filtered.where("source = 'kalman_prediction'").select("video", "frame", F.col("frame").alias("row_id"), F.col("fx").alias("x_center"), F.col("fy").alias("y_center"))
     hidden = rims.occlusion(predicted, rows.where("class IN ('player', 'person')")).where("occluded").select("video", "frame", "occluded_by_track_id", "occlusion_distance")
     return filtered.join(hidden, ["video", "frame"], "left").withColumn("occluded", F.col("occlusion_distance").isNotNull())

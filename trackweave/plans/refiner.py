@@ -164,7 +164,7 @@ def gated(balls: DataFrame, limits: Limits) -> DataFrame:
 
     video = balls.schema["video"].dataType.simpleString()
     slim = balls.withColumns(flags).select("video", "row_id", "frame", "x_center", "y_center", *flags)
-    notes = slim.groupBy("video").applyInPandas(run, f"video {video}, row_id long, cleaning_note string, ball_segment int, motion_distance double, frame_gap int")
+    notes = sequences.dealt(slim, "video").groupBy("video").applyInPandas(run, f"video {video}, row_id long, cleaning_note string, ball_segment int, motion_distance double, frame_gap int")
     return balls.join(notes, ["video", "row_id"])
 
 
@@ -254,7 +254,7 @@ def without_jumps(rows: DataFrame, limits: Limits) -> DataFrame:
         return pdf.loc[keep, ["video", "frame"]]
 
     video = rows.schema["video"].dataType.simpleString()
-    kept = pieces.select("video", "_piece", F.col("frame").cast("long").alias("frame"), "x_center", "y_center").groupBy("video", "_piece").applyInPandas(run, f"video {video}, frame long")
+    kept = sequences.dealt(pieces.select("video", "_piece", F.col("frame").cast("long").alias("frame"), "x_center", "y_center"), "video", "_piece").groupBy("video", "_piece").applyInPandas(run, f"video {video}, frame long")
     return rows.join(kept, ["video", "frame"], "left_semi")
 
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import sequences
+
 #: How often a new score has to be read in a row, and the most it may rise by at once.
 CONFIRM, MAX_STEP = 2, 9
 
@@ -48,7 +50,7 @@ def confirmed_scores(reads: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["video", "side", "frame", "score"])
 
     kinds = {c: reads.schema[c].dataType.simpleString() for c in ("video", "side")}
-    return reads.select("video", "side", "frame", "observed").groupBy("video", "side").applyInPandas(run, f"video {kinds['video']}, side {kinds['side']}, frame long, score int")
+    return sequences.dealt(reads.select("video", "side", "frame", "observed"), "video", "side").groupBy("video", "side").applyInPandas(run, f"video {kinds['video']}, side {kinds['side']}, frame long, score int")
 
 
 def timeline(reads: DataFrame) -> DataFrame:
@@ -104,4 +106,4 @@ def score_changes(timeline_: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["video", "time_sec", "team1_score", "team2_score"])
 
     kind = timeline_.schema["video"].dataType.simpleString()
-    return timeline_.select("video", "time_sec", "team1_score", "team2_score").groupBy("video").applyInPandas(run, f"video {kind}, time_sec double, team1_score int, team2_score int")
+    return sequences.dealt(timeline_.select("video", "time_sec", "team1_score", "team2_score"), "video").groupBy("video").applyInPandas(run, f"video {kind}, time_sec double, team1_score int, team2_score int")

@@ -7,6 +7,8 @@ back can matter, so long videos are many groups.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,57 +35,118 @@ def chunked(rows: DataFrame, gap: int, name: str = "chunk") -> DataFrame:
 
 
 class BallFilter:
-    """A Kalman filter of place and velocity; gravity is a known acceleration of y."""
+    """A Kalman filter of place and velocity; gravity is a known acceleration of y. Both axes begin with the same
+    uncertainty and get the same noise and trust, so one 2 x 2 matrix (place, both, velocity) serves them, in plain numbers."""
 
     def __init__(self, process: float = 30.0, measurement: float = 12.0, gravity: float = 0.0, max_missing: int = 30):
-        self.measurement, self.max_missing = measurement, max_missing
-        self.step_matrix = np.eye(4) + np.eye(4, k=2)
-        half = np.vstack([np.eye(2) * 0.5, np.eye(2)])
-        self.noise = process * half @ half.T
-        self.push = np.array([0.0, gravity / 2, 0.0, gravity])
-        self.state: np.ndarray | None = None
-        self.spread, self.missing = np.zeros((4, 4)), 0
+        self.process, self.measurement, self.gravity, self.max_missing = process, measurement, gravity, max_missing
+        self.now: tuple[float, float, float, float] | None = None
+        self.spread, self.missing = (0.0, 0.0, 0.0), 0
+
+    @property
+    def state(self) -> np.ndarray | None:
+        """Place and velocity."""
+        return None if self.now is None else np.array(self.now)
 
     def start(self, x: float, y: float) -> None:
-        self.state, self.spread, self.missing = np.array([x, y, 0.0, 0.0]), np.diag([400.0, 400.0, 250.0, 250.0]), 0
+        self.now, self.spread, self.missing = (x, y, 0.0, 0.0), (400.0, 0.0, 250.0), 0
 
     def advance(self) -> bool:
         """One frame on; False if there is nothing to follow, or no more."""
-        if self.state is None:
+        if self.now is None:
             return False
-        self.state = self.step_matrix @ self.state + self.push
-        self.spread = self.step_matrix @ self.spread @ self.step_matrix.T + self.noise
+        x, y, vx, vy = self.now
+        p, b, v = self.spread
+        self.now = (x + vx, y + vy + self.gravity / 2, vx, vy + self.gravity)
+        self.spread = (p + 2 * b + v + self.process / 4, b + v + self.process / 2, v + self.process)
         self.missing += 1
         if self.missing > self.max_missing:
-            self.state = None
-        return self.state is not None
+            self.now = None
+        return self.now is not None
 
     def see(self, x: float, y: float, confidence: float | None) -> None:
         """A measurement; little confidence makes it count less."""
         if not self.advance():
             self.start(x, y)
             return
-        trust = 1.0 if confidence is None or np.isnan(confidence) else min(1.0, max(0.05, confidence))
-        gain = np.linalg.solve((self.spread[:2, :2] + np.eye(2) * self.measurement**2 / trust).T, self.spread[:, :2].T).T
-        self.state = self.state + gain @ (np.array([x, y]) - self.state[:2])
-        self.spread = self.spread - gain @ self.spread[:2]
+        trust = 1.0 if confidence is None or confidence != confidence else min(1.0, max(0.05, confidence))
+        p, b, v = self.spread
+        of_all = p + self.measurement**2 / trust
+        place, speed = p / of_all, b / of_all
+        px, py, vx, vy = self.now
+        dx, dy = x - px, y - py
+        self.now = (px + place * dx, py + place * dy, vx + speed * dx, vy + speed * dy)
+        self.spread = (p - place * p, b - place * b, v - speed * b)
         self.missing = 0
 
 
-def follow(frames: pd.DataFrame, ball: BallFilter) -> pd.DataFrame:
-    """Run the filter over the frames in order; rows without x_center are predicted."""
+def follow(frames: pd.DataFrame, ball: BallFilter, starts: np.ndarray | None = None) -> pd.DataFrame:
+    """Run the filter over the frames in order; rows without x_center are predicted, and it begins anew at `starts`."""
     out = []
-    for x, y, c in zip(frames["x_center"], frames["y_center"], frames["confidence"], strict=True):
-        seen = not (pd.isna(x) or pd.isna(y))
+    x, y, c = (frames[n].to_numpy(float, na_value=np.nan).tolist() for n in ("x_center", "y_center", "confidence"))
+    anew = [False] * len(x) if starts is None else starts.tolist()
+    for x, y, c, new in zip(x, y, c, anew, strict=True):
+        if new:
+            ball.now = None
+        seen = x == x and y == y
         if seen:
-            ball.see(float(x), float(y), None if pd.isna(c) else float(c))
+            ball.see(x, y, c)
         elif not ball.advance():
             out.append((None, None, None, None, None, 0))
             continue
-        out.append((*(float(v) for v in ball.state), "kalman_update" if seen else "kalman_prediction", ball.missing))
+        out.append((*ball.now, "kalman_update" if seen else "kalman_prediction", ball.missing))
     return pd.DataFrame(out, columns=["fx", "fy", "vx", "vy", "source", "missing_frames"], index=frames.index)
 
 
+def turns(pdf: pd.DataFrame, keys: list[str], before: tuple | None) -> tuple[np.ndarray, tuple | None]:
+    """Which rows have other keys than the row before them (`before` for the first), and the last row's keys; nulls are
+    equal. For rows of sorted partitions, which come in batches."""
+    if not len(pdf):
+        return np.zeros(0, bool), before
+    new = np.zeros(len(pdf), bool)
+    for k in keys:
+        v, gone = pdf[k].to_numpy(), pd.isna(pdf[k]).to_numpy()
+        new[1:] |= (v[1:] != v[:-1]) & ~(gone[1:] & gone[:-1])
+    at = lambda i: tuple(None if pd.isna(v) else v for v in (pdf[k].iloc[i] for k in keys))
+    new[0] = before is None or at(0) != before
+    return new, at(-1)
+
+
+def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """The runs of rows with equal keys in the batches of a sorted partition, as arrays by column."""
+    held, before = [], None
+    joined = lambda: {c: np.concatenate([h[c] for h in held]) if len(held) > 1 else held[0][c] for c in held[0]}
+    for pdf in batches:
+        new, before = turns(pdf, keys, before)
+        arrays = {c: pdf[c].to_numpy() for c in pdf.columns}
+        cuts = sorted({0, *np.flatnonzero(new).tolist(), len(pdf)})
+        for a, b in zip(cuts, cuts[1:]):
+            if new[a] and held:
+                yield joined()
+                held = []
+            held.append({c: v[a:b] for c, v in arrays.items()})
+    if held:
+        yield joined()
+
+
+def per_group(rows: DataFrame, keys: list[str], order: list, run, schema: str) -> DataFrame:
+    """What `run` gives, as a list of tuples, for the arrays of each group, in `order`. Groups are read from sorted
+    partitions and results are put together in batches, so many small groups cost what their rows cost."""
+    names = [f.name for f in rows.sparkSession.createDataFrame([], schema).schema]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for group in groups(batches, keys):
+            out += run(group)
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    return sequences.dealt(rows, *keys).sortWithinPartitions(*keys, *order).mapInPandas(each, schema)
+
+
 def kalman(frames: DataFrame, process: float = 30.0, measurement: float = 12.0, gravity: float = 0.0, max_missing: int = 30) -> DataFrame:
     """frames(video, frame, x_center, y_center, confidence), one row a frame, null where nothing was seen. A video is
     cut after more than max_missing empty frames, where the filter starts anew anyway."""
@@ -93,13 +156,15 @@ def kalman(frames: DataFrame, process: float = 30.0, measurement: float = 12.0,
     starts = F.col("x_center").isNotNull() & ((F.col("frame") - before > max_missing + 1) | before.isNull())
     rows = sequences.islands(frames, ["video"], ["frame"], starts, "chunk")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame").reset_index(drop=True)
-        found = follow(pdf, BallFilter(process, measurement, gravity, max_missing))
-        return pd.concat([pdf[["video", "frame", "x_center", "y_center", "confidence"]], found], axis=1)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ball, before = BallFilter(process, measurement, gravity, max_missing), None
+        for pdf in batches:
+            starts, before = turns(pdf, ["video", "chunk"], before)
+            yield pd.concat([pdf[["video", "frame", "x_center", "y_center", "confidence"]], follow(pdf, ball, starts)], axis=1)
 
     schema = f"video {frames.schema['video'].dataType.simpleString()}, frame long, x_center double, y_center double, confidence double, fx double, fy double, vx double, vy double, source string, missing_frames int"
-    return rows.select("video", "chunk", F.col("frame").cast("long").alias("frame"), "x_center", "y_center", "confidence").groupBy("video", "chunk").applyInPandas(run, schema)
+    slim = rows.select("video", "chunk", F.col("frame").cast("long").alias("frame"), "x_center", "y_center", "confidence")
+    return sequences.dealt(slim, "video", "chunk").sortWithinPartitions("video", "chunk", "frame").mapInPandas(run, schema)
 
 
 # windows
@@ -172,7 +237,7 @@ def two_teams(features: DataFrame) -> DataFrame:
         return pdf[["video", "track_id"]].assign(team_id=np.where(label == lighter, "1", "2"))
 
     kind = features.schema["video"].dataType.simpleString()
-    return features.groupBy("video").applyInPandas(run, f"video {kind}, track_id long, team_id string")
+    return sequences.dealt(features, "video").groupBy("video").applyInPandas(run, f"video {kind}, track_id long, team_id string")
 
 
 def teams_by_place(rows: DataFrame) -> DataFrame:
@@ -187,27 +252,31 @@ def fallback_tracks(rows: DataFrame, reach: float = 80.0, forget: int = 12) -> D
     """Track ids for untracked players: greedy one-to-one matching by distance to tracks seen in the last frames, else
     a new id. (video, row_id, track_id)"""
 
-    def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame] | pd.DataFrame:
+    def run(group: dict[str, np.ndarray]) -> list[tuple]:
         tracks: dict[int, tuple[int, float, float]] = {}
-        fresh, out = 100_000, []
-        for frame, now in pdf.sort_values(["frame", "row_id"]).groupby("frame", sort=True):
+        fresh, out, video = 100_000, [], group["video"][0]
+        video = None if pd.isna(video) else video
+        # fresh within a chunk; its number makes ids so within a video
+        above = int(group["chunk"][0]) * 1_000_000
+        rows_ = zip(*(group[c].tolist() for c in ("frame", "row_id", "x_center", "y_center")), strict=True)
+        for frame, now in itertools.groupby(rows_, key=lambda r: r[0]):
             tracks = {t: v for t, v in tracks.items() if frame - v[0] <= forget}
-            rows_ = list(zip(now["row_id"], now["x_center"], now["y_center"], strict=True))
-            pairs = sorted((float(np.hypot(x - v[1], y - v[2])), n, t) for n, (_, x, y) in enumerate(rows_) for t, v in tracks.items())
+            now = list(now)
+            near = ((math.hypot(x - v[1], y - v[2]), n, t) for n, (_, _, x, y) in enumerate(now) for t, v in tracks.items())
             taken: dict[int, int] = {}
-            for away, n, t in pairs:
-                if away <= reach and n not in taken and t not in taken.values():
+            used: set[int] = set()
+            for _, n, t in sorted(p for p in near if p[0] <= reach):
+                if n not in taken and t not in used:
                     taken[n] = t
-            for n, (row, x, y) in enumerate(rows_):
+                    used.add(t)
+            for n, (_, row, x, y) in enumerate(now):
                 if n not in taken:
                     taken[n], fresh = fresh, fresh + 1
-                tracks[taken[n]] = (int(frame), float(x), float(y))
-                out.append((pdf["video"].iloc[0], row, taken[n]))
-        return pd.DataFrame(out, columns=["video", "row_id", "track_id"])
+                tracks[taken[n]] = (frame, x, y)
+                out.append((video, row, taken[n] + above))
+        return out
 
     lost = chunked(rows.where("class = 'player' AND track_id < 0"), forget)
     kind = rows.schema["video"].dataType.simpleString()
-    found = lost.select("video", "chunk", "frame", "row_id", "x_center", "y_center").groupBy("video", "chunk").applyInPandas(run, f"video {kind}, row_id long, track_id long")
-    # ids are fresh within a chunk; its number makes them so within a video
-    part = lost.select("video", "row_id", "chunk")
-    return found.join(part, ["video", "row_id"]).select("video", "row_id", (F.col("track_id") + F.col("chunk") * 1_000_000).alias("track_id"))
+    slim = lost.select("video", "chunk", "frame", "row_id", "x_center", "y_center")
+    return per_group(slim, ["video", "chunk"], ["frame", "row_id"], run, f"video {kind}, row_id long, track_id long")

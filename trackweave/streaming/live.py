@@ -36,11 +36,10 @@ def filter_ball(frames: DataFrame, process: float = 30.0, measurement: float = 1
         if state.exists:
             place, spread, missing = state.get
             if place:
-                ball.state, ball.missing = pd.Series(place).to_numpy(float), missing
-                ball.spread = pd.Series(spread).to_numpy(float).reshape(4, 4)
+                ball.now, ball.spread, ball.missing = tuple(map(float, place)), tuple(map(float, spread)), missing
         pdf = pd.concat(list(batches)).sort_values("frame").reset_index(drop=True)
         found = follow(pdf, ball)
-        state.update(([] if ball.state is None else ball.state.tolist(), ball.spread.ravel().tolist(), int(ball.missing)))
+        state.update(([] if ball.now is None else list(ball.now), list(ball.spread), ball.missing))
         yield pd.DataFrame({"video": key[0], "frame": pdf["frame"], "x": found["fx"].astype(float), "y": found["fy"].astype(float), "source": found["source"]})
 
     return frames.groupBy("video").applyInPandasWithState(run, "video string, frame long, x double, y double, source string", "place array<double>, spread array<double>, missing int", "append", GroupStateTimeout.NoTimeout)
