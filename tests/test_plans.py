@@ -258,3 +258,13 @@ def test_groups_of_batches():
 
     batches = [pd.DataFrame({"k": a, "n": b}) for a, b in (([1, 1, 2], [0, 1, 2]), ([], []), ([2, 2], [3, 4]), ([3], [5]))]
     assert [(g["k"][0], g["n"].tolist()) for g in tracking.groups(iter(batches), ["k"])] == [(1, [0, 1]), (2, [2, 3, 4]), (3, [5])]
+
+
+def test_farthest_pair_in_bounded_memory():
+    r = np.random.default_rng(0)
+    for n in (1, 2, 30, 57):
+        for x in (r.normal(size=(n, 3)), r.integers(0, 3, (n, 3)).astype(float), np.repeat(r.normal(size=(n, 3)), 2, 0)):
+            apart = ((x[:, None] - x[None]) ** 2).sum(2)
+            assert tracking.farthest_pair(x, 50) == np.unravel_index(apart.argmax(), apart.shape)
+    x = r.normal(size=(60_000, 3))  # all pairs would be 86 GB
+    assert len(set(tracking.farthest_pair(x))) == 2

@@ -218,15 +218,39 @@ def fill_path(rows: DataFrame, max_gap: int = 5) -> DataFrame:
 # teams and tracks
 
 
+def farthest_pair(x: np.ndarray, block: int = 1 << 20) -> tuple[int, int]:
+    """Rows of the two points of greatest squared distance, of several pairs the first in order of rows. Copies count once,
+    and only points so far from the middle that they can be in such a pair are compared, in blocks of `block` pairs."""
+    finite = bool(np.isfinite(x).all())
+    at = np.arange(len(x))
+    if finite and len(x) > 2:
+        at = np.sort(np.unique(x, axis=0, return_index=True)[1])
+        out = np.sqrt(((x[at] - x[at].mean(0)) ** 2).sum(1))
+        end = x[at[out.argmax()]]
+        for _ in range(3):  # some far pair
+            away = np.sqrt(((x[at] - end) ** 2).sum(1))
+            least, end = away.max(), x[at[away.argmax()]]
+        # 1e-9: more than rounding can be
+        at = at[out + out.max() >= least * (1 - 1e-9)] if np.isfinite(least) else at
+    best, most, step = (0, 0), -1.0, max(1, block // max(1, len(at)))
+    for a in range(0, len(at), step):
+        apart = ((x[at[a : a + step], None] - x[None, at]) ** 2).sum(2)
+        i, j = np.unravel_index(apart.argmax(), apart.shape)
+        if apart[i, j] > most or np.isnan(apart[i, j]):
+            best, most = (int(at[a + i]), int(at[j])), apart[i, j]
+        if np.isnan(most):
+            break
+    return best
+
+
 def two_teams(features: DataFrame) -> DataFrame:
     """features(video, track_id, l, a, b) -> team_id: two clusters of colours from the farthest pair, the lighter one
-    is team 1. A video has some dozens of tracks."""
+    is team 1."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("track_id").reset_index(drop=True)
         x = pdf[["l", "a", "b"]].to_numpy(float)
-        apart = ((x[:, None] - x[None]) ** 2).sum(2)
-        centres = x[list(np.unravel_index(apart.argmax(), apart.shape))]
+        centres = x[list(farthest_pair(x))]
         for _ in range(30):
             label = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
             moved = np.stack([x[label == k].mean(0) if (label == k).any() else centres[k] for k in (0, 1)])
