@@ -268,3 +268,10 @@ def test_farthest_pair_in_bounded_memory():
             assert tracking.farthest_pair(x, 50) == np.unravel_index(apart.argmax(), apart.shape)
     x = r.normal(size=(60_000, 3))  # all pairs would be 86 GB
     assert len(set(tracking.farthest_pair(x))) == 2
+
+
+def test_polygons_are_computed_once(spark):
+    """An inner polygon occurs once in the expressions over it."""
+    poly = F.expr("array(struct(double(id) AS x, 0D AS y), struct(4D AS x, 0D AS y), struct(0D AS x, 3D AS y))")
+    for c in (geometry.polygon_area(poly), geometry.expand_polygon(poly, 2.0), geometry.hull(poly)):
+        assert spark.range(1).select(c.alias("c"))._jdf.queryExecution().optimizedPlan().expressions().toString().count("cast(id") == 1

@@ -84,14 +84,24 @@ def anchor(kind: Column, box: Box) -> tuple[Column, Column]:
     return (l + r) / 2, F.when(F.lower(kind).isin("player", "referee", "person"), b).otherwise((t + b) / 2)
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed once: an expression that occurs n times in a function of arrays is computed n
+    times, and nested ones multiply."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def polygon(points: list[tuple[float, float]]) -> Column:
     return F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points))
 
 
 def edges(poly: Column) -> Column:
     """array<struct<a, b>> of a polygon's edges, the closing one too."""
-    shifted = F.concat(F.slice(poly, 2, F.greatest(F.size(poly) - 1, F.lit(0))), F.slice(poly, 1, 1))
-    return F.transform(F.arrays_zip(poly.alias("a"), shifted.alias("b")), lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b")))
+
+    def pairs(p: Column) -> Column:
+        shifted = F.concat(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 1, 1))
+        return F.transform(F.arrays_zip(p.alias("a"), shifted.alias("b")), lambda e: F.struct(e["a"].alias("a"), e["b"].alias("b")))
+
+    return once(poly, pairs)
 
 
 def segment_distance(x: Column, y: Column, edge: Column) -> Column:
@@ -133,10 +143,13 @@ def scale_polygon(poly: Column, width: Column | float, height: Column | float) -
 
 def expand_polygon(poly: Column, factor: float) -> Column:
     """Away from the mean of the corners."""
-    n = F.size(poly)
-    cx = F.aggregate(F.transform(poly, lambda p: p["x"]), F.lit(0.0), lambda a, v: a + v) / n
-    cy = F.aggregate(F.transform(poly, lambda p: p["y"]), F.lit(0.0), lambda a, v: a + v) / n
-    return F.transform(poly, lambda p: F.struct((cx + (p["x"] - cx) * factor).alias("x"), (cy + (p["y"] - cy) * factor).alias("y")))
+
+    def grown(p: Column) -> Column:
+        mean = lambda c: F.aggregate(p, F.lit(0.0), lambda a, v: a + v[c]) / F.size(p)
+        wider = lambda m: F.transform(p, lambda v: F.struct((m["x"] + (v["x"] - m["x"]) * factor).alias("x"), (m["y"] + (v["y"] - m["y"]) * factor).alias("y")))
+        return once(F.struct(mean("x").alias("x"), mean("y").alias("y")), wider)
+
+    return once(poly, grown)
 
 
 def clamp_polygon(poly: Column, width: float, height: float) -> Column:
@@ -158,6 +171,5 @@ def hull(poly: Column) -> Column:
 
         return F.aggregate(items, F.array().cast(kind), push)
 
-    lower, upper = chain(points), chain(F.reverse(points))
-    drop_last = lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))
-    return F.when(F.size(points) < 3, points).otherwise(F.concat(drop_last(lower), drop_last(upper)))
+    drop_last = lambda c: once(c, lambda v: F.slice(v, F.lit(1), F.greatest(F.size(v) - 1, F.lit(0))))
+    return once(points, lambda p: F.when(F.size(p) < 3, p).otherwise(F.concat(drop_last(chain(p)), drop_last(chain(F.reverse(p))))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import profile, scalars, text
+from ..operators import sequences
 from ..plans import court, play_by_play, possession, refiner, scoreboard
 from ..sources import tables
 from ..sources.tables import load
@@ -225,7 +226,9 @@ def polygon_areas(spark, sf_dir):
     corner = lambda x, y: F.struct(F.lit(x).cast("double").alias("x") if not hasattr(x, "alias") else x.alias("x"), y.alias("y"))
     # two triangles on the base from 0 to s: heights 80 + k below and 40 above
     poly = F.array(corner(F.lit(0.0), F.lit(0.0)), corner(s / 2, -(80 + k)), corner(s, F.lit(0.0)), corner(s / 3, F.lit(40.0)))
-    return load(spark, sf_dir, "part").select("p_partkey", F.round(g.polygon_area(poly), 4).alias("area"), F.round(g.polygon_area(g.expand_polygon(poly, 1.5)), 4).alias("wider"), F.round(g.polygon_area(g.hull(F.concat(poly, F.array(corner(s / 2, F.lit(1.0)))))), 4).alias("hull"))
+    # a part is a few bytes and much arithmetic
+    parts = sequences.dealt(load(spark, sf_dir, "part").select("p_partkey", "p_size"))
+    return parts.select("p_partkey", F.round(g.polygon_area(poly), 4).alias("area"), F.round(g.polygon_area(g.expand_polygon(poly, 1.5)), 4).alias("wider"), F.round(g.polygon_area(g.hull(F.concat(poly, F.array(corner(s / 2, F.lit(1.0)))))), 4).alias("hull"))
 
 
 # assignments and segments
