@@ -275,3 +275,14 @@ def test_polygons_are_computed_once(spark):
     poly = F.expr("array(struct(double(id) AS x, 0D AS y), struct(4D AS x, 0D AS y), struct(0D AS x, 3D AS y))")
     for c in (geometry.polygon_area(poly), geometry.expand_polygon(poly, 2.0), geometry.hull(poly)):
         assert spark.range(1).select(c.alias("c"))._jdf.queryExecution().optimizedPlan().expressions().toString().count("cast(id") == 1
+
+
+def test_readings_work_each_text_out_once(spark):
+    """No regular expression of a reading is repeated in the plan, neither for branches nor for a filter put before."""
+    from trackweave.plans import readings
+
+    schema = "sample long, row_id long, raw string, conf double, x double, y double, width double, height double, team string, roi string"
+    items = spark.createDataFrame([(1, 1, "102:98", 0.9, 10.0, 5.0, 40.0, 20.0, "", "score_numbers"), (1, 2, "10298", 0.9, 200.0, 5.0, 40.0, 20.0, None, "other"), (1, 3, None, 0.9, 1.0, 1.0, 1.0, 20.0, "", "other"), (1, 4, "3rd", 0.9, 1.0, 1.0, 1.0, 20.0, "", "other")], schema)
+    found = readings.numbers(items)
+    assert sorted((r.row_id, r.part, r.value, r.x) for r in found.collect()) == [(1, 0, 102, 0.0), (1, 1, 98, 20.0), (2, 2, 102, 190.0), (2, 3, 98, 210.0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("[^0-9A-Z]") == 1

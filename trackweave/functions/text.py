@@ -38,28 +38,50 @@ def strict_iso_clock(clock: Column) -> Column:
     return F.when(value.isNull(), F.raise_error(F.concat(F.lit("unreadable clock: "), clock)).cast("double")).otherwise(value)
 
 
-def quarter_text(text: Column) -> Column:
-    """A quarter reading as 1Q to 4Q or OT, '' if it is none. Ordinal endings win over other forms."""
+def quarter_key(text: Column) -> Column:
+    """What a quarter is told by: letters and digits, usual misreadings put right."""
     t = F.regexp_replace(F.upper(_text(text)), "[^0-9A-Z]", "")
-    t = F.replace(F.replace(F.replace(t, F.lit("OQ"), F.lit("0Q")), F.lit("5T"), F.lit("ST")), F.lit("S1"), F.lit("ST"))
+    return F.replace(F.replace(F.replace(t, F.lit("OQ"), F.lit("0Q")), F.lit("5T"), F.lit("ST")), F.lit("S1"), F.lit("ST"))
+
+
+def quarter_of(t: Column) -> Column:
+    """The quarter of a quarter_key. It looks at the key several times, so the key is best a column of its own."""
     out = F.when(t.endswith("ST"), "1Q").when(t.endswith("ND"), "2Q").when(t.endswith("RD"), "3Q").when(t.endswith("TH"), "4Q")
     return out.when(t.rlike("^[1-4]Q$"), t).when(t.isin("OT", "0T"), "OT").otherwise("")
 
 
+def quarter_text(text: Column) -> Column:
+    """A quarter reading as 1Q to 4Q or OT, '' if it is none. Ordinal endings win over other forms."""
+    return quarter_of(quarter_key(text))
+
+
 def quarter_number(quarter: Column) -> Column:
     """1 to 4, 5 for overtime, else null."""
     t = F.upper(F.trim(_text(quarter)))
     return F.when(t.rlike("^[1-4]Q$"), F.substring(t, 1, 1).try_cast("int")).when(t == "OT", 5)
 
 
-def clock_text(text: Column) -> Column:
-    """A clock reading as MM:SS of at most 15:59, '' if it is none; look-alike letters and separators are read as meant."""
-    t = F.translate(F.upper(F.trim(_text(text))), "OIL|;.", "011:::")
+def clock_key(text: Column) -> Column:
+    """A reading with look-alike letters and separators of a clock as they are meant."""
+    return F.translate(F.upper(F.trim(_text(text))), "OIL|;.", "011:::")
+
+
+def clock_numbers(t: Column) -> tuple[Column, Column]:
+    """Minutes and seconds in a clock_key, null without."""
     pattern = r"(\d{1,2})\s*:\s*(\d{2})"
-    m, s = (F.regexp_extract(t, pattern, g).try_cast("int") for g in (1, 2))
+    return tuple(F.when(t.contains(":"), F.regexp_extract(t, pattern, g).try_cast("int")) for g in (1, 2))
+
+
+def clock_of(m: Column, s: Column) -> Column:
+    """The clock of clock_numbers."""
     return F.when((m <= 15) & (s <= 59), F.concat(F.lpad(m.cast("string"), 2, "0"), F.lit(":"), F.lpad(s.cast("string"), 2, "0"))).otherwise("")
 
 
+def clock_text(text: Column) -> Column:
+    """A clock reading as MM:SS of at most 15:59, '' if it is none; look-alike letters and separators are read as meant."""
+    return clock_of(*clock_numbers(clock_key(text)))
+
+
 def clock_seconds(clock: Column) -> Column:
     """Seconds of M:SS or MM:SS of at most 15:59, else null."""
     t = F.trim(_text(clock))

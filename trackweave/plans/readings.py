@@ -24,29 +24,40 @@ def _number(t: Column) -> Column:
     return t.try_cast("int")
 
 
+def read(items: DataFrame) -> DataFrame:
+    """items with _compact, _digits, _quarter and _clock. Step by step, so that each text is worked out once: Spark does
+    not merge projections that would repeat a function, but repeats what stands in one expression several times."""
+    upper = items.withColumn("_upper", F.upper(F.coalesce("raw", F.lit(""))))
+    keys = upper.withColumns({"_compact": F.replace("_upper", F.lit(" "), F.lit("")), "_digits": text.digits(F.col("_upper")), "_q": text.quarter_key(F.col("_upper")), "_c": text.clock_key(F.col("_upper"))})
+    minutes, seconds = text.clock_numbers(F.col("_c"))
+    parts = keys.withColumns({"_m": minutes, "_s": seconds})
+    return parts.withColumns({"_quarter": text.quarter_of(F.col("_q")), "_clock": text.clock_of(F.col("_m"), F.col("_s"))}).drop("_upper", "_q", "_c", "_m", "_s")
+
+
 def numbers(items: DataFrame) -> DataFrame:
     """(sample, row_id, part, value, ...): the numbers that items may hold. `a:b` or `a|b` gives two, as do four to six
     digits that stand together (five in both ways); teams, quarters, clocks and words give none."""
-    raw = F.coalesce(F.col("raw"), F.lit(""))
-    compact = F.replace(F.upper(raw), F.lit(" "), F.lit(""))
-    plain = (F.coalesce("team", F.lit("")) == "") & (text.quarter_text(raw) == "") & (text.clock_text(raw) == "") & ~compact.rlike("^[A-Z]+$")
+    compact, digits, n = F.col("_compact"), F.col("_digits"), F.length("_digits")
+    plain = (F.coalesce("team", F.lit("")) == "") & (F.col("_quarter") == "") & (F.col("_clock") == "") & ~compact.rlike("^[A-Z]+$")
     pair = r"^\s*([0-9A-Z]{1,3})\s*[:|]\s*([0-9A-Z]{1,3})\s*$"
-    digits = text.digits(raw)
-    n = F.length(digits)
-
-    def two(left: Column, right: Column) -> Column:
-        a, b = _number(left), _number(right)
-        fits = left.rlike(r"^\d{1,3}$") & right.rlike(r"^\d{1,3}$") & (a <= MAX_SCORE) & (b <= MAX_SCORE)
-        side = lambda v, part, at: F.struct(v.alias("value"), F.lit(part).alias("part"), (F.col("x") + F.col("width") * at).alias("x"), (F.col("width") / 2).alias("width"))
-        return F.when(fits, F.array(side(a, 0, -0.25), side(b, 1, 0.25))).otherwise(none)
-
+    side = lambda v, part, at: F.struct(v.alias("value"), F.lit(part).alias("part"), (F.col("x") + F.col("width") * at).alias("x"), (F.col("width") / 2).alias("width"))
+    halves = lambda first, *ab: [side(_number(v), first + i, at) for i, (v, at) in enumerate(zip(ab, (-0.25, 0.25), strict=True))]
+    cut = lambda at: (F.substring(digits, F.lit(1), at), F.substring(digits, at + 1, n - at))
     none = F.array().cast("array<struct<value:int,part:int,x:double,width:double>>")
-    cut = lambda at: two(F.substring(digits, F.lit(1), at), F.substring(digits, at + 1, n - at))
-    both = F.concat(cut(F.lit(2)), F.transform(cut(F.lit(3)), lambda s: s.withField("part", s["part"] + 2)))
-    one = F.when((_number(digits) <= MAX_SCORE) & (F.col("height") >= MIN_HEIGHT), F.array(F.struct(_number(digits).alias("value"), F.lit(0).alias("part"), F.col("x").alias("x"), F.col("width").alias("width")))).otherwise(none)
-    parts = F.when(~plain, none).when(compact.rlike(pair), two(text.digits(F.regexp_extract(compact, pair, 1)), text.digits(F.regexp_extract(compact, pair, 2))))
-    parts = parts.when(n == 5, both).when(n.between(4, 6), cut(F.floor(n / 2).cast("int"))).when(n.between(1, 3), one).otherwise(none)
-    found = items.select("sample", "row_id", "conf", "y", "height", "roi", F.explode(parts).alias("p"))
+    # texts first, each once; which of them are whole scores is told after that
+    middle = F.when(n == 5, F.lit(2)).otherwise(F.floor(n / 2)).cast("int")
+    rows = read(items).withColumns({"_plain": plain, "_paired": plain & compact.rlike(pair)})
+    paired, alone = F.col("_paired"), F.col("_plain") & ~F.col("_paired") & n.between(4, 6)
+    texts = {"_a": F.when(paired, text.digits(F.regexp_extract(compact, pair, 1))).when(alone, cut(middle)[0]), "_b": F.when(paired, text.digits(F.regexp_extract(compact, pair, 2))).when(alone, cut(middle)[1])}
+    texts |= {"_a3": F.when(alone & (n == 5), cut(F.lit(3))[0]), "_b3": F.when(alone & (n == 5), cut(F.lit(3))[1])}
+    rows = rows.withColumns(texts)
+    whole = lambda t: F.col(t).rlike(r"^\d{1,3}$") & (_number(F.col(t)) <= MAX_SCORE)
+    single = F.col("_plain") & ~paired & n.between(1, 3) & (_number(digits) <= MAX_SCORE) & (F.col("height") >= MIN_HEIGHT)
+    one = F.struct(_number(digits).alias("value"), F.lit(0).alias("part"), F.col("x").alias("x"), F.col("width").alias("width"))
+    two, three = (F.when(whole(a) & whole(b), F.array(*halves(k, F.col(a), F.col(b)))).otherwise(none) for k, a, b in ((0, "_a", "_b"), (2, "_a3", "_b3")))
+    parts = F.when(single, F.array(one)).when(F.col("_a3").isNotNull(), F.concat(two, three)).otherwise(two)
+    # the outer form, as for the inner one Spark adds a filter that works the whole array out again
+    found = rows.select("sample", "row_id", "conf", "y", "height", "roi", F.explode_outer(parts).alias("p")).where("p IS NOT NULL")
     return found.select("sample", "row_id", "p.part", "p.value", "conf", "p.x", "y", "p.width", "height", "roi")
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import sequences
+from ..sources.tables import written
+from . import tracking
 
 BALLS = ("ball", "sports ball", "basketball", "frisbee")
 CONTEXT = ("player", "referee", "hoop")
@@ -156,15 +158,14 @@ def gated(balls: DataFrame, limits: Limits) -> DataFrame:
     sure = F.coalesce("confidence", F.lit(0.0))
     flags = {"_sure": sure, "_edge": near_edge(limits), "_far": F.coalesce(F.col("context_distance") > limits.context, F.lit(False)), "_weak": weak_on_body(limits)}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "row_id"])
-        found = gate(*(pdf[c].to_numpy() for c in ("frame", "x_center", "y_center", "_sure", "_edge", "_far", "_weak")), limits)
-        out = pd.DataFrame(found, columns=["cleaning_note", "ball_segment", "motion_distance", "frame_gap"], dtype=object)
-        return out.assign(video=pdf["video"].to_numpy(), row_id=pdf["row_id"].to_numpy())
+    def run(group: dict[str, np.ndarray]) -> list[tuple]:
+        video = None if pd.isna(group["video"][0]) else group["video"][0]
+        found = gate(*(group[c] for c in ("frame", "x_center", "y_center", *flags)), limits)
+        return [(video, row, *f) for row, f in zip(group["row_id"].tolist(), found, strict=True)]
 
     video = balls.schema["video"].dataType.simpleString()
     slim = balls.withColumns(flags).select("video", "row_id", "frame", "x_center", "y_center", *flags)
-    notes = sequences.dealt(slim, "video").groupBy("video").applyInPandas(run, f"video {video}, row_id long, cleaning_note string, ball_segment int, motion_distance double, frame_gap int")
+    notes = tracking.per_group(slim, ["video"], ["frame", "row_id"], run, f"video {video}, row_id long, cleaning_note string, ball_segment int, motion_distance double, frame_gap int")
     return balls.join(notes, ["video", "row_id"])
 
 
@@ -248,13 +249,14 @@ def without_jumps(rows: DataFrame, limits: Limits) -> DataFrame:
     pieces = sequences.gap_islands(rows, ["video"], "frame", "row_id", limits.fill + 1, "_piece")
     step, near = limits.strict_step * limits.scale, limits.fill + 1
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        keep = jump_gate(*(pdf[c].to_numpy() for c in ("frame", "x_center", "y_center")), step, near)
-        return pdf.loc[keep, ["video", "frame"]]
+    def run(group: dict[str, np.ndarray]) -> list[tuple]:
+        video = None if pd.isna(group["video"][0]) else group["video"][0]
+        keep = jump_gate(*(group[c] for c in ("frame", "x_center", "y_center")), step, near)
+        return [(video, frame) for frame in group["frame"][keep].tolist()]
 
     video = rows.schema["video"].dataType.simpleString()
-    kept = sequences.dealt(pieces.select("video", "_piece", F.col("frame").cast("long").alias("frame"), "x_center", "y_center"), "video", "_piece").groupBy("video", "_piece").applyInPandas(run, f"video {video}, frame long")
+    slim = pieces.select("video", "_piece", F.col("frame").cast("long").alias("frame"), "x_center", "y_center")
+    kept = tracking.per_group(slim, ["video", "_piece"], ["frame"], run, f"video {video}, frame long")
     return rows.join(kept, ["video", "frame"], "left_semi")
 
 

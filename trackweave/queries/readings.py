@@ -78,8 +78,7 @@ bc AS (SELECT sample, arg_min(ck, (-(conf * 20 + CASE WHEN roi = 'center_info' T
 
 @query(f"WITH {NUMBERS_SQL}, {BEST_SQL} SELECT sample, coalesce(quarter, '') AS quarter, coalesce(game_clock, '') AS game_clock FROM bq FULL JOIN bc USING (sample)")
 def best_quarter_and_clock(spark, sf_dir):
-    i = items(spark, sf_dir)
-    both = readings.best_quarters(i).join(readings.best_clocks(i), "sample", "full")
+    both = readings.best_readings(items(spark, sf_dir))
     return both.select("sample", F.coalesce("quarter", F.lit("")).alias("quarter"), F.coalesce("game_clock", F.lit("")).alias("game_clock"))
 
 
