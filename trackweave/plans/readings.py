@@ -7,7 +7,7 @@ grouped maxima.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -64,7 +64,7 @@ def numbers(items: DataFrame) -> DataFrame:
 def distinct_numbers(found: DataFrame) -> DataFrame:
     """The same value at the same place once, the surest and tallest first."""
     order = F.struct((-F.col("height") * F.col("conf")).alias("a"), (-F.col("height")).alias("b"), "row_id", "part", "value", "conf", "x", "y", "width", "height", "roi")
-    every = found.groupBy("sample").agg(F.array_sort(F.collect_list(order)).alias("all"))
+    every = found.groupBy("sample").agg(F.sort_array(F.collect_list(order)).alias("all"))
     same = lambda a, b: (a["value"] == b["value"]) & (F.abs(a["x"] - b["x"]) <= F.greatest(a["width"], b["width"])) & (F.abs(a["y"] - b["y"]) <= F.greatest(a["height"], b["height"]) * 0.6)
     put = lambda kept, n: F.when(F.exists(kept, lambda k: same(n, k)), kept).otherwise(F.concat(kept, F.array(n)))
     kept = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), F.slice("all", 1, 1), put)
@@ -79,10 +79,9 @@ def _roi_points(roi: Column) -> Column:
 def score_pairs(found: DataFrame) -> DataFrame:
     """(sample, score1, score2, pair_score): of the numbers of a sample the two that look most like a score. Only tall
     numbers are compared if there are two of them."""
-    per = found.groupBy("sample").agg(F.max("height").alias("_tallest"))
-    tall = found.join(per, "sample").withColumn("_tall", F.col("height") >= F.greatest(F.lit(MIN_HEIGHT), F.col("_tallest") * TALL))
-    enough = tall.groupBy("sample").agg((F.count_if("_tall") >= 2).alias("_enough"))
-    use = tall.join(enough, "sample").where("_tall OR NOT _enough")
+    w = Window.partitionBy("sample")
+    tall = found.withColumn("_tall", F.col("height") >= F.greatest(F.lit(MIN_HEIGHT), F.max("height").over(w) * TALL))
+    use = tall.withColumn("_enough", F.count_if("_tall").over(w) >= 2).where("_tall OR NOT _enough")
     side = lambda p: use.select("sample", *(F.col(c).alias(f"{p}_{c}") for c in ("nth", "value", "conf", "x", "y", "height", "roi")))
     # each pair once, the left one first; at the same place the earlier one
     pairs = side("l").join(side("r"), "sample").where("l_x < r_x OR (l_x = r_x AND l_nth < r_nth)")
@@ -97,20 +96,15 @@ def score_pairs(found: DataFrame) -> DataFrame:
     return rated.groupBy("sample").agg(F.min_by(F.struct(F.col("l_value").alias("score1"), F.col("r_value").alias("score2"), "pair_score"), first).alias("b")).select("sample", "b.*")
 
 
-def best_quarters(items: DataFrame) -> DataFrame:
-    """(sample, quarter)."""
-    q = text.quarter_text(F.col("raw"))
-    score = F.col("conf") * 20 + F.when(F.col("roi").isin(*INFO_ROI), 20.0).otherwise(0.0) + F.when(F.col("raw").rlike("(?i)(st|nd|rd|th|q|ot)"), 8.0).otherwise(0.0) - F.col("height") * 0.03
-    rated = items.withColumns({"_q": q, "_s": score}).where("_q <> ''")
-    return rated.groupBy("sample").agg(F.min_by("_q", F.struct(-F.col("_s"), "row_id")).alias("quarter"))
-
-
-def best_clocks(items: DataFrame) -> DataFrame:
-    """(sample, game_clock)."""
-    c = text.clock_text(F.col("raw"))
-    score = F.col("conf") * 20 + F.when(F.col("roi") == "center_info", 25.0).otherwise(0.0) + F.when(F.col("height") < 45, 8.0).otherwise(0.0) + F.when(F.col("raw").rlike("[:|;.]"), 6.0).otherwise(0.0) - F.col("height") * 0.05
-    rated = items.withColumns({"_c": c, "_s": score}).where("_c <> ''")
-    return rated.groupBy("sample").agg(F.min_by("_c", F.struct(-F.col("_s"), "row_id")).alias("game_clock"))
+def best_readings(items: DataFrame) -> DataFrame:
+    """(sample, quarter, game_clock) of the samples with one of them, null for the other."""
+    of_quarter = F.col("conf") * 20 + F.when(F.col("roi").isin(*INFO_ROI), 20.0).otherwise(0.0) + F.when(F.col("raw").rlike("(?i)(st|nd|rd|th|q|ot)"), 8.0).otherwise(0.0) - F.col("height") * 0.03
+    of_clock = F.col("conf") * 20 + F.when(F.col("roi") == "center_info", 25.0).otherwise(0.0) + F.when(F.col("height") < 45, 8.0).otherwise(0.0) + F.when(F.col("raw").rlike("[:|;.]"), 6.0).otherwise(0.0) - F.col("height") * 0.05
+    hit = lambda kind, t, score: F.when(F.col(t) != "", F.struct(F.lit(kind).alias("kind"), F.col(t).alias("text"), (-score).alias("s"), F.col("row_id").alias("i")))
+    # a filter after the explode is not put before it, where Spark would work the texts out once more
+    hits = read(items).select("sample", F.explode(F.array(hit("q", "_quarter", of_quarter), hit("c", "_clock", of_clock))).alias("h")).where("h IS NOT NULL")
+    best = lambda kind: F.min_by("h.text", F.when(F.col("h.kind") == kind, F.struct("h.s", "h.i")))
+    return hits.groupBy("sample").agg(best("q").alias("quarter"), best("c").alias("game_clock"))
 
 
 def team_order(items: DataFrame) -> DataFrame:
@@ -125,7 +119,7 @@ def regions(items: DataFrame) -> DataFrame:
     """One row for each sample with a score: the pair, quarter, clock, and how much the region looks like a board."""
     found = written(distinct_numbers(numbers(items)))  # read by several joins
     counts = found.groupBy("sample").agg(F.count("*").alias("_n"))
-    out = score_pairs(found).join(counts, "sample").join(best_quarters(items), "sample", "left").join(best_clocks(items), "sample", "left")
+    out = score_pairs(found).join(counts, "sample").join(best_readings(items), "sample", "left")
     score = F.col("pair_score") + F.col("_n") * 1.5 + F.when(F.col("game_clock").isNotNull(), 8.0).otherwise(0.0) + F.when(F.col("quarter").isNotNull(), 6.0).otherwise(0.0)
     return out.select("sample", "score1", "score2", F.coalesce("quarter", F.lit("")).alias("quarter"), F.coalesce("game_clock", F.lit("")).alias("game_clock"), score.alias("region_score"))
 
