@@ -286,3 +286,24 @@ def test_readings_work_each_text_out_once(spark):
     found = readings.numbers(items)
     assert sorted((r.row_id, r.part, r.value, r.x) for r in found.collect()) == [(1, 0, 102, 0.0), (1, 1, 98, 20.0), (2, 2, 102, 190.0), (2, 3, 98, 210.0)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("[^0-9A-Z]") == 1
+
+
+def test_gates_take_small_groups_in_batches(spark):
+    """Many short videos cost what their rows cost: no call of a function of its own for each, and the same rows as the
+    gates give video by video."""
+    from trackweave.plans import refiner
+
+    limits = refiner.Limits()
+    made = [(v, 10 * v + k, k + (20 if k > 4 else 0), 100.0 + 40 * k + (900 if (k + v) % 4 == 0 else 0), 300.0, k % 10 / 10) for v in range(12) for k in range(9)]
+    rows = spark.createDataFrame(made, "video long, row_id long, frame long, x_center double, y_center double, confidence double")
+    rows = rows.withColumns({"context_distance": F.lit(10.0), "body_core": F.lit(False), "body_torso": F.lit(False)})
+    gated, kept = refiner.gated(rows, limits), refiner.without_jumps(rows, limits)
+    for df in (gated, kept):
+        assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().optimizedPlan().toString()
+    notes = {r.row_id: (r.cleaning_note, r.ball_segment) for r in gated.collect()}
+    left = {r.row_id for r in kept.collect()}
+    for v in range(12):
+        _, ids, frames, x, y, sure = zip(*(m for m in made if m[0] == v))
+        edge, no = [a <= 24 or a >= 1896 for a in x], [False] * 9
+        assert [notes[i] for i in ids] == [f[:2] for f in refiner.gate(frames, x, y, sure, edge, no, no, limits)]
+        assert [i in left for i in ids] == refiner.jump_gate(frames, x, y, limits.strict_step, limits.fill + 1).tolist()

@@ -84,13 +84,14 @@ def with_context(balls: DataFrame, rows: DataFrame) -> DataFrame:
     return balls.join(nearest, ["video", "row_id"], "left")
 
 
-def with_body(balls: DataFrame, rows: DataFrame) -> DataFrame:
+def with_body(balls: DataFrame, rows: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """The player of the frame in whose box the ball lies (of several the one of nearest centre): body_track_id, region
-    (core, lower or edge), the place in the box, and whether that is the core or the torso."""
+    (core, lower or edge), the place in the box, and whether that is the core or the torso. `places` has the places of
+    the same balls where `balls` itself is costly to read twice."""
     l, t, r, b = (F.least("_x1", "_x2"), F.least("_y1", "_y2"), F.greatest("_x1", "_x2"), F.greatest("_y1", "_y2"))
     players = rows.where(F.col("class").isin("player", "person")).select(F.col("video").alias("_v"), F.col("frame").alias("_f"), F.col("row_id").alias("_i"), F.col("track_id").alias("_t"), *(F.col(c).alias(f"_{c}") for c in ("x1", "y1", "x2", "y2")))
     players = players.select("_v", "_f", "_i", "_t", l.alias("_l"), t.alias("_u"), r.alias("_r"), b.alias("_b"))
-    pairs = balls.select("video", "frame", "row_id", "x_center", "y_center").join(players, (F.col("video") == F.col("_v")) & (F.col("frame") == F.col("_f")) & F.col("x_center").between(F.col("_l"), F.col("_r")) & F.col("y_center").between(F.col("_u"), F.col("_b")))
+    pairs = (balls if places is None else places).select("video", "frame", "row_id", "x_center", "y_center").join(players, (F.col("video") == F.col("_v")) & (F.col("frame") == F.col("_f")) & F.col("x_center").between(F.col("_l"), F.col("_r")) & F.col("y_center").between(F.col("_u"), F.col("_b")))
     rel_x = (F.col("x_center") - F.col("_l")) / F.greatest(F.col("_r") - F.col("_l"), F.lit(1.0))
     rel_y = (F.col("y_center") - F.col("_u")) / F.greatest(F.col("_b") - F.col("_u"), F.lit(1.0))
     core, torso = rel_x.between(0.12, 0.88) & rel_y.between(0.12, 0.68), rel_y.between(0.08, 0.72)
@@ -158,9 +159,11 @@ def gated(balls: DataFrame, limits: Limits) -> DataFrame:
     sure = F.coalesce("confidence", F.lit(0.0))
     flags = {"_sure": sure, "_edge": near_edge(limits), "_far": F.coalesce(F.col("context_distance") > limits.context, F.lit(False)), "_weak": weak_on_body(limits)}
 
+    columns = ("frame", "x_center", "y_center", *flags)
+
     def run(group: dict[str, np.ndarray]) -> list[tuple]:
         video = None if pd.isna(group["video"][0]) else group["video"][0]
-        found = gate(*(group[c] for c in ("frame", "x_center", "y_center", *flags)), limits)
+        found = gate(*(group[c].tolist() for c in columns), limits)
         return [(video, row, *f) for row, f in zip(group["row_id"].tolist(), found, strict=True)]
 
     video = balls.schema["video"].dataType.simpleString()
@@ -179,9 +182,10 @@ def without_locked_runs(points: DataFrame, limits: Limits) -> DataFrame:
     goes_on = F.lag("body_torso").over(w) & F.col("body_torso") & (F.col("ball_segment") == F.lag("ball_segment").over(w)) & gap.between(1, limits.fill + 1)
     runs = sequences.islands(points, ["video"], ["frame"], ~F.coalesce(goes_on, F.lit(False)), "_run")
     sure = F.coalesce("confidence", F.lit(0.0))
-    per = runs.where("body_torso").groupBy("video", "_run").agg(F.count("*").alias("_n"), F.median(sure).alias("_median"), F.max(sure).alias("_most"))
+    # a run of more than one row has only rows on a torso, and rows off it stay whatever their run
+    own = Window.partitionBy("video", "_run")
+    out = runs.withColumns({"_n": F.count("*").over(own), "_median": F.median(sure).over(own), "_most": F.max(sure).over(own)})
     locked = (F.col("_n") >= max(3, limits.locked_rows)) & ((F.col("_median") < limits.body_confidence) | (F.col("_most") < limits.locked_sure))
-    out = runs.join(per, ["video", "_run"], "left")
     stays = ~F.col("body_torso") | (~F.coalesce(locked, F.lit(False)) & ~weak_on_body(limits))
     return out.where(stays).select(*points.columns)
 
@@ -251,7 +255,7 @@ def without_jumps(rows: DataFrame, limits: Limits) -> DataFrame:
 
     def run(group: dict[str, np.ndarray]) -> list[tuple]:
         video = None if pd.isna(group["video"][0]) else group["video"][0]
-        keep = jump_gate(*(group[c] for c in ("frame", "x_center", "y_center")), step, near)
+        keep = jump_gate(*(group[c].tolist() for c in ("frame", "x_center", "y_center")), step, near)
         return [(video, frame) for frame in group["frame"][keep].tolist()]
 
     video = rows.schema["video"].dataType.simpleString()
@@ -274,15 +278,23 @@ def reliability(rows: DataFrame, limits: Limits) -> DataFrame:
 
 def refined(rows: DataFrame, limits: Limits, total: DataFrame | None = None) -> DataFrame:
     """The ball's clean rows, from rows of all classes."""
-    balls = with_body(with_context(sightings(rows, limits), rows), rows)
+    # each is read twice below, and what is read twice is worked out twice unless it is written
+    seen = written(sightings(rows, limits))
+    balls = written(with_body(with_context(seen, rows), rows, seen))
     points = gated(balls, limits).where(F.col("ball_segment").isNotNull())
     points = without_weak_segments(without_locked_runs(points, limits), limits)
-    line = without_locked_runs(timeline(points, limits, total), limits)
-    return reliability(without_jumps(smoothed(line, limits), limits), limits)
+    line = written(smoothed(without_locked_runs(timeline(points, limits, total), limits), limits))
+    return reliability(without_jumps(line, limits), limits)
 
 
-def cleaned_tracking(rows: DataFrame, limits: Limits, total: DataFrame | None = None) -> DataFrame:
-    """All rows with the ball's replaced by its clean ones, in order of frame, class and track."""
+def clean_rows(rows: DataFrame, limits: Limits, total: DataFrame | None = None) -> DataFrame:
+    """All rows with the ball's replaced by its clean ones, in any order."""
+    rows = written(rows)
     ball = refined(rows, limits, total).withColumns({"class": F.lit("ball"), "track_id": F.lit(0).cast(rows.schema["track_id"].dataType)})
     other = rows.where(~F.col("class").isin(*BALLS))
-    return other.unionByName(ball, allowMissingColumns=True).orderBy("video", "frame", "class", "track_id")
+    return other.unionByName(ball, allowMissingColumns=True)
+
+
+def cleaned_tracking(rows: DataFrame, limits: Limits, total: DataFrame | None = None) -> DataFrame:
+    """clean_rows in order of frame, class and track."""
+    return clean_rows(rows, limits, total).orderBy("video", "frame", "class", "track_id")
