@@ -57,3 +57,12 @@ def test_nearest_in_group_odd_values(spark):
     away = F.abs(F.col("v") - F.col("w"))
     every = left.join(right, F.col("g") == F.col("h")).groupBy("c").agg(F.min(F.struct(away.isNull().alias("n"), away.alias("a"), "s"))["s"].alias("nearest"))
     assert sorted(map(tuple, got.select("c", "nearest").collect())) == sorted(map(tuple, every.collect()))
+
+
+def leaves(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_false_balls_are_found_once(spark):
+    """What several steps read is written, so the plan that is left has the rows and the false ones."""
+    assert leaves(QUERIES["without_false_balls"](spark, SF)) == 2
