@@ -66,3 +66,9 @@ def leaves(df) -> int:
 def test_false_balls_are_found_once(spark):
     """What several steps read is written, so the plan that is left has the rows and the false ones."""
     assert leaves(QUERIES["without_false_balls"](spark, SF)) == 2
+
+
+def test_pipeline_reads_written_steps(spark):
+    """Only the last rows are sorted, and no step before it is made anew for the teams."""
+    df = QUERIES["tracking_pipeline"](spark, SF)
+    assert leaves(df) <= 4

@@ -1,7 +1,7 @@
 """From detections of a video to cleaned, assigned rows: the tracking steps in their order.
 
-Each step is a plan of its own; here they are only put together. The candidates and the refined rows are written once to
-the shared folder, as several later steps read them.
+Each step is a plan of its own; here they are only put together. Rows that several later steps read are written once to
+the shared folder, and only the last rows are sorted.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from . import association, ball_path, candidates, court, refiner, rims, tracking
 
 def candidate_rows(detections: DataFrame, p: candidates.Picture, fps: float) -> DataFrame:
     """Detections with canonical classes, reduced to the candidates of each frame, hoops made steady."""
-    rows = detections.withColumn("class", canonical_class(F.col("class")))
+    rows = written(detections.withColumn("class", canonical_class(F.col("class"))))
     chosen = written(court.inside_picture(candidates.chosen(rows, p), p.width, p.height))
     hoops = rims.stable_hoops(chosen, lambda r: candidates.hoop_candidates(r, p), p, fps)
     # filled hoops have the row_id of the one before; their frame tells them apart
@@ -43,8 +43,7 @@ def run(detections: DataFrame, width: int, height: int, fps: float, polygons: Da
     rows = candidate_rows(detections, p, fps)
     if polygons is not None:
         rows = court.on_moving_court(rows, polygons, width, height)
-    clean = written(refiner.cleaned_tracking(rows, limits))
-    kept = rims.without_false_balls(clean, p, fps)
+    kept = rims.without_false_balls(refiner.clean_rows(rows, limits), p, fps)
     teams = tracking.teams_by_place(kept)
     out = kept.join(teams, ["video", "track_id"], "left")
     team = F.when(F.col("class") == "player", F.coalesce("team_id", F.lit("")))
