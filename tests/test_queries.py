@@ -72,3 +72,9 @@ def test_pipeline_reads_written_steps(spark):
     """Only the last rows are sorted, and no step before it is made anew for the teams."""
     df = QUERIES["tracking_pipeline"](spark, SF)
     assert leaves(df) <= 4
+
+
+def test_cumulative_reads_written_rows(spark):
+    """The report scans no table anew: all its leaves are written steps."""
+    plan = QUERIES["game_cumulative"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and "user_id" not in plan

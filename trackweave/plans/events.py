@@ -201,9 +201,10 @@ def foul_events(rows: DataFrame, segs: DataFrame, found: DataFrame, profile: Pro
 
 
 def measure(rows: DataFrame, profile: Profile) -> dict[str, DataFrame]:
-    """events, segments, shots, possessions and stats of all videos."""
+    """events, segments, shots, possessions and stats of all videos, and the rows themselves, for the reports."""
     # each is read by several later steps: written once to the shared folder, which also keeps the later plans small
-    rows = written(safe_rows(rows))
+    given = written(rows)
+    rows = safe_rows(given)
     held = written(possessions(rows, profile))
     segs = written(segments(held, profile))
     found = written(shots(rows, segs, profile))
@@ -215,7 +216,7 @@ def measure(rows: DataFrame, profile: Profile) -> dict[str, DataFrame]:
     w = Window.partitionBy("video").orderBy("frame", "_kind", "player_track_id", "secondary_track_id", "details")
     events = events.withColumn("event_id", F.format_string("E%05d", F.row_number().over(w))).drop("_kind")
     events = written(events)
-    return {"events": events, "segments": segs, "shots": found, "possessions": held, "stats": possession_stats(held, profile)}
+    return {"rows": given, "events": events, "segments": segs, "shots": found, "possessions": held, "stats": possession_stats(held, profile)}
 
 
 def _counts() -> dict[str, Column]:
@@ -229,7 +230,9 @@ def _rates(df: DataFrame) -> DataFrame:
 
 def team_keys(rows: DataFrame, events: DataFrame, stats: DataFrame) -> DataFrame:
     """(video, team_id, team_name) of teams known from players, events or possession, in that order of names."""
-    parts = [player_rows(rows).select("video", "team_id", "team_name", F.lit(0).alias("k")), events.select("video", "team_id", "team_name", F.lit(1).alias("k")), stats.select("video", "team_id", "team_name", F.lit(2).alias("k"))]
+    # players have a row in each frame, but few names
+    players = player_rows(rows.select("video", "class", "team_id", "team_name").distinct())
+    parts = [players.select("video", "team_id", "team_name", F.lit(0).alias("k")), events.select("video", "team_id", "team_name", F.lit(1).alias("k")), stats.select("video", "team_id", "team_name", F.lit(2).alias("k"))]
     every = reduce(DataFrame.unionByName, parts).where("team_id <> ''")
     per = every.groupBy("video", "team_id").agg(F.min_by("team_name", F.struct("k", "team_name")).alias("team_name"))
     return per.withColumn("team_name", F.when(F.coalesce("team_name", F.lit("")) == "", F.concat(F.lit("team_"), "team_id")).otherwise(F.col("team_name")))

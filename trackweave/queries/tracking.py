@@ -47,14 +47,14 @@ def game_events(spark, sf_dir):
 
 @query()
 def game_summary(spark, sf_dir):
-    d = detections(spark, sf_dir)
-    return ev.summary(d, ev.measure(d, PROFILE))
+    found = ev.measure(detections(spark, sf_dir), PROFILE)
+    return ev.summary(found["rows"], found)
 
 
 @query()
 def game_cumulative(spark, sf_dir):
-    d = detections(spark, sf_dir)
-    return ev.cumulative(d, ev.measure(d, PROFILE), PROFILE)
+    found = ev.measure(detections(spark, sf_dir), PROFILE)
+    return ev.cumulative(found["rows"], found, PROFILE)
 
 
 @query()
